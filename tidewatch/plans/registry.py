@@ -1,6 +1,8 @@
 """Registered queries: key -> (spark, sf_dir) -> DataFrame.
 
 Each query reads the provided tables (or the feed Spark derives from them) in full.
+Parameters (search term, source filter, slot length, ...) are fixed here and mirrored in
+the oracle SQL.
 """
 
 from __future__ import annotations
@@ -10,13 +12,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dims
+from ..functions import entities as N
+from ..functions import models as M
+from ..functions import sentiment as S
+from ..functions import text as X
 from ..operators import correlate as C
-from ..sources.feed import load_feed
+from ..operators import dashboard as D
+from ..operators import enrich as EN
+from ..operators import geo as G
+from ..operators import graph as GR
+from ..operators import setops as U
+from ..operators import views as V
+from ..sources import edits as ED
+from ..sources import sinks as SK
+from ..sources.feed import ENTITY_MAP_TYPE, batch_of, load_feed, with_entity_map
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+from .params import PARAMS
+
 
 def register(key: str):
     def deco(fn):
@@ -31,6 +48,451 @@ def _max_batch(spark, sf_dir, batch_size=10):
     return int(m) // batch_size
 
 
+def _alerts(spark, sf_dir):
+    return C.meta_events(load_feed(spark, sf_dir), max_batch=_max_batch(spark, sf_dir))
+
+
+def _live(spark, sf_dir):
+    return U.live_feed(load_feed(spark, sf_dir), _alerts(spark, sf_dir))
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+# ---- sources / sinks ---------------------------------------------------------------------
+
+@register("src_json_events")
+def q_src_json_events(spark, sf_dir):
+    feed = load_feed(spark, sf_dir)
+    schema = feed.schema
+    return SK.from_json_lines(SK.to_json_lines(feed), schema)
+
+
+@register("sink_json_roundtrip")
+def q_sink_json_roundtrip(spark, sf_dir):
+    shapes = U.feed_shapes(load_feed(spark, sf_dir))
+    u = U.union_feeds(shapes)
+    return SK.from_json_lines(SK.to_json_lines(u), u.schema)
+
+
+@register("sse_decode")
+def q_sse_decode(spark, sf_dir):
+    return ED.decode_sse(ED.sse_lines(table(spark, sf_dir, "events"))).select(
+        "line_no", "title", "wiki", "bot", "user", "comment", "namespace",
+        F.col("meta.dt").alias("dt"), F.col("length.old").alias("length_old"), F.col("length.new").alias("length_new"))
+
+
+@register("edit_filter")
+def q_edit_filter(spark, sf_dir):
+    e = ED.decode_sse(ED.sse_lines(table(spark, sf_dir, "events")))
+    return ED.edit_filter(e).select("line_no", "title", "wiki", "bot")
+
+
+@register("edit_projection")
+def q_edit_projection(spark, sf_dir):
+    e = ED.decode_sse(ED.sse_lines(table(spark, sf_dir, "events")))
+    return ED.edit_projection(ED.edit_filter(e))
+
+
+@register("poll_since")
+def q_poll_since(spark, sf_dir):
+    feed = load_feed(spark, sf_dir)
+    last = SK.newest_id(feed) - PARAMS["poll_back"]
+    return SK.poll_since(feed, last).select("event_id", "event_time", "title")
+
+
+@register("table_counts")
+def q_table_counts(spark, sf_dir):
+    return SK.table_counts(spark, {
+        "processed_events": load_feed(spark, sf_dir),
+        "events": table(spark, sf_dir, "events"),
+        "documents": _docs(spark, sf_dir),
+        "meta_events": _alerts(spark, sf_dir),
+    })
+
+
+# ---- feed shaping, filters, predicates -------------------------------------------------------
+
+@register("union_feeds")
+def q_union_feeds(spark, sf_dir):
+    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
+    return u.withColumn("event_time", F.col("timestamp").try_cast("timestamp"))
+
+
+@register("raw_text")
+def q_raw_text(spark, sf_dir):
+    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
+    return u.select("event_id", "_raw_text")
+
+
+@register("enrich_text")
+def q_enrich_text(spark, sf_dir):
+    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
+    return u.select("event_id", X.enrich_text_of(u).alias("text"))
+
+
+@register("confidence_const")
+def q_confidence_const(spark, sf_dir):
+    return load_feed(spark, sf_dir).select("event_id", F.lit(dims.CONFIDENCE_SCORE).alias("confidence_score"))
+
+
+@register("event_defaults")
+def q_event_defaults(spark, sf_dir):
+    return V.event_defaults(_live(spark, sf_dir))
+
+
+@register("feed_filter")
+def q_feed_filter(spark, sf_dir):
+    return V.feed_filter(_live(spark, sf_dir), PARAMS["feed_source"]).select("seq", "source_type", "title")
+
+
+@register("feed_search")
+def q_feed_search(spark, sf_dir):
+    return V.feed_search(_live(spark, sf_dir), PARAMS["search_term"]).select("seq", "title")
+
+
+@register("alert_filter")
+def q_alert_filter(spark, sf_dir):
+    return V.alert_filter(_live(spark, sf_dir)).select("seq", "title", "sentiment")
+
+
+@register("ticker_filter")
+def q_ticker_filter(spark, sf_dir):
+    return V.ticker_filter(_live(spark, sf_dir)).select("seq", "title", "level")
+
+
+@register("map_points")
+def q_map_points(spark, sf_dir):
+    return V.map_points(_live(spark, sf_dir))
+
+
+def _processed(spark, sf_dir):
+    return U.processed_view(load_feed(spark, sf_dir)).withColumn(
+        "confidence_score", F.lit(dims.CONFIDENCE_SCORE))
+
+
+@register("by_source_recent")
+def q_by_source_recent(spark, sf_dir):
+    return V.by_source_recent(_processed(spark, sf_dir), PARAMS["source"]).select("event_id", "event_time", "title")
+
+
+@register("by_cluster_confidence")
+def q_by_cluster_confidence(spark, sf_dir):
+    return V.by_cluster_confidence(_processed(spark, sf_dir), PARAMS["cluster"]).select(
+        "event_id", "event_cluster", "confidence_score")
+
+
+@register("by_sentiment_recent")
+def q_by_sentiment_recent(spark, sf_dir):
+    return V.by_sentiment_recent(_processed(spark, sf_dir), PARAMS["sentiment"]).select("event_id", "event_time")
+
+
+@register("time_range")
+def q_time_range(spark, sf_dir):
+    return V.time_range(load_feed(spark, sf_dir), PARAMS["range_lo"], PARAMS["range_hi"]).select(
+        "event_id", "event_time", "source_type")
+
+
+@register("token_search")
+def q_token_search(spark, sf_dir):
+    return V.token_search(_docs(spark, sf_dir), "text", PARAMS["token_terms"]).select("doc_id")
+
+
+@register("retention")
+def q_retention(spark, sf_dir):
+    return V.retention(load_feed(spark, sf_dir), PARAMS["retention"]).select("event_id", "event_time")
+
+
+# ---- joins / geocoding ----------------------------------------------------------------------
+
+@register("geocode")
+def q_geocode(spark, sf_dir):
+    f = with_entity_map(load_feed(spark, sf_dir))
+    return G.geocode(f).select("event_id", "lat", "lng")
+
+
+# ---- text functions ------------------------------------------------------------------------
+
+@register("tokens")
+def q_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.tokens("text").alias("tokens"))
+
+
+@register("word_count")
+def q_word_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.word_count(X.tokens("text")).alias("word_count"))
+
+
+@register("keywords_topn")
+def q_keywords_topn(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", X.tokens("text").alias("toks"))
+    return X.keywords_long(d, "doc_id", "toks")
+
+
+@register("keywords_conversations")
+def q_keywords_conversations(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), X.tokens("text").alias("toks"))
+    return X.keywords_long(c, "msg_id", "toks")
+
+
+@register("classify")
+def q_classify(spark, sf_dir):
+    f = load_feed(spark, sf_dir)
+    return X.with_cluster(f, X.enrich_text(F.col("title"), F.col("description"))).select("event_id", "event_cluster")
+
+
+@register("classify_docs")
+def q_classify_docs(spark, sf_dir):
+    return X.with_cluster(_docs(spark, sf_dir), F.col("text")).select("doc_id", "event_cluster")
+
+
+@register("sentiment_lexicon")
+def q_sentiment_lexicon(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", F.round(S.compound(F.col("text")), 6).alias("compound"),
+                    S.sentiment_label(F.col("text")).alias("sentiment"))
+
+
+@register("sentiment_bucket_old")
+def q_sentiment_bucket_old(spark, sf_dir):
+    f = load_feed(spark, sf_dir)
+    t = X.enrich_text(F.col("title"), F.col("description"))
+    return f.select("event_id", S.old_bucket(S.compound(t), F.lit(False)).alias("bucket"))
+
+
+@register("sentiment_model")
+def q_sentiment_model(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", M.model_sentiment(F.col("text")).alias("sentiment"))
+
+
+@register("embed_hash")
+def q_embed_hash(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", M.embed(F.col("text")).alias("embedding"))
+
+
+@register("entities_dict")
+def q_entities_dict(spark, sf_dir):
+    f = load_feed(spark, sf_dir)
+    m = N.entities_map(X.enrich_text(F.col("title"), F.col("description")))
+    return (f.select("event_id", F.posexplode(m).alias("label_order", "label", "mentions"))
+            .select("event_id", "label", F.col("label_order").cast("long").alias("label_order"), "mentions"))
+
+
+@register("entities_struct")
+def q_entities_struct(spark, sf_dir):
+    f = with_entity_map(load_feed(spark, sf_dir))
+    return f.select("event_id", N.entities_struct(F.col("ents")).alias("s")).select("event_id", "s.*")
+
+
+@register("keywords_distinct")
+def q_keywords_distinct(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", N.keywords_distinct(F.col("text")).alias("keywords"))
+
+
+@register("blank_guard")
+def q_blank_guard(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", X.is_blank(F.col("text")).alias("is_blank"),
+                    F.length(X.truncate(F.col("text"), dims.MODEL_TEXT_CHARS)).cast("long").alias("n512"),
+                    F.length(X.truncate(F.col("text"), dims.NER_TEXT_CHARS)).cast("long").alias("n1000"))
+
+
+def _feed_bad_json(spark, sf_dir):
+    f = load_feed(spark, sf_dir)
+    bad = F.col("event_id") % 17 == 0
+    return f.withColumn("entities", F.when(bad, F.substring("entities", 1, 12)).otherwise(F.col("entities")))
+
+
+@register("entities_decode")
+def q_entities_decode(spark, sf_dir):
+    m = X.decode_entities("entities")
+    return _feed_bad_json(spark, sf_dir).select(
+        "event_id", m.isNotNull().alias("valid"),
+        F.try_element_at(m, F.lit("GPE")).alias("gpe"), F.try_element_at(m, F.lit("ORG")).alias("org"))
+
+
+@register("event_entities")
+def q_event_entities(spark, sf_dir):
+    return C.event_entities(load_feed(spark, sf_dir))
+
+
+@register("entities_encode")
+def q_entities_encode(spark, sf_dir):
+    f = with_entity_map(load_feed(spark, sf_dir))
+    return f.select("event_id", X.encode_json(F.col("ents")).alias("entities_json"))
+
+
+@register("enrich_event")
+def q_enrich_event(spark, sf_dir):
+    e = EN.enrich_event(load_feed(spark, sf_dir))
+    return e.select("event_id", "clean_text", "word_count", "event_cluster", "keywords",
+                    F.col("sentiment_lc").alias("nlp_sentiment"), "confidence_score",
+                    F.col("entities_struct.locations").alias("locations"))
+
+
+@register("enrich_batch")
+def q_enrich_batch(spark, sf_dir):
+    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
+    return EN.enrich_batch(u)
+
+
+# ---- correlation and aggregates -----------------------------------------------------------
+
+@register("entity_sources")
+def q_entity_sources(spark, sf_dir):
+    return C.entity_sources(load_feed(spark, sf_dir)).drop("last_time")
+
+
+@register("cross_stream")
+def q_cross_stream(spark, sf_dir):
+    return C.cross_stream(C.entity_sources(load_feed(spark, sf_dir))).drop("last_time")
+
+
+@register("burst_counter")
+def q_burst_counter(spark, sf_dir):
+    a = C.burst_alerts(C.entity_sources(load_feed(spark, sf_dir)), max_batch=_max_batch(spark, sf_dir))
+    return a.select("entity", "batch", "score", "is_cross", "is_burst")
+
+
+@register("burst_state")
+def q_burst_state(spark, sf_dir):
+    return C.burst_counter_state(C.entity_sources(load_feed(spark, sf_dir)), max_batch=_max_batch(spark, sf_dir))
+
+
 @register("meta_events")
 def q_meta_events(spark, sf_dir):
-    return C.meta_events(load_feed(spark, sf_dir), max_batch=_max_batch(spark, sf_dir))
+    return _alerts(spark, sf_dir)
+
+
+@register("cross_stream_window")
+def q_cross_stream_window(spark, sf_dir):
+    """H4 batch form: correlation per 10-minute event-time window instead of per batch."""
+    f = load_feed(spark, sf_dir)
+    a = C.entity_sources(f, batch=D.slot_of(F.col("event_time"), 600))
+    return C.cross_stream(a).select(D.slot_start(F.col("batch"), 600).alias("window_start"),
+                                    "entity", "n_events", "sources", "n_sources")
+
+
+@register("total_events")
+def q_total_events(spark, sf_dir):
+    return D.total_events(_live(spark, sf_dir))
+
+
+@register("events_per_min")
+def q_events_per_min(spark, sf_dir):
+    return D.events_per_min(_live(spark, sf_dir))
+
+
+@register("velocity")
+def q_velocity(spark, sf_dir):
+    return D.velocity(_live(spark, sf_dir), PARAMS["slot_seconds"], PARAMS["n_slots"])
+
+
+@register("throughput_now")
+def q_throughput_now(spark, sf_dir):
+    return D.throughput_now(D.velocity(_live(spark, sf_dir), PARAMS["slot_seconds"], PARAMS["n_slots"]))
+
+
+@register("top_clusters")
+def q_top_clusters(spark, sf_dir):
+    return D.top_clusters(_live(spark, sf_dir))
+
+
+@register("sentiment_counts")
+def q_sentiment_counts(spark, sf_dir):
+    return D.sentiment_counts(_live(spark, sf_dir))
+
+
+@register("source_counts")
+def q_source_counts(spark, sf_dir):
+    return D.source_counts(_live(spark, sf_dir))
+
+
+@register("top_entities")
+def q_top_entities(spark, sf_dir):
+    return D.top_entities(_live(spark, sf_dir))
+
+
+@register("hotspots")
+def q_hotspots(spark, sf_dir):
+    return D.hotspots(_live(spark, sf_dir))
+
+
+@register("mood_index")
+def q_mood_index(spark, sf_dir):
+    return D.mood_index(_live(spark, sf_dir), PARAMS["slot_seconds"])
+
+
+@register("keyword_counts")
+def q_keyword_counts(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", "source", X.tokens("text").alias("toks"))
+    kw = X.keywords_long(d, "doc_id", "toks").join(d.select("doc_id", "source"), "doc_id")
+    return D.keyword_counts(kw)
+
+
+@register("batch_stats")
+def q_batch_stats(spark, sf_dir):
+    return D.batch_stats(load_feed(spark, sf_dir), batch_of("event_id"))
+
+
+@register("unread_alerts")
+def q_unread_alerts(spark, sf_dir):
+    return D.unread_alerts(_live(spark, sf_dir), PARAMS["cleared_at"])
+
+
+# ---- pages, top-k -----------------------------------------------------------------------
+
+@register("recent_events")
+def q_recent_events(spark, sf_dir):
+    p = U.processed_view(load_feed(spark, sf_dir))
+    return V.newest(p, 50).select("seq", "event_id", "event_time", "title")
+
+
+@register("feed_page")
+def q_feed_page(spark, sf_dir):
+    live = V.feed_search(V.feed_filter(_live(spark, sf_dir), PARAMS["feed_source"]), PARAMS["search_term"])
+    return V.newest(live, 50).select("seq", "title", "source_type")
+
+
+@register("history_buffer")
+def q_history_buffer(spark, sf_dir):
+    return V.newest(_live(spark, sf_dir), 1000).select("seq", "title")
+
+
+@register("alerts_recent")
+def q_alerts_recent(spark, sf_dir):
+    return V.newest(V.alert_filter(_live(spark, sf_dir)), 51).select("seq", "title")
+
+
+@register("ticker")
+def q_ticker(spark, sf_dir):
+    return V.newest(V.ticker_filter(_live(spark, sf_dir)), 20).select("seq", "title", "level")
+
+
+@register("active_markers")
+def q_active_markers(spark, sf_dir):
+    return V.active_markers(_live(spark, sf_dir), PARAMS["marker_seconds"]).select("seq", "lat", "lng", "title")
+
+
+@register("embedding_xy")
+def q_embedding_xy(spark, sf_dir):
+    return V.embedding_xy(table(spark, sf_dir, "embeddings"))
+
+
+# ---- graph, unions ------------------------------------------------------------------------
+
+@register("entity_edges")
+def q_entity_edges(spark, sf_dir):
+    return GR.entity_edges(_live(spark, sf_dir)).select("src", "dst", F.col("pos").cast("long").alias("pos"))
+
+
+@register("entity_nodes")
+def q_entity_nodes(spark, sf_dir):
+    return GR.entity_nodes(GR.entity_edges(_live(spark, sf_dir)))
+
+
+@register("live_feed")
+def q_live_feed(spark, sf_dir):
+    return _live(spark, sf_dir).select("seq", "event_id", "event_time", "source_type", "title", "is_anomaly")

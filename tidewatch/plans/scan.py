@@ -61,8 +61,19 @@ def _grp(col: str, fanout: int) -> Column:
     return F.expr(f"`{col}` div {int(fanout)}")
 
 
+def _nullable(dt):
+    """Same type with every field / element nullable (so folded values can be cast to it)."""
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(_nullable(dt.elementType), True)
+    if isinstance(dt, T.MapType):
+        return T.MapType(_nullable(dt.keyType), _nullable(dt.valueType), True)
+    return dt
+
+
 def _data_type(df: DataFrame, c: Column):
-    return df.select(c.alias("x")).schema["x"].dataType
+    return _nullable(df.select(c.alias("x")).schema["x"].dataType)
 
 
 def ascend(items: DataFrame, keys: list[str], order: str, payload: list[str], m: Monoid,
