@@ -14,13 +14,17 @@ from .. import dims
 from .text import _c, is_blank, truncate
 
 
-def sentiment_words(text) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("[a-z]+"), 0)
+def lexicon_words(text) -> Column:
+    """Words of the text that are in the lexicon (a word = maximal run of a-z after
+    lower-casing), in order; one regular expression per row."""
+    words = "|".join(sorted((w for w, _ in dims.SENTIMENT_LEXICON), key=lambda w: (-len(w), w)))
+    pat = r"(?<![a-z])(?:" + words + r")(?![a-z])"
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(pat), 0)
 
 
 def lexicon_sum(text) -> Column:
     lex = dims.lexicon_map_col()
-    return F.aggregate(sentiment_words(text), F.lit(0.0),
+    return F.aggregate(lexicon_words(text), F.lit(0.0),
                        lambda acc, w: acc + F.coalesce(F.try_element_at(lex, w), F.lit(0.0)))
 
 

@@ -40,10 +40,17 @@ def enrich_text_of(df: DataFrame) -> Column:
 
 
 def tokens(text) -> Column:
-    """Lower, runs of [a-z0-9], keep length > 2 and not a stopword; NULL/'' -> []."""
-    raw = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    long_stop = [w for w in dims.STOPWORDS if len(w) > 2]
-    return F.filter(raw, lambda t: (F.length(t) > 2) & ~t.isin(*long_stop))
+    """Lower, runs of [a-z0-9], keep length > 2 and not a stopword; NULL/'' -> [].
+
+    One regular expression: a match starts at the beginning of a run (look-behind), is
+    not a whole stopword (look-ahead), and greedily takes the whole run of 3+ characters.
+    """
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(token_pattern()), 0)
+
+
+def token_pattern() -> str:
+    stops = "|".join(sorted((w for w in dims.STOPWORDS if len(w) > 2), key=lambda w: (-len(w), w)))
+    return r"(?<![a-z0-9])(?!(?:" + stops + r")(?![a-z0-9]))[a-z0-9]{3,}"
 
 
 def word_count(toks) -> Column:
@@ -84,41 +91,48 @@ def keywords_inline(toks, top_n: int = dims.KEYWORDS_TOP_N) -> Column:
     return F.slice(F.transform(F.array_sort(scored), lambda s: s["w"]), 1, top_n)
 
 
-def classify(text) -> Column:
-    """Topic cluster by keyword *substring* containment in the lower-cased text.
+def classify_lowered(lt) -> Column:
+    """D4 on lower-cased text: topic cluster by keyword *substring* containment.
 
     +1 per distinct matching keyword; best score wins; ties go to the cluster whose first
     matching keyword comes first in keyword order; no match (or NULL/'') -> 'general'.
 
-    One ``aggregate`` pass over the literal keyword list; the lower-cased text travels in
-    the accumulator, so it is computed once per row and each keyword is tested once, even
-    when the optimizer inlines the expression into a filter.
+    One ``aggregate`` pass over the literal keyword list: the text travels in the
+    accumulator (evaluated once per row), each keyword is one byte-level ``contains``, and
+    only a hit touches the 16 per-cluster counters. The expression is compact, so a filter
+    pushed through it stays cheap to plan and to evaluate.
     """
     names = [c for c, _ in dims.EVENT_CLUSTERS]
     idx = {c: i for i, c in enumerate(names)}
     n = len(names)
     kws = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("kw"), F.lit(idx[c]).alias("ci"))
                     for p, k, c in dims.cluster_keywords()])
-    big = 1 << 20
-    zero = F.struct(F.lower(_c(text)).alias("lt"),
+    none = 1 << 20
+    zero = F.struct(_c(lt).alias("lt"),
                     F.array_repeat(F.lit(0), n).alias("cnt"),
-                    F.array_repeat(F.lit(big), n).alias("first"))
+                    F.array_repeat(F.lit(none), n).alias("first"))
 
     def merge(acc, k):
         hit = F.struct(acc["lt"].alias("lt"),
                        F.transform(acc["cnt"], lambda v, i: F.when(i == k["ci"], v + 1).otherwise(v)).alias("cnt"),
                        F.transform(acc["first"], lambda v, i: F.when(i == k["ci"], F.least(v, k["pos"])).otherwise(v)).alias("first"))
-        return F.when(F.instr(acc["lt"], k["kw"]) > 0, hit).otherwise(acc)
+        return F.when(acc["lt"].contains(k["kw"]), hit).otherwise(acc)
 
     def finish(acc):
+        # (count, -first position, index) per cluster; 'general' when nothing matched.
         best = F.array_max(F.transform(acc["cnt"], lambda v, i: F.struct(
-            v.alias("n"), (-F.element_at(acc["first"], i + 1)).alias("neg_first"), i.alias("i"))))
-        return F.when(best["n"] > 0, F.element_at(dims.lit_str_array(names), best["i"] + 1)) \
-                .otherwise(F.lit(dims.DEFAULT_CLUSTER))
+            v.alias("n"), (-F.element_at(acc["first"], i + 1)).alias("neg_first"),
+            F.element_at(dims.lit_str_array(names), i + 1).alias("cluster"))))
+        return F.when(best["n"] > 0, best["cluster"]).otherwise(F.lit(dims.DEFAULT_CLUSTER))
 
     return F.aggregate(kws, zero, merge, finish)
 
 
+def classify(text) -> Column:
+    """D4 on raw text (see ``classify_lowered``)."""
+    return classify_lowered(F.lower(_c(text)))
+
+
 def with_cluster(df: DataFrame, text, out: str = "event_cluster") -> DataFrame:
     """D4 as a frame transform."""
     return df.withColumn(out, classify(text))

@@ -33,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 from .params import PARAMS
+from .store import stored
 
 
 def register(key: str):
@@ -52,8 +53,19 @@ def _alerts(spark, sf_dir):
     return C.meta_events(load_feed(spark, sf_dir), max_batch=_max_batch(spark, sf_dir))
 
 
+def _stored_processed(spark, sf_dir):
+    """processed_events as stored (feed + cluster), written once per session."""
+    return stored(spark, sf_dir, "processed_events", lambda: U.processed_view(load_feed(spark, sf_dir)))
+
+
+def _stored_alerts(spark, sf_dir):
+    """meta_events as stored, written once per session."""
+    return stored(spark, sf_dir, "meta_events", lambda: _alerts(spark, sf_dir))
+
+
 def _live(spark, sf_dir):
-    return U.live_feed(load_feed(spark, sf_dir), _alerts(spark, sf_dir))
+    """I2 over the stored collections."""
+    return _stored_processed(spark, sf_dir).unionByName(U.alerts_view(_stored_alerts(spark, sf_dir)))
 
 
 def _docs(spark, sf_dir):
@@ -168,8 +180,7 @@ def q_map_points(spark, sf_dir):
 
 
 def _processed(spark, sf_dir):
-    return U.processed_view(load_feed(spark, sf_dir)).withColumn(
-        "confidence_score", F.lit(dims.CONFIDENCE_SCORE))
+    return _stored_processed(spark, sf_dir).withColumn("confidence_score", F.lit(dims.CONFIDENCE_SCORE))
 
 
 @register("by_source_recent")
@@ -446,8 +457,7 @@ def q_unread_alerts(spark, sf_dir):
 
 @register("recent_events")
 def q_recent_events(spark, sf_dir):
-    p = U.processed_view(load_feed(spark, sf_dir))
-    return V.newest(p, 50).select("seq", "event_id", "event_time", "title")
+    return V.newest(_stored_processed(spark, sf_dir), 50).select("seq", "event_id", "event_time", "title")
 
 
 @register("feed_page")

@@ -10,6 +10,17 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table. Column pruning and filters reach the scan through Catalyst."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """One Parquet table. Column pruning and filters reach the scan through Catalyst.
+
+    A file with a single row group is read by a single task. When the scan yields fewer
+    partitions than the session's default parallelism, the rows are spread round-robin so
+    that per-row work (text functions) uses every core. On large inputs the scan already
+    has more splits than cores and this is a no-op.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+    return df
