@@ -58,17 +58,24 @@ def word_count(toks) -> Column:
     return F.size(_c(toks)).cast("long")
 
 
-def keywords_long(df: DataFrame, id_col: str, toks_col: str, top_n: int = dims.KEYWORDS_TOP_N) -> DataFrame:
-    """D3 in long form: (id, rank, keyword, n). Count desc, ties by first appearance.
+def keywords_long(df: DataFrame, id_col: str, toks_col: str, top_n: int = dims.KEYWORDS_TOP_N,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """D3 in long form: (id, *carry, rank, keyword, n). Count desc, ties by first appearance.
 
-    Explode + groupBy gets a map-side partial count; the top-n filter over the window is
-    planned as a window group limit, so only n rows per id move after the count.
+    The token arrays are hash-partitioned by id once; exploding, counting and the per-id
+    top-n window then all run inside that partitioning (one exchange, of the token arrays,
+    never of the exploded pairs). ``carry`` columns depend on the id only (e.g. source).
     """
-    ex = df.select(id_col, F.posexplode(toks_col).alias("pos", "keyword"))
-    counts = ex.groupBy(id_col, "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+    keys = [id_col, *carry]
+    # posexplode_outer: a plain explode makes the optimizer add a size(tokens) > 0 filter,
+    # which would evaluate the tokenizer a second time.
+    ex = (df.select(*keys, toks_col).repartition(id_col)
+          .select(*keys, F.posexplode_outer(toks_col).alias("pos", "keyword"))
+          .where(F.col("keyword").isNotNull()))
+    counts = ex.groupBy(*keys, "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
     w = Window.partitionBy(id_col).orderBy(F.desc("n"), F.asc("first_pos"))
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-            .select(id_col, F.col("rank").cast("long").alias("rank"), "keyword", "n"))
+            .select(*keys, F.col("rank").cast("long").alias("rank"), "keyword", "n"))
 
 
 def keywords_array(df: DataFrame, id_col: str, toks_col: str, top_n: int = dims.KEYWORDS_TOP_N) -> DataFrame:

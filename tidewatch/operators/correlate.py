@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..plans.scan import Monoid, final_states, ordered_scan
+from ..plans.scan import DEFAULT_FANOUT, Monoid, final_states, ordered_scan
 from ..sources.feed import batch_of, with_entity_map
 
 
@@ -22,7 +22,7 @@ def event_entities(feed: DataFrame, ents_col: str = "ents") -> DataFrame:
     if ents_col not in feed.columns:
         feed = with_entity_map(feed, out=ents_col)
     vals = F.transform(F.map_values(F.col(ents_col)), lambda v: F.coalesce(v, F.array().cast("array<string>")))
-    return (feed.select("event_id", F.explode(F.array_distinct(F.flatten(vals))).alias("entity"))
+    return (feed.select("event_id", F.explode_outer(F.array_distinct(F.flatten(vals))).alias("entity"))
             .where(F.col("entity").isNotNull()))
 
 
@@ -37,7 +37,7 @@ def entity_sources(feed: DataFrame, batch: Column | None = None) -> DataFrame:
     vals = F.transform(F.map_values(F.col("ents")), lambda v: F.coalesce(v, F.array().cast("array<string>")))
     rows = (f.select(batch.alias("batch"), "event_id", "event_time",
                      F.coalesce(F.col("source_type"), F.lit("unknown")).alias("source"),
-                     F.explode(F.array_distinct(F.flatten(vals))).alias("entity"))
+                     F.explode_outer(F.array_distinct(F.flatten(vals))).alias("entity"))
             .where(F.col("entity").isNotNull()))
     return (rows.groupBy("batch", "entity")
             .agg(F.count(F.lit(1)).alias("n_events"),
@@ -69,6 +69,8 @@ def burst_monoid(threshold: int) -> Monoid:
         leaf=lambda it: F.transform(ident, lambda s: nxt(s, it)),
         compose=lambda a, b: F.transform(a, lambda s: F.element_at(b, s + 1)).cast("array<int>"),
         apply=lambda t, s: F.element_at(t, s + 1),
+        fold=lambda a, it: F.transform(a, lambda s: nxt(s, it)).cast("array<int>"),
+        advance=lambda s, it: nxt(s, it),
     )
 
 
@@ -77,7 +79,7 @@ def _burst_items(agg: DataFrame) -> DataFrame:
                       F.col("n_sources").cast("int").alias("ns"), "sources", "last_time")
 
 
-def burst_alerts(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = 1024,
+def burst_alerts(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = DEFAULT_FANOUT,
                  max_batch: int | None = None) -> DataFrame:
     """(entity, batch, score, n_sources, sources, is_cross, is_burst, last_time).
 
@@ -100,7 +102,7 @@ def burst_alerts(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanou
                         F.lit(0), emit, fires, fanout=fanout, max_order=max_batch)
 
 
-def burst_counter_state(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = 1024,
+def burst_counter_state(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = DEFAULT_FANOUT,
                         max_batch: int | None = None) -> DataFrame:
     """Running count left per entity after all batches (entity, run)."""
     items = _burst_items(agg)
@@ -127,7 +129,7 @@ def alert_rows(alerts: DataFrame) -> DataFrame:
 
 
 def meta_events(feed: DataFrame, threshold: int = dims.BURST_THRESHOLD, batch: Column | None = None,
-                *, fanout: int = 1024, max_batch: int | None = None) -> DataFrame:
+                *, fanout: int = DEFAULT_FANOUT, max_batch: int | None = None) -> DataFrame:
     """Feed -> alert rows (the flagship query)."""
     return alert_rows(burst_alerts(entity_sources(feed, batch), threshold, fanout=fanout,
                                    max_batch=max_batch))

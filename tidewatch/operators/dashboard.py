@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import dims
 from ..functions import text as X
-from ..plans.scan import Monoid, ordered_scan
+from ..plans.scan import DEFAULT_FANOUT, Monoid, ordered_scan
 from ..sources.feed import with_entity_map
 
 
@@ -98,7 +98,8 @@ def source_counts(live: DataFrame) -> DataFrame:
 
 def _mentions(live: DataFrame, labels: list[str]) -> DataFrame:
     f = with_entity_map(live) if "ents" not in live.columns else live
-    return f.select("seq", "is_anomaly", F.posexplode(X.entities_of(F.col("ents"), labels)).alias("pos", "entity"))
+    return (f.select("seq", "is_anomaly", F.posexplode_outer(X.entities_of(F.col("ents"), labels)).alias("pos", "entity"))
+            .where(F.col("pos").isNotNull()))
 
 
 def top_entities(live: DataFrame, k: int = 20) -> DataFrame:
@@ -157,7 +158,7 @@ def _event_step(sent: Column) -> Column:
 
 
 def mood_index(live: DataFrame, slot_seconds: int = 1, time_col: str = "event_time",
-               fanout: int = 1024) -> DataFrame:
+               fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """Mood value at the end of every slot from the first to the last (empty slots
     carry the value). Per slot, events fold in arrival order into one clamp triple; the
     slots are then scanned in order with the parallel scan (no single-task sort)."""

@@ -15,7 +15,8 @@ def entity_edges(live: DataFrame, per_event: int = 3) -> DataFrame:
     f = with_entity_map(live) if "ents" not in live.columns else live
     first = F.slice(X.flat_entities(F.col("ents")), 1, per_event)
     return (f.where(F.col("ents").isNotNull())
-            .select("seq", "is_anomaly", F.posexplode(first).alias("pos", "entity"))
+            .select("seq", "is_anomaly", F.posexplode_outer(first).alias("pos", "entity"))
+            .where(F.col("pos").isNotNull())
             .select(F.concat(F.lit("ev_"), F.col("seq").cast("string")).alias("src"),
                     F.concat(F.lit("ent_"), F.col("entity")).alias("dst"), "pos", "seq", "entity", "is_anomaly"))
 

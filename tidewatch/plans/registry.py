@@ -117,10 +117,10 @@ def q_poll_since(spark, sf_dir):
 @register("table_counts")
 def q_table_counts(spark, sf_dir):
     return SK.table_counts(spark, {
-        "processed_events": load_feed(spark, sf_dir),
+        "processed_events": _stored_processed(spark, sf_dir),
         "events": table(spark, sf_dir, "events"),
         "documents": _docs(spark, sf_dir),
-        "meta_events": _alerts(spark, sf_dir),
+        "meta_events": _stored_alerts(spark, sf_dir),
     })
 
 
@@ -287,7 +287,8 @@ def q_embed_hash(spark, sf_dir):
 def q_entities_dict(spark, sf_dir):
     f = load_feed(spark, sf_dir)
     m = N.entities_map(X.enrich_text(F.col("title"), F.col("description")))
-    return (f.select("event_id", F.posexplode(m).alias("label_order", "label", "mentions"))
+    return (f.select("event_id", F.posexplode_outer(m).alias("label_order", "label", "mentions"))
+            .where(F.col("label_order").isNotNull())
             .select("event_id", "label", F.col("label_order").cast("long").alias("label_order"), "mentions"))
 
 
@@ -439,8 +440,7 @@ def q_mood_index(spark, sf_dir):
 @register("keyword_counts")
 def q_keyword_counts(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", "source", X.tokens("text").alias("toks"))
-    kw = X.keywords_long(d, "doc_id", "toks").join(d.select("doc_id", "source"), "doc_id")
-    return D.keyword_counts(kw)
+    return D.keyword_counts(X.keywords_long(d, "doc_id", "toks", carry=("source",)))
 
 
 @register("batch_stats")

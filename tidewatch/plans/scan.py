@@ -33,6 +33,10 @@ from pyspark.sql import types as T
 
 Fn = Callable[..., Column]
 
+# Items per group at every level. Small groups keep each sequential fold short and spread
+# the work over many tasks; the number of levels grows only as log_C(rows per key).
+DEFAULT_FANOUT = 128
+
 
 @dataclass
 class Monoid:
@@ -47,6 +51,16 @@ class Monoid:
     leaf: Fn
     compose: Fn
     apply: Fn
+    # Optional shortcuts: fold(summary, item) = compose(summary, leaf(item)) and
+    # advance(state, item) = apply(leaf(item), state), without building the leaf summary.
+    fold: Fn | None = None
+    advance: Fn | None = None
+
+    def fold_item(self, acc, it):
+        return self.fold(acc, it) if self.fold else self.compose(acc, self.leaf(it))
+
+    def advance_state(self, st, it):
+        return self.advance(st, it) if self.advance else self.apply(self.leaf(it), st)
 
 
 def levels_for(max_order: int, fanout: int) -> int:
@@ -85,7 +99,7 @@ def ascend(items: DataFrame, keys: list[str], order: str, payload: list[str], m:
             .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *payload))).alias("items")))
     stype = _data_type(items, m.identity)
     lvl1 = lvl1.withColumn("s", F.aggregate("items", m.identity.cast(stype),
-                                            lambda acc, it: m.compose(acc, m.leaf(it)).cast(stype)))
+                                            lambda acc, it: m.fold_item(acc, it).cast(stype)))
     out.append(lvl1)
     for j in range(2, levels + 1):
         prev = out[-1]
@@ -112,12 +126,15 @@ def _starts(level: DataFrame, keys: list[str], j: int, m: Monoid, init: Column,
             F.array_append(acc["out"], F.struct(it["o"].cast("bigint").alias("o"),
                                                  acc["st"].alias("st")).cast(child_t)).alias("out"))
 
-    return (level.select(*keys, F.explode(F.aggregate("items", zero, step)["out"]).alias("c"))
+    # explode_outer + null filter: a plain explode would make the optimizer add a
+    # size(...) > 0 filter that evaluates the whole fold a second time.
+    return (level.select(*keys, F.explode_outer(F.aggregate("items", zero, step)["out"]).alias("c"))
+            .where(F.col("c").isNotNull())
             .select(*keys, F.col("c.o").alias(f"g{j-1}"), F.col("c.st").alias("start")))
 
 
 def ordered_scan(items: DataFrame, keys: list[str], order: str, payload: list[str], m: Monoid,
-                 init: Column, emit: Fn, keep: Fn | None = None, *, fanout: int = 1024,
+                 init: Column, emit: Fn, keep: Fn | None = None, *, fanout: int = DEFAULT_FANOUT,
                  max_order: int | None = None) -> DataFrame:
     """Fold each key's rows in ``order`` and emit one output struct per kept row.
 
@@ -155,14 +172,15 @@ def ordered_scan(items: DataFrame, keys: list[str], order: str, payload: list[st
     def step(acc, it):
         st = acc["st"]
         out = F.when(keep(it, st), F.array_append(acc["out"], emit(it, st).cast(out_type))).otherwise(acc["out"])
-        return F.struct(m.apply(m.leaf(it), st).cast(state_type).alias("st"), out.alias("out"))
+        return F.struct(m.advance_state(st, it).cast(state_type).alias("st"), out.alias("out"))
 
-    res = lvl1.select(*keys, F.explode(F.aggregate("items", zero, step)["out"]).alias("e"))
+    res = (lvl1.select(*keys, F.explode_outer(F.aggregate("items", zero, step)["out"]).alias("e"))
+           .where(F.col("e").isNotNull()))
     return res.select(*keys, "e.*")
 
 
 def final_states(items: DataFrame, keys: list[str], order: str, payload: list[str], m: Monoid,
-                 init: Column, *, fanout: int = 1024, max_order: int | None = None) -> DataFrame:
+                 init: Column, *, fanout: int = DEFAULT_FANOUT, max_order: int | None = None) -> DataFrame:
     """State per key after all its rows (keys, state)."""
     if max_order is None:
         max_order = items.agg(F.max(order)).first()[0] or 0

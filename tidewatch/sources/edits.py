@@ -58,8 +58,8 @@ def sse_lines(events: DataFrame) -> DataFrame:
         F.lit("}}"))
     lines = F.array(F.lit("event: message"), F.concat(F.lit("id: "), eid.cast("string")), data, F.lit(""))
     lines = F.when(eid % 13 == 0, F.concat(lines, F.array(F.lit("data: {not json")))).otherwise(lines)
-    return events.select(eid, F.posexplode(lines).alias("pos", "value")) \
-                 .select((eid * 8 + F.col("pos")).alias("line_no"), "value")
+    return (events.select(eid, F.posexplode_outer(lines).alias("pos", "value")).where(F.col("pos").isNotNull())
+            .select((eid * 8 + F.col("pos")).alias("line_no"), "value"))
 
 
 def decode_sse(lines: DataFrame, value_col: str = "value") -> DataFrame:

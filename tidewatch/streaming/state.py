@@ -57,7 +57,7 @@ def entity_rows(stream: DataFrame, batch_col=None) -> DataFrame:
     ents = F.from_json(F.col("entities"), "map<string,array<string>>")
     vals = F.transform(F.map_values(ents), lambda v: F.coalesce(v, F.array().cast("array<string>")))
     batch = batch_col if batch_col is not None else F.expr("event_id div 10")
-    return (stream.select(F.explode(F.array_distinct(F.flatten(vals))).alias("entity"),
+    return (stream.select(F.explode_outer(F.array_distinct(F.flatten(vals))).alias("entity"),
                           F.coalesce(F.col("source_type"), F.lit("unknown")).alias("source"),
                           batch.alias("batch"), F.col("event_time"))
             .where(F.col("entity").isNotNull()))
