@@ -125,6 +125,20 @@ VADER_ALPHA = 15.0            # compound = s / sqrt(s^2 + alpha), published norm
 # Builders
 # ---------------------------------------------------------------------------------------
 
+_LIT_CACHE: dict[tuple, Column] = {}
+
+
+def _cached(name: str, build):
+    """Literal columns are built once per SparkContext (each literal is a JVM round trip)."""
+    from pyspark import SparkContext
+    key = (id(SparkContext._active_spark_context), name)
+    c = _LIT_CACHE.get(key)
+    if c is None:
+        c = build()
+        _LIT_CACHE[key] = c
+    return c
+
+
 def cluster_keywords() -> list[tuple[int, str, str]]:
     """(pos, keyword, cluster): unique keywords in first-listed order, last cluster wins."""
     order: dict[str, int] = {}
@@ -159,23 +173,28 @@ def stopwords_col() -> Column:
 
 def keyword_struct_col() -> Column:
     """Literal array<struct<pos,kw,cluster>> of the 114 cluster keywords."""
-    return F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("kw"), F.lit(c).alias("cluster"))
-                     for p, k, c in cluster_keywords()])
+    return _cached("kw_struct", lambda: F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("kw"), F.lit(c).alias("cluster"))
+                     for p, k, c in cluster_keywords()]))
 
 
 def gazetteer_map_col() -> Column:
     """Literal map place -> struct(lat, lng)."""
-    return F.map_from_arrays(
+    return _cached("gaz_map", lambda: F.map_from_arrays(
         lit_str_array([p for p, _, _ in GAZETTEER]),
         F.array(*[F.struct(F.lit(la).cast("double").alias("lat"), F.lit(lo).cast("double").alias("lng"))
-                  for _, la, lo in GAZETTEER]))
+                  for _, la, lo in GAZETTEER])))
 
 
 def lexicon_map_col() -> Column:
-    return F.map_from_arrays(lit_str_array([w for w, _ in SENTIMENT_LEXICON]),
-                             F.array(*[F.lit(float(v)) for _, v in SENTIMENT_LEXICON]))
+    return _cached("lex_map", lambda: F.map_from_arrays(
+        lit_str_array([w for w, _ in SENTIMENT_LEXICON]),
+        F.array(*[F.lit(float(v)) for _, v in SENTIMENT_LEXICON])))
 
 
 def entity_label_map_col() -> Column:
-    return F.map_from_arrays(lit_str_array([s for s, _ in ENTITY_DICTIONARY]),
-                             lit_str_array([lab for _, lab in ENTITY_DICTIONARY]))
+    return _cached("ent_map", lambda: F.map_from_arrays(
+        lit_str_array([s for s, _ in ENTITY_DICTIONARY]), lit_str_array([lab for _, lab in ENTITY_DICTIONARY])))
+
+
+def cluster_names_col() -> Column:
+    return _cached("cluster_names", lambda: lit_str_array([c for c, _ in EVENT_CLUSTERS]))

@@ -26,10 +26,13 @@ def entity_mentions(text) -> Column:
     return F.regexp_extract_all(t, F.lit(dictionary_pattern()), 1)
 
 
-def entities_map(text) -> Column:
-    """Label -> mentions (labels in order of first appearance); blank -> {}."""
+def entities_map(text, found=None) -> Column:
+    """Label -> mentions (labels in order of first appearance); blank -> {}.
+
+    ``found`` may be a materialised ``entity_mentions(text)`` column, so that the regex runs
+    once per row rather than once per use inside the label lambdas."""
     lab = dims.entity_label_map_col()
-    found = entity_mentions(text)
+    found = entity_mentions(text) if found is None else _c(found)
     labels = F.array_distinct(F.transform(found, lambda f: F.element_at(lab, f)))
     m = F.map_from_arrays(labels, F.transform(labels, lambda lb: F.filter(found, lambda f: F.element_at(lab, f) == lb)))
     empty = F.create_map().cast("map<string,array<string>>")

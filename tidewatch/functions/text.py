@@ -92,12 +92,23 @@ def keywords_inline(toks, top_n: int = dims.KEYWORDS_TOP_N) -> Column:
     Cost is O(tokens x distinct tokens) per row, so use ``keywords_long`` for documents.
     """
     t = _c(toks)
-    d = F.array_distinct(t)
+    d = F.array_distinct(t)  # first-appearance order
+    # count of w = size(t) - size(array_remove(t, w)): one native call per distinct word
     scored = F.transform(d, lambda w, i: F.struct(
-        (-F.size(F.filter(t, lambda x: x == w))).alias("neg_n"), i.alias("pos"), w.alias("w")))
+        (F.size(F.array_remove(t, w)) - F.size(t)).alias("neg_n"), i.alias("pos"), w.alias("w")))
     return F.slice(F.transform(F.array_sort(scored), lambda s: s["w"]), 1, top_n)
 
 
+def _cluster_keyword_col() -> Column:
+    """Literal array<struct<pos, kw, ci>>: keywords in first-listed order with the index of
+    the cluster they map to (built once per SparkContext)."""
+    def build():
+        idx = {c: i for i, (c, _) in enumerate(dims.EVENT_CLUSTERS)}
+        return F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("kw"), F.lit(idx[c]).alias("ci"))
+                         for p, k, c in dims.cluster_keywords()])
+    return dims._cached("cluster_kw", build)
+
+
 def classify_lowered(lt) -> Column:
     """D4 on lower-cased text: topic cluster by keyword *substring* containment.
 
@@ -109,11 +120,8 @@ def classify_lowered(lt) -> Column:
     only a hit touches the 16 per-cluster counters. The expression is compact, so a filter
     pushed through it stays cheap to plan and to evaluate.
     """
-    names = [c for c, _ in dims.EVENT_CLUSTERS]
-    idx = {c: i for i, c in enumerate(names)}
-    n = len(names)
-    kws = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("kw"), F.lit(idx[c]).alias("ci"))
-                    for p, k, c in dims.cluster_keywords()])
+    n = len(dims.EVENT_CLUSTERS)
+    kws = _cluster_keyword_col()
     none = 1 << 20
     zero = F.struct(_c(lt).alias("lt"),
                     F.array_repeat(F.lit(0), n).alias("cnt"),
@@ -129,7 +137,7 @@ def classify_lowered(lt) -> Column:
         # (count, -first position, index) per cluster; 'general' when nothing matched.
         best = F.array_max(F.transform(acc["cnt"], lambda v, i: F.struct(
             v.alias("n"), (-F.element_at(acc["first"], i + 1)).alias("neg_first"),
-            F.element_at(dims.lit_str_array(names), i + 1).alias("cluster"))))
+            F.element_at(dims.cluster_names_col(), i + 1).alias("cluster"))))
         return F.when(best["n"] > 0, best["cluster"]).otherwise(F.lit(dims.DEFAULT_CLUSTER))
 
     return F.aggregate(kws, zero, merge, finish)

@@ -22,15 +22,16 @@ def enrich_event(df: DataFrame, text_col: str | None = None) -> DataFrame:
     """clean_text, word_count, entities (struct), event_cluster, keywords (top 5),
     sentiment (lower case), confidence_score."""
     text = F.col(text_col) if text_col else X.enrich_text_of(df)
-    out = df.withColumn("__text", text).withColumn("clean_text", X.tokens("__text"))
+    out = (df.withColumn("__text", text).withColumn("clean_text", X.tokens("__text"))
+           .withColumn("__found", N.entity_mentions(F.col("__text"))))
     out = X.with_cluster(out, F.col("__text"))
-    ents = N.entities_map(F.col("__text"))
+    ents = N.entities_map(F.col("__text"), F.col("__found"))
     return (out.withColumn("word_count", X.word_count("clean_text"))
             .withColumn("entities_struct", N.entities_struct(ents))
             .withColumn("keywords", X.keywords_inline("clean_text"))
             .withColumn("sentiment_lc", S.sentiment_label(F.col("__text")))
             .withColumn("confidence_score", F.lit(dims.CONFIDENCE_SCORE))
-            .drop("__text"))
+            .drop("__text", "__found"))
 
 
 def enrich_batch(df: DataFrame, raw_col: str = "_raw_text", sentiment_factory=None,

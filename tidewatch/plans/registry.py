@@ -43,10 +43,16 @@ def register(key: str):
     return deco
 
 
+_MAX_ID: dict[tuple[str, str], int] = {}
+
+
 def _max_batch(spark, sf_dir, batch_size=10):
-    """Largest batch number, read from the event ids (sets the scan depth)."""
-    m = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
-    return int(m) // batch_size
+    """Largest batch number, read from the event ids (sets the scan depth; one scalar job
+    per session and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MAX_ID:
+        _MAX_ID[key] = int(table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0)
+    return _MAX_ID[key] // batch_size
 
 
 def _alerts(spark, sf_dir):

@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
-    path = _WRITTEN.get(key)
-    if path is None:
+    df = _WRITTEN.get(key)
+    if df is None:
         tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = shared_path(spark, "store", app, tag, name)
         build().write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        _WRITTEN[key] = df
+    return df

@@ -78,8 +78,17 @@ def derived_feed(events: DataFrame) -> DataFrame:
     return feed
 
 
+_FEEDS: dict[tuple[str, str], DataFrame] = {}
+
+
 def load_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived_feed(table(spark, sf_dir, "events"))
+    """The derived feed over ``events`` (the plan is built once per session and folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    df = _FEEDS.get(key)
+    if df is None:
+        df = derived_feed(table(spark, sf_dir, "events"))
+        _FEEDS[key] = df
+    return df
 
 
 def with_entity_map(feed: DataFrame, col: str = "entities", out: str = "ents") -> DataFrame:

@@ -13,6 +13,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 _RELAID: dict[tuple, str] = {}
+_FRAMES: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, relayout: bool = True) -> DataFrame:
@@ -36,6 +37,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, relayout: bool = True) ->
         stamp = (0, 0)
     app = spark.sparkContext.applicationId
     key = (app, os.path.abspath(path), stamp, target)
+    if key in _FRAMES:
+        return _FRAMES[key]
     if key not in _RELAID:
         df = spark.read.parquet(path)
         if df.rdd.getNumPartitions() >= target:
@@ -45,4 +48,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, relayout: bool = True) ->
             out = shared_path(spark, "relayout", app, f"{name}-{tag}")
             df.repartition(target).write.mode("overwrite").parquet(out)
             _RELAID[key] = out
-    return spark.read.parquet(_RELAID[key])
+    df = spark.read.parquet(_RELAID[key])
+    _FRAMES[key] = df
+    return df
