@@ -512,3 +512,71 @@ def q_entity_nodes(spark, sf_dir):
 @register("live_feed")
 def q_live_feed(spark, sf_dir):
     return _live(spark, sf_dir).select("seq", "event_id", "event_time", "source_type", "title", "is_anomaly")
+
+
+# ---- streaming jobs checked against the batch result (S=B) ------------------------------
+
+def _stream_dir(spark, name):
+    import uuid
+    from ..session import shared_path
+    return shared_path(spark, "streams", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+FEED_COLS = ["event_id", "event_time", "source_type", "value", "place", "title", "description",
+             "lat", "lng", "sentiment", "entities", "user_id"]
+
+
+def _feed_files(spark, sf_dir, root):
+    import os
+    from ..streaming import pipeline as P
+    src = os.path.join(root, "src")
+    P.write_feed_files(load_feed(spark, sf_dir).select(*FEED_COLS), src)
+    return src
+
+
+@register("sink_fanout")
+def q_sink_fanout(spark, sf_dir):
+    """A4/H1/H2: the feed as a file stream through the per-epoch fan-out sink."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "fanout")
+    src = _feed_files(spark, sf_dir, root)
+    n_files = _max_batch(spark, sf_dir, 1000) + 1  # one file per 1000 events
+    per_trigger = max(1, -(-n_files // 4))           # about four micro-batches
+    q = P.start_processed(P.file_events(spark, src, max_files_per_trigger=per_trigger), root,
+                          os.path.join(root, "ckpt"), trigger={"availableNow": True})
+    P.run_available_now(q)
+    return spark.read.parquet(os.path.join(root, "processed_events")).select(*FEED_COLS)
+
+
+@register("tail_inserts")
+def q_tail_inserts(spark, sf_dir):
+    """A5: a live tail (file stream) of the append-only processed table, into a sink."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "tail")
+    src = _feed_files(spark, sf_dir, root)
+    P.run_available_now(P.start_processed(P.file_events(spark, src), root, os.path.join(root, "ckpt1"),
+                                          trigger={"availableNow": True}))
+    table_path = os.path.join(root, "processed_events")
+    schema = spark.read.parquet(table_path).drop("epoch").schema
+    out = os.path.join(root, "tail")
+    P.run_available_now(P.parquet_sink(P.tail_table(spark, table_path, schema), out, os.path.join(root, "ckpt2")))
+    return spark.read.parquet(out).select(*FEED_COLS)
+
+
+@register("backfill_live")
+def q_backfill_live(spark, sf_dir):
+    """History files then live files overlapping them; each event is emitted once."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "backfill")
+    feed = load_feed(spark, sf_dir).select(*FEED_COLS)
+    n = _max_batch(spark, sf_dir, 1) + 1
+    hist, live = os.path.join(root, "hist"), os.path.join(root, "live")
+    P.write_feed_files(feed.where(F.col("event_id") < int(n * 0.6)), hist)
+    P.write_feed_files(feed.where(F.col("event_id") >= int(n * 0.4)), live)
+    out = P.backfill_live(P.file_events(spark, hist), P.file_events(spark, live), delay="3650 days")
+    dest = os.path.join(root, "out")
+    P.run_available_now(P.parquet_sink(out.select(*FEED_COLS), dest, os.path.join(root, "ckpt")))
+    return spark.read.parquet(dest).select(*FEED_COLS)

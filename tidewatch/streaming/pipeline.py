@@ -136,3 +136,25 @@ def batch_stats(spark: SparkSession, progress_rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(
         [(r["batch_id"], r["num_input_rows"], float(r["processed_rows_per_second"] or 0.0)) for r in progress_rows],
         "batch_id long, num_input_rows long, processed_rows_per_second double")
+
+
+def write_feed_files(feed: DataFrame, path: str, rows_per_file: int = 1000) -> None:
+    """Lay a batch feed out as JSON-lines files (one folder per ``event_id div n`` chunk),
+    the shape a file-stream source consumes."""
+    (feed.select(F.expr(f"event_id div {int(rows_per_file)}").alias("chunk"),
+                 F.to_json(F.struct(*feed.columns), JSON_OPTIONS).alias("value"))
+     .repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path))
+
+
+def run_available_now(query: StreamingQuery, timeout_s: int = 3600) -> None:
+    """Wait for an ``availableNow`` query and surface its failure, if any."""
+    query.awaitTermination(timeout_s)
+    err = query.exception()
+    if err is not None:
+        raise RuntimeError(f"streaming query failed: {err}")
+
+
+def parquet_sink(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append-only Parquet sink (exactly-once through the sink's commit log)."""
+    return (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
