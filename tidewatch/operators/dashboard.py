@@ -165,13 +165,15 @@ def mood_index(live: DataFrame, slot_seconds: int = 1, time_col: str = "event_ti
     m = clamp_monoid()
     ev = live.select(slot_of(F.col(time_col), slot_seconds).alias("slot"), "seq",
                      _event_step(F.col("sentiment")).alias("f"))
-    bounds = ev.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).first()
+    # one scalar job: slot range and the widest per-slot seq span (sets the reduce depth)
+    bounds = (ev.groupBy("slot").agg((F.max("seq") - F.min("seq")).alias("w"))
+              .agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.max("w").alias("span")).first())
     if bounds["lo"] is None:
-        return live.sparkSession.createDataFrame([], "slot_start timestamp, mood long")
+        return live.sparkSession.createDataFrame([], "slot_start timestamp_ntz, mood long")
     lo, hi = int(bounds["lo"]), int(bounds["hi"])
     # per-slot summary: composed in seq order; a slot's events are reduced by the same
     # hierarchical ascent, so a hot slot is spread over many groups.
-    per_slot = _reduce_in_order(ev, "slot", "seq", m, fanout)
+    per_slot = _reduce_in_order(ev, "slot", "seq", m, fanout, span=int(bounds["span"] or 0))
     spark: SparkSession = live.sparkSession
     slots = spark.range(lo, hi + 1).withColumnRenamed("id", "slot")
     items = (slots.join(per_slot, "slot", "left")
@@ -184,12 +186,24 @@ def mood_index(live: DataFrame, slot_seconds: int = 1, time_col: str = "event_ti
     return out.select(slot_start(F.col("slot"), slot_seconds).alias("slot_start"), "mood")
 
 
-def _reduce_in_order(ev: DataFrame, key: str, order: str, m: Monoid, fanout: int) -> DataFrame:
-    """Compose per-row summaries ``f`` per key in ``order`` (bounded groups per level)."""
+def _reduce_in_order(ev: DataFrame, key: str, order: str, m: Monoid, fanout: int,
+                     span: int | None = None) -> DataFrame:
+    """Compose per-row summaries ``f`` per key in ``order`` with bounded groups.
+
+    The depth L comes from the widest ``order`` span of any key (one aggregate job): a key
+    whose span is below C**L overlaps at most two level-L groups, so after the ascent a
+    final per-key compose sees at most two items, however hot the key.
+    """
     from ..plans.scan import ascend, levels_for
-    mx = ev.agg(F.max(order)).first()[0] or 0
-    top = ascend(ev.select(key, order, "f"), [key], order, ["f"], m, fanout, levels_for(int(mx), fanout))[-1]
-    return top.select(key, F.col("s").alias("f"))
+    if span is None:
+        span = ev.groupBy(key).agg((F.max(order) - F.min(order)).alias("w")).agg(F.max("w")).first()[0] or 0
+    levels = levels_for(int(span), fanout)
+    top = ascend(ev.select(key, order, "f"), [key], order, ["f"], m, fanout, levels)[-1]
+    g = f"g{levels}"
+    stype = top.schema["s"].dataType
+    return (top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(g).alias("o"), F.col("s")))).alias("parts"))
+            .select(key, F.aggregate("parts", m.identity.cast(stype),
+                                     lambda acc, it: m.compose(acc, it["s"]).cast(stype)).alias("f")))
 
 
 def keyword_counts(kw_long: DataFrame, source_col: str = "source") -> DataFrame:
