@@ -40,17 +40,25 @@ def build_session(master: str | None = None, app: str = "tidewatch",
     return spark
 
 
+_LOCAL_FALLBACK: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared folder and is used as is. Only when it is unset
     (local tests) do we create a scratch folder for it.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FALLBACK.get(spark.sparkContext.applicationId)
     if not d:
         d = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        _LOCAL_FALLBACK[spark.sparkContext.applicationId] = d
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # a core setting may be read-only at runtime; keep our record
+            pass
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)  # for DataFrame.checkpoint(); makes a subfolder
     return d
 
 
