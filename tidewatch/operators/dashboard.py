@@ -22,8 +22,14 @@ def total_events(live: DataFrame) -> DataFrame:
     return live.agg(F.count(F.lit(1)).alias("total_events"))
 
 
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Epoch microseconds of a wall-clock (timestamp_ntz) value, read as UTC whatever the
+    session time zone."""
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), ts.cast("timestamp_ntz"))
 
 
 def events_per_min(live: DataFrame, time_col: str = "event_time") -> DataFrame:
@@ -41,7 +47,7 @@ def slot_of(ts: Column, slot_seconds: int) -> Column:
 
 def slot_start(slot: Column, slot_seconds: int) -> Column:
     """Start of a slot as a UTC wall-clock timestamp (timestamp_ntz)."""
-    return F.timestamp_seconds(slot * F.lit(slot_seconds)).cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", slot * F.lit(slot_seconds), _epoch_ntz())
 
 
 def velocity(live: DataFrame, slot_seconds: int = 1, n_slots: int = 60, time_col: str = "event_time") -> DataFrame:
