@@ -1,4 +1,5 @@
-"""Unions (I1-I3) and the live feed the dashboard reads.
+"""Unions (I1, I2) and the live feed the dashboard reads (I3, history then live, is the
+streaming ``streaming.pipeline.backfill_live``).
 
 ``live_feed`` = processed events UNION alert rows, each with ``seq``: the arrival order.
 Events arrive in ``event_id`` order; a batch's alerts arrive right after its last event
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as X
-from ..sources.feed import with_entity_map
 
 # FIXED VALUES: per-feed vocabularies of the four feed shapes.
 NEWS_CATEGORIES = ["technology", "business", "politics", "health", "science"]
@@ -87,18 +87,3 @@ def alerts_view(alerts: DataFrame, batch_size: int = 10) -> DataFrame:
 def live_feed(feed: DataFrame, alerts: DataFrame) -> DataFrame:
     """Processed events and alerts in one frame (``unionByName``)."""
     return processed_view(feed).unionByName(alerts_view(alerts))
-
-
-def live_with_entities(live: DataFrame) -> DataFrame:
-    return with_entity_map(live)
-
-
-def backfill_then_live(history: DataFrame, live: DataFrame, key: str = "event_id",
-                       watermark_col: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """History table followed by the live stream. With a watermark column, repeats of a
-    key seen within the delay are dropped (``dropDuplicatesWithinWatermark``); without
-    one, rows pass as they are (the original kept overlaps)."""
-    out = history.unionByName(live, allowMissingColumns=True)
-    if watermark_col:
-        out = out.withWatermark(watermark_col, delay).dropDuplicatesWithinWatermark([key])
-    return out

@@ -26,7 +26,7 @@ from ..operators import setops as U
 from ..operators import views as V
 from ..sources import edits as ED
 from ..sources import sinks as SK
-from ..sources.feed import ENTITY_MAP_TYPE, batch_of, load_feed, with_entity_map
+from ..sources.feed import batch_of, load_feed, with_entity_map
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
