@@ -97,13 +97,13 @@ def fit_languages(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int
 
 
 def _em(e: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int):
-    """EM rounds for all texts at once: ``share`` is (texts, languages); zero stays zero."""
+    """EM rounds for all texts at once: ``e`` is (languages, words), ``share`` (languages, texts); zero
+    stays zero. Returns the shares and the log-likelihoods under them."""
     for _ in range(rounds):
-        r = e * share[row]
-        r /= r.sum(1, keepdims=True)
-        share = np.add.reduceat(r, first, axis=0) / n[:, None]
-    like = np.add.reduceat(np.log((e * share[row]).sum(1)), first)
-    return share, like
+        r = e * share[:, row]
+        r /= r.sum(0)
+        share = np.add.reduceat(r, first, axis=1) / n
+    return share, np.add.reduceat(np.log((e * share[:, row]).sum(0)), first)
 
 
 def mixtures(m: LanguageModel, texts: pa.Array) -> list[dict | None]:
@@ -111,39 +111,37 @@ def mixtures(m: LanguageModel, texts: pa.Array) -> list[dict | None]:
     out: list = [None] * len(texts)
     if not m.names:
         return out
-    for row0, data, offs in V.slices(texts, 2 << 20):
+    tables = np.ascontiguousarray(m.logp.T)
+    for row0, data, offs in V.slices(texts, 1 << 20):
         w, gfirst, slot = grams(data, offs)
         if not len(w.row):
             continue
-        lw = np.add.reduceat(m.logp[slot], gfirst, axis=0).astype(np.float64)
+        lw = np.stack([np.add.reduceat(t[slot], gfirst) for t in tables])
+        lw -= lw.max(0)
         owners, first = np.unique(w.row, return_index=True)
         n = np.diff(np.append(first, len(w.row))).astype(float)
         row = np.repeat(np.arange(len(owners)), n.astype(int))
+        alive = np.ones((len(m.names), len(owners)), bool)
         if len(m.names) > MOST_LANGUAGES:
-            total = np.add.reduceat(np.maximum(lw - lw.max(1, keepdims=True), -20), first, axis=0)
-            cut = -np.sort(-total, axis=1)[:, MOST_LANGUAGES - 1:MOST_LANGUAGES]
-            alive = total >= cut
-        else:
-            alive = np.ones((len(owners), len(m.names)), bool)
+            total = np.add.reduceat(np.maximum(lw, -20), first, axis=1)
+            alive = total >= -np.sort(-total, axis=0)[MOST_LANGUAGES - 1]
         # a floor keeps single odd words from ruling a language out
-        e = np.exp(np.maximum(lw - lw.max(1, keepdims=True), -20.0)) + 1e-9
-        share, like = _em(e, row, first, n, alive / alive.sum(1, keepdims=True), 8)
-        best_share, size = share, alive.sum(1)
-        best = like - m.penalty * size * np.log(n + 1) / 2
-        for _ in range(int(size.max()) - 1):
-            size = (share > 0).sum(1)
-            low = np.where(share > 0, share, np.inf).argmin(1)
+        e = np.exp(np.maximum(lw, np.float32(-20.0))) + np.float32(1e-9)
+        share, like = _em(e, row, first, n, (alive / alive.sum(0)).astype(np.float32), 5)
+        best_share = share
+        best = like - m.penalty * (share > 0).sum(0) * np.log(n + 1) / 2
+        for _ in range(int(alive.sum(0).max()) - 1):
+            low = np.where(share > 0, share, np.inf).argmin(0)
+            drop = np.flatnonzero((share > 0).sum(0) > 1)
             share = share.copy()
-            drop = size > 1
-            share[np.flatnonzero(drop), low[drop]] = 0
-            share /= share.sum(1, keepdims=True)
-            share, like = _em(e, row, first, n, share, 3)
-            value = like - m.penalty * (share > 0).sum(1) * np.log(n + 1) / 2
+            share[low[drop], drop] = 0
+            share, like = _em(e, row, first, n, (share / share.sum(0)).astype(np.float32), 2)
+            value = like - m.penalty * (share > 0).sum(0) * np.log(n + 1) / 2
             better = value >= best
             best = np.where(better, value, best)
-            best_share = np.where(better[:, None], share, best_share)
+            best_share = np.where(better, share, best_share)
         for k, r in enumerate(owners.tolist()):
-            p = best_share[k]
+            p = best_share[:, k]
             on = np.flatnonzero(p > 0)
             on = on[np.argsort(-p[on], kind="stable")]
             out[row0 + r] = {"lang_pred": m.names[on[0]], "score": float(min(1.0, p[on[0]])),

@@ -136,35 +136,42 @@ def _draws(seed: int = 1234):
     return _DRAWS[seed]
 
 
-def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, block: int = 8192):
+def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, block: int = 1024):
     """(rows that have shingles, their 64 samples as numbers). For each sample, of all shingles the one
     with the smallest ln a = ln c - r * (t - beta + 1), t = floor(ln w / r + beta), wins; the sample
     is (shingle, t)."""
     r_, inv_, c_, beta_ = _draws()
     h = V.mix(shingle)
-    ia, ib, ic = ((h >> U(s)) & U(_POOL - 1) for s in (0, 13, 26))
-    lw = np.log(weight).astype(np.float32)
+    ia, ib, ic = (((h >> U(s)) & U(_POOL - 1)).astype(np.int64) for s in (0, 13, 26))
+    lw = np.log(weight).astype(np.float32)[:, None]
     owners, first = np.unique(row, return_index=True)
-    low = np.full((len(owners), SAMPLES), np.inf, np.float32)
-    best = np.zeros((len(owners), SAMPLES), np.uint64)
-    at = np.searchsorted(owners, row)
+    at = np.repeat(np.arange(len(owners)), np.diff(np.append(first, len(row))))
+    # (order-keeping bits of ln a, place) in one number, so that one minimum finds value and winner
+    low = np.full((len(owners), SAMPLES), np.iinfo(np.int64).max)
     for lo in range(0, len(row), block):
         s = slice(lo, min(len(row), lo + block))
-        a, b, c = ia[s].astype(np.int64), ib[s].astype(np.int64), ic[s].astype(np.int64)
-        beta = beta_[b]
-        t = np.floor(lw[s, None] * inv_[a] + beta)
-        la = c_[c] - r_[a] * (t - beta + 1)
+        a = ia[s]
+        beta = beta_[ib[s]]
+        la = lw[s] * inv_[a]
+        la += beta
+        np.floor(la, out=la)
+        la -= beta
+        la += 1
+        la *= r_[a]
+        np.subtract(c_[ic[s]], la, out=la)
+        bits = la.view(np.int32)
+        bits ^= (bits >> 31) & np.int32(0x7FFFFFFF)
+        key = bits.astype(np.int64)
+        key <<= 32
+        key += np.arange(s.start, s.stop)[:, None]
         own = at[s]
         cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        least = np.minimum.reduceat(la, cut, axis=0)
         rows = own[cut]
-        better = least < low[rows]
-        low[rows] = np.where(better, least, low[rows])
-        # a winner equals its document's new minimum; of equal ones the last, in shingle order
-        seg = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(own))))
-        i, k = np.nonzero((la == least[seg]) & better[seg])
-        best[own[i], k] = V.mix(shingle[s][i] ^ (t[i, k].astype(np.int64).view(np.uint64) * U(0x9E3779B97F4A7C15)))
-    return owners, best
+        low[rows] = np.minimum(low[rows], np.minimum.reduceat(key, cut, axis=0))
+    win = low & 0xFFFFFFFF
+    col = np.arange(SAMPLES)[None, :]
+    t = np.floor(lw[win, 0] * inv_[ia[win], col] + beta_[ib[win], col]).astype(np.int64)
+    return owners, V.mix(shingle[win] ^ (t.view(np.uint64) * U(0x9E3779B97F4A7C15)))
 
 
 SIGNATURE = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("samples", T.BinaryType())])
