@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,12 +217,14 @@ def promised(a: pa.Array, b: pa.Array) -> pa.Array:
 def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array) -> np.ndarray:
     """Exact weighted Jaccard similarity of text pairs."""
     out = np.zeros(len(a))
-    step = 256
-    for lo in range(0, len(a), step):
-        n = min(step, len(a) - lo)
+    size = np.cumsum(_lengths(a) + _lengths(b))
+    lo = 0
+    while lo < len(a):
+        # about a megabyte of text at a time, one pair at least
+        n = max(1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 20), "right")) - lo)
         both = pa.concat_arrays([x.slice(lo, n).cast(pa.large_string()) for x in (a, b)])
         keys, weights = [], []
-        for first, data, offs in V.slices(both, 1 << 62):
+        for _, data, offs in V.slices(both, 1 << 62):
             row, sh, count = weighted(data, offs)
             w = count * freq.idf(sh)
             for side in (row < n, row >= n):
@@ -232,9 +235,14 @@ def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array) -> np.ndarray:
         least = np.bincount(pair, np.minimum(weights[0][i], weights[1][j]), n)
         total = sum(np.bincount((k >> U(44)).astype(np.int64), w, n) for k, w in zip(keys, weights))
         out[lo:lo + n] = least / np.maximum(total - least, 1e-12)
+        lo += n
     return out
 
 
+def _lengths(texts: pa.Array) -> np.ndarray:
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def similarity_column(shared, a: Column, b: Column) -> Column:
     @F.arrow_udf(T.DoubleType())
     def similar(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20):
+def slices(texts: pa.Array, most_bytes: int = 1 << 20):
     """``(first row, bytes, offsets)`` of runs of rows with about ``most_bytes`` bytes (one row at
     least); null counts as empty."""
     arr = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
