@@ -1,15 +1,14 @@
 """BPE encoding and decoding through a distinct-word table.
 
-1. Each scan task splits its texts into blocks of whole documents. A block's row holds, per
-   document, the positions as indexes into the block's own list of distinct words.
-2. The (word, block, index) rows meet in one table of distinct words, built with map-side
-   pre-aggregation; every distinct word of the corpus is encoded exactly once.
-3. The ids go back to the blocks by (block, index), and each document's ids are read off by
-   position. Decoding joins ids with the vocabulary's id-to-piece table, whose size is fixed by
-   the tokenizer file, and puts the pieces side by side.
+1. Each scan task splits its texts into blocks of whole documents and lists each block's distinct words.
+2. The (block, at, word) rows are dealt and sorted by word, so that every distinct word of the corpus
+   is encoded exactly once; the ids go back to their blocks.
+3. A second pass over the same scan sends each block's positions (word numbers, packed) to meet them:
+   each document's ids are read off by position. Decoding looks ids up in the vocabulary's id-to-piece
+   table, whose size is fixed by the tokenizer file, and puts the pieces side by side.
 
-Blocks are bounded by ``block_chars`` (a longer document is a block of its own), so no group
-grows with the corpus; a frequent word has one row per block, and AQE splits it if skewed.
+Blocks are bounded by ``block_chars`` (a longer document is a block of its own), so no group grows with
+the corpus; a frequent word has one row a block. The scan is read twice and nothing is stored between.
 
 Splitting: special-token strings are cut out of the raw text first, as the library does; the rest
 is normalised and cut at white space, which no token of this tokenizer crosses.
@@ -33,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
 
 BLOCK_CHARS = 32_000_000
 #: Outside this range the library's own normaliser and splitter are called.
@@ -103,33 +101,34 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(v.T).view("<u4").reshape(-1)
 
 
-def _blocks(path: str, block_chars: int):
-    """mapInArrow function: rows (block, word, at) of each block's distinct words and one row
-    (block, null, -1, payload) with the documents' positions."""
+def _blocks(path: str, block_chars: int, want: str):
+    """mapInArrow function over (doc_id, text). Blocks are the same in every run over the same scan.
+
+    want="words": rows (block, at, word) of each block's distinct words, at = order of appearance;
+    want="positions": a row (block, ids, lens, ranks, spots) a block: documents, their word counts, and
+    their words as numbers that are small for frequent words; ``ranks`` gives the number of each ``at``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        names = ["block", "word", "at", "ids", "lens", "positions"]
 
-        def flush(ids, lens, spots, seen, made):
+        def flush():
             block = (part << 24) | made
-            allspots = np.concatenate(spots) if spots else np.zeros(0, np.uint32)
-            # frequent words first, so that most positions are small numbers
-            order = np.argsort(-np.bincount(allspots, minlength=len(seen)), kind="stable")
+            if want == "words":
+                listed = list(seen)
+                for lo in range(0, len(listed), 100_000):
+                    ws = pa.array(listed[lo:lo + 100_000], pa.string())
+                    yield pa.record_batch([pa.array(np.full(len(ws), block)), pa.array(np.arange(lo, lo + len(ws), dtype=np.int32)),
+                                           ws], ["block", "at", "word"])
+                return
+            flat = np.concatenate(spots)
             rank = np.empty(len(seen), np.uint32)
-            rank[order] = np.arange(len(seen), dtype=np.uint32)
-            listed = list(seen)
-            for lo in range(0, len(listed), 200_000):
-                ws = pa.array(listed[lo:lo + 200_000], pa.string())
-                k = len(ws)
-                yield pa.record_batch([pa.array(np.full(k, block)), ws, pa.array(rank[lo:lo + k].astype(np.int32)),
-                                       pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()),
-                                       pa.nulls(k, pa.binary())], names)
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([None], pa.string()), pa.array([-1], pa.int32()),
-                                   pa.array([ids], pa.list_(pa.int64())), pa.array([_pack(np.array(lens, np.uint32))]),
-                                   pa.array([_pack(rank[allspots] if len(allspots) else allspots)])], names)
+            rank[np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")] = np.arange(len(seen), dtype=np.uint32)
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                                   *[pa.array([_pack(np.asarray(x, np.uint32))], pa.binary()) for x in (lens, rank, rank[flat])]],
+                                  ["block", "ids", "lens", "ranks", "spots"])
 
         ids, lens, spots, seen, chars = [], [], [], {}, 0
         for b in batches:
@@ -138,42 +137,56 @@ def _blocks(path: str, block_chars: int):
                 for w in words:
                     if w not in seen:
                         seen[w] = len(seen)
-                spots.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
+                if want == "positions":
+                    spots.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc)
                 lens.append(len(words))
                 chars += sum(map(len, words)) + len(words)
                 if chars >= block_chars:
-                    yield from flush(ids, lens, spots, seen, made)
+                    yield from flush()
                     ids, lens, spots, seen, chars, made = [], [], [], {}, 0, made + 1
         if ids:
-            yield from flush(ids, lens, spots, seen, made)
+            yield from flush()
 
     return run
 
 
-_BLOCKS = "block long, word string, at int, ids array<long>, lens binary, positions binary"
+_WORDS = "block long, at int, word string"
+_POSITIONS = "block long, ids array<long>, lens binary, ranks binary, spots binary"
 
 
 def _encode_words(path: str):
-    """mapInArrow function: (word) -> (word, codes: little-endian 32-bit ids)."""
+    """mapInArrow function over rows sorted by word: (block, at, word) -> (block, at, codes). Each distinct
+    word is encoded once; ids are little-endian numbers of ``_width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok, (special, _) = _tokenizer(path), _specials(path)
+        tok, (special, _), kind = _tokenizer(path), _specials(path), _width(path)
+        last: tuple = (None, b"")
         for b in batches:
-            words = b.column(0).to_pylist()
-            plain = [w[1:] if w[:2] == "\x00\x00" else "" if w[:1] == "\x00" else w for w in words]
-            codes = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(plain, add_special_tokens=False)]
-            for i, w in enumerate(words):
-                if w[:1] == "\x00" and w[:2] != "\x00\x00":
-                    codes[i] = np.array([special[w[1:]]], "<u4").tobytes()
-            yield pa.record_batch([b.column(0), pa.array(codes, pa.binary())], ["word", "codes"])
+            words = b.column(2).to_pylist()
+            known = dict([last])
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            plain = [w for w in new if w[:1] != "\x00" or w[:2] == "\x00\x00"]
+            for w, e in zip(plain, tok.encode_batch([w[1:] if w[:1] == "\x00" else w for w in plain], add_special_tokens=False)):
+                known[w] = np.array(e.ids, kind).tobytes()
+            for w in new:
+                if w not in known:
+                    known[w] = np.array([special[w[1:]]], kind).tobytes()
+            if words:
+                last = (words[-1], known[words[-1]])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([known[w] for w in words], pa.binary())],
+                                  ["block", "at", "codes"])
 
     return run
 
 
+def _width(path: str) -> str:
+    return "<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 @functools.lru_cache(maxsize=2)
 def _pieces(path: str) -> list[str]:
     """Id-to-piece table."""
@@ -184,23 +197,20 @@ def _pieces(path: str) -> list[str]:
 def _assemble(path: str, with_ids: bool):
     """Grouped function over a block: ids back by position, pieces by id, digests by document."""
 
-    def run(key: tuple, left: pa.Table) -> pa.Table:
-        piece = _pieces(path)
-        at = left["at"].to_numpy()
-        code_col = left["codes"].to_pylist()
-        main = int(np.flatnonzero(at == -1)[0])
-        doc_ids = left["ids"][main].as_py()
-        lens, spots = _unpack(left["lens"][main].as_py()), _unpack(left["positions"][main].as_py())
-        n = len(at) - 1
+    def run(key: tuple, mains: pa.Table, coded: pa.Table) -> pa.Table:
+        piece, kind = _pieces(path), _width(path)
+        doc_ids = mains["ids"][0].as_py()
+        lens, rank, spots = (_unpack(mains[c][0].as_py()) for c in ("lens", "ranks", "spots"))
+        n = coded.num_rows
         raw: list = [b""] * n
-        for i, c in zip(at.tolist(), code_col):
-            if i >= 0:
-                raw[i] = c or b""
-        count = np.array([len(c) // 4 for c in raw], np.int64)
+        for i, c in zip(rank[coded["at"].to_numpy()].tolist(), coded["codes"].to_pylist()):
+            raw[i] = c
+        size = np.dtype(kind).itemsize
+        count = np.array([len(c) // size for c in raw], np.int64)
         text_ids, text_pieces = [""] * n, [""] * n
         numbers = [str(i) for i in range(len(piece))]
         for i, c in enumerate(raw):
-            v = memoryview(c).cast("I").tolist() if c else []
+            v = np.frombuffer(c, kind).tolist()
             text_ids[i] = " ".join([numbers[x] for x in v])
             text_pieces[i] = " ".join([piece[x] for x in v])
         out, done = {"n": [], "i": [], "h": [], "d": []}, 0
@@ -214,7 +224,7 @@ def _assemble(path: str, with_ids: bool):
             out["n"].append(int(count[mine].sum()) if k else 0)
             out["h"].append(hashlib.sha256(" ".join([text_ids[j] for j in own]).encode()).hexdigest())
             out["d"].append(hashlib.sha256(" ".join([text_pieces[j] for j in own]).encode()).hexdigest())
-            out["i"].append(b"".join([raw[j] for j in own]) if with_ids else None)
+            out["i"].append(np.frombuffer(b"".join([raw[j] for j in own]), kind).astype("<u4").tobytes() if with_ids else None)
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(out["n"], pa.int64()),
                          "ids": pa.array(out["i"], pa.binary()), "ids_sha256": out["h"], "decoded_sha256": out["d"]})
 
@@ -226,15 +236,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """Ids of every whole text: doc_id, n_tokens, ids (little-endian 32-bit, if ``with_ids``),
     ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the decoded text)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = stored(src.mapInArrow(_blocks(path, block_chars), _BLOCKS), "bpe-blocks")
-    places = blocks.filter(F.col("at") >= 0).select("word", "block", "at")
-    table = places.select("word").distinct().mapInArrow(_encode_words(path), "word string, codes binary")
-    back = places.join(table, "word").select(
-        "block", "at", "codes", F.lit(None).cast("array<long>").alias("ids"),
-        F.lit(None).cast("binary").alias("lens"), F.lit(None).cast("binary").alias("positions"))
-    mains = blocks.filter(F.col("at") < 0).select(
-        "block", "at", F.lit(None).cast("binary").alias("codes"), "ids", "lens", "positions")
-    return back.unionByName(mains).groupBy("block").applyInArrow(_assemble(path, with_ids), ENCODED)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = src.mapInArrow(_blocks(path, block_chars, "words"), _WORDS).repartition(n, "word").sortWithinPartitions("word")
+    coded = table.mapInArrow(_encode_words(path), "block long, at int, codes binary")
+    mains = src.mapInArrow(_blocks(path, block_chars, "positions"), _POSITIONS)
+    return mains.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(path, with_ids), ENCODED)
 
 
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
