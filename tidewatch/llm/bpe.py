@@ -156,8 +156,9 @@ _POSITIONS = "block long, ids array<long>, lens binary, ranks binary, spots bina
 
 
 def _encode_words(path: str):
-    """mapInArrow function over rows sorted by word: (block, at, word) -> (block, at, codes). Each distinct
-    word is encoded once; ids are little-endian numbers of ``_width`` bytes."""
+    """mapInArrow function over rows sorted by word: (block, at, word) -> (block, at, lens, codes), packed:
+    the places, byte counts and ids of some words of a block. Each distinct word is encoded once; ids are
+    little-endian numbers of ``_width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -177,8 +178,16 @@ def _encode_words(path: str):
                     known[w] = np.array([special[w[1:]]], kind).tobytes()
             if words:
                 last = (words[-1], known[words[-1]])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([known[w] for w in words], pa.binary())],
-                                  ["block", "at", "codes"])
+            # the batch's rows of a block as one row
+            block, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            codes = [known[w] for w in words]
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+            rows = [(int(block[own[0]]), at[own].astype("<i4").tobytes(),
+                     np.array([len(codes[i]) for i in own.tolist()], "<u2").tobytes(), b"".join([codes[i] for i in own.tolist()]))
+                    for own in np.split(order, cuts[1:]) if len(own)]
+            if rows:
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["block", "at", "lens", "codes"])
 
     return run
 
@@ -201,10 +210,14 @@ def _assemble(path: str, with_ids: bool):
         piece, kind = _pieces(path), _width(path)
         doc_ids = mains["ids"][0].as_py()
         lens, rank, spots = (_unpack(mains[c][0].as_py()) for c in ("lens", "ranks", "spots"))
-        n = coded.num_rows
+        n = len(rank)
         raw: list = [b""] * n
-        for i, c in zip(rank[coded["at"].to_numpy()].tolist(), coded["codes"].to_pylist()):
-            raw[i] = c
+        for at, long, codes in zip(*(coded[c].to_pylist() for c in ("at", "lens", "codes"))):
+            end = np.cumsum(np.frombuffer(long, "<u2").astype(np.int64)).tolist()
+            last = 0
+            for i, e in zip(rank[np.frombuffer(at, "<i4")].tolist(), end):
+                raw[i] = codes[last:e]
+                last = e
         size = np.dtype(kind).itemsize
         count = np.array([len(c) // size for c in raw], np.int64)
         text_ids, text_pieces = [""] * n, [""] * n
@@ -238,7 +251,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = src.mapInArrow(_blocks(path, block_chars, "words"), _WORDS).repartition(n, "word").sortWithinPartitions("word")
-    coded = table.mapInArrow(_encode_words(path), "block long, at int, codes binary")
+    coded = table.mapInArrow(_encode_words(path), "block long, at binary, lens binary, codes binary")
     mains = src.mapInArrow(_blocks(path, block_chars, "positions"), _POSITIONS)
     return mains.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(path, with_ids), ENCODED)
 
