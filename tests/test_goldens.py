@@ -74,27 +74,27 @@ def test_burst_golden(spark):
     # 20 single-source "Apple" events, one per batch -> one alert with score 11, 9 left.
     feed = _events(spark, [(i * 10, "financial", '{"ORG": ["Apple"]}') for i in range(20)])
     agg = C.entity_sources(feed)
-    alerts = C.burst_alerts(agg, max_batch=19).collect()
+    alerts = C.burst_alerts(agg).collect()
     assert [(a["entity"], a["score"], a["is_burst"], a["is_cross"]) for a in alerts] == [("Apple", 11, True, False)]
-    st = C.burst_counter_state(agg, max_batch=19).first()
+    st = C.burst_counter_state(agg).first()
     assert st["run"] == 9
 
 
 def test_no_alert_at_ten(spark):
     feed = _events(spark, [(i * 10, "news", '{"ORG": ["Apple"]}') for i in range(10)])
-    assert C.burst_alerts(C.entity_sources(feed), max_batch=9).count() == 0
+    assert C.burst_alerts(C.entity_sources(feed)).count() == 0
 
 
 def test_cross_stream_golden(spark):
     feed = _events(spark, [(0, "news", '{"GPE": ["Paris"]}'), (1, "gdacs", '{"GPE": ["Paris"]}')])
     agg = C.entity_sources(feed)
-    rows = C.alert_rows(C.burst_alerts(agg, max_batch=0)).collect()
+    rows = C.alert_rows(C.burst_alerts(agg)).collect()
     assert len(rows) == 1
     r = rows[0]
     assert r["sentiment"] == "NEGATIVE" and r["score"] == 2 and r["lat"] == 48.8566
     assert r["description"] == ("Entity 'Paris' exhibited anomalous behavior. Sources involved: gdacs, news. "
                                 "Burst score: 2")
-    assert C.burst_counter_state(agg, max_batch=0).first()["run"] == 0
+    assert C.burst_counter_state(agg).first()["run"] == 0
 
 
 def test_geocode_goldens(spark):

@@ -55,9 +55,9 @@ def test_burst_scan_matches_fold(spark):
     want, final = brute_alerts(steps)
     agg = agg_df(spark, steps)
     for fanout in (1024, 16, 3):
-        got = {(r["entity"], r["batch"], r["score"]) for r in C.burst_alerts(agg, fanout=fanout, max_batch=2999).collect()}
+        got = {(r["entity"], r["batch"], r["score"]) for r in C.burst_alerts(agg, fanout=fanout).collect()}
         assert got == want, fanout
-        st = {r["entity"]: r["run"] for r in C.burst_counter_state(agg, fanout=fanout, max_batch=2999).collect()}
+        st = {r["entity"]: r["run"] for r in C.burst_counter_state(agg, fanout=fanout).collect()}
         assert st == final
 
 
@@ -65,7 +65,7 @@ def test_burst_scan_threshold_parameter(spark):
     steps = make_steps(11)
     want, _ = brute_alerts(steps, threshold=4)
     agg = agg_df(spark, steps)
-    got = {(r["entity"], r["batch"], r["score"]) for r in C.burst_alerts(agg, threshold=4, fanout=8, max_batch=2999).collect()}
+    got = {(r["entity"], r["batch"], r["score"]) for r in C.burst_alerts(agg, threshold=4, fanout=8).collect()}
     assert got == want
 
 

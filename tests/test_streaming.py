@@ -32,7 +32,7 @@ def write_batches(spark, feed, folder, lo, hi):
 
 def batch_alerts(spark, feed, n_batches):
     sub = feed.where(F.col("event_id") < n_batches * 10)
-    return {(r["entity"], r["batch"], r["score"], r["sentiment"]) for r in C.meta_events(sub, max_batch=n_batches).collect()}
+    return {(r["entity"], r["batch"], r["score"], r["sentiment"]) for r in C.meta_events(sub).collect()}
 
 
 def run_alerts(spark, src, out, ckpt):

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import STR_ARRAY, _c, is_blank, tokens, truncate
+from .text import STR_ARRAY, _c, is_blank, tokens
 
 
 def dictionary_pattern() -> str:
@@ -21,9 +21,8 @@ def dictionary_pattern() -> str:
 
 
 def entity_mentions(text) -> Column:
-    """Surface forms found in the first 1000 characters, in order, repeats kept."""
-    t = truncate(F.coalesce(_c(text), F.lit("")), dims.NER_TEXT_CHARS)
-    return F.regexp_extract_all(t, F.lit(dictionary_pattern()), 1)
+    """Surface forms found in the whole text, in order, repeats kept."""
+    return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(dictionary_pattern()), 1)
 
 
 def entities_map(text, found=None) -> Column:
@@ -56,6 +55,6 @@ def entities_struct(m) -> Column:
 
 
 def keywords_distinct(text) -> Column:
-    """D11 (re-aimed): distinct sorted tokens of the first 1000 characters; blank -> []."""
+    """D11 (re-aimed): distinct sorted tokens of the whole text; blank -> []."""
     return F.when(is_blank(text), F.array().cast(STR_ARRAY)).otherwise(
-        F.array_sort(F.array_distinct(tokens(truncate(text, dims.NER_TEXT_CHARS)))))
+        F.array_sort(F.array_distinct(tokens(text))))

@@ -53,7 +53,7 @@ def old_bucket(score, is_burst) -> Column:
 
 
 def model_sentiment_default(text) -> Column:
-    """D7 without a model: blank -> NEUTRAL, else the lexicon label of the first 512
-    characters, upper-cased."""
+    """D7 without a model: blank -> NEUTRAL, else the lexicon label of the whole text,
+    upper-cased."""
     return F.when(is_blank(text), F.lit("NEUTRAL")).otherwise(
-        F.upper(sentiment_label(truncate(text, dims.MODEL_TEXT_CHARS))))
+        F.upper(sentiment_label(text)))

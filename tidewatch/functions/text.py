@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import dims
 
@@ -58,24 +57,30 @@ def word_count(toks) -> Column:
     return F.size(_c(toks)).cast("long")
 
 
-def keywords_long(df: DataFrame, id_col: str, toks_col: str, top_n: int = dims.KEYWORDS_TOP_N,
-                  carry: tuple[str, ...] = ()) -> DataFrame:
-    """D3 in long form: (id, *carry, rank, keyword, n). Count desc, ties by first appearance.
+def token_counts(toks) -> Column:
+    """Distinct tokens of a row as (neg_n, pos, w), sorted: count desc, then first appearance. Sorting
+    (token, place) pairs brings equal tokens together; a run starts where its predecessor differs, so
+    the cost is that of the sort and nothing leaves the row."""
+    pairs = F.array_sort(F.transform(_c(toks), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
-    The token arrays are hash-partitioned by id once; exploding, counting and the per-id
-    top-n window then all run inside that partitioning (one exchange, of the token arrays,
-    never of the exploded pairs). ``carry`` columns depend on the id only (e.g. source).
-    """
-    keys = [id_col, *carry]
-    # posexplode_outer: a plain explode makes the optimizer add a size(tokens) > 0 filter,
-    # which would evaluate the tokenizer a second time.
-    ex = (df.select(*keys, toks_col).repartition(id_col)
-          .select(*keys, F.posexplode_outer(toks_col).alias("pos", "keyword"))
-          .where(F.col("keyword").isNotNull()))
-    counts = ex.groupBy(*keys, "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
-    w = Window.partitionBy(id_col).orderBy(F.desc("n"), F.asc("first_pos"))
-    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-            .select(*keys, F.col("rank").cast("long").alias("rank"), "keyword", "n"))
+    # a one-item transform binds the sorted pairs, and then the run starts, once
+    return F.array_sort(F.flatten(F.transform(F.array(pairs), lambda s: F.flatten(F.transform(
+        F.array(F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1)["w"] != x["w"]), j)),
+                         lambda j: j.isNotNull())),
+        lambda starts: F.transform(starts, lambda j, k: F.struct(
+            (j - F.coalesce(F.get(starts, k + 1), F.size(s))).alias("neg_n"), F.get(s, j)["i"].alias("pos"),
+            F.get(s, j)["w"].alias("w"))))))))
+
+
+def keywords_long(df: DataFrame, id_col: str | list[str], toks_col: str, top_n: int = dims.KEYWORDS_TOP_N,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """D3 in long form: (ids, *carry, rank, keyword, n). Count desc, ties by first appearance. Counted
+    and ranked inside the row: no exchange, and only ``top_n`` rows a document leave it."""
+    keys = [*([id_col] if isinstance(id_col, str) else id_col), *carry]
+    best = F.slice(token_counts(toks_col), 1, top_n)
+    return (df.select(*keys, F.posexplode_outer(best).alias("at", "k")).where(F.col("k").isNotNull())
+            .select(*keys, (F.col("at") + 1).cast("long").alias("rank"), F.col("k.w").alias("keyword"),
+                    (-F.col("k.neg_n")).cast("long").alias("n")))
 
 
 def keywords_array(df: DataFrame, id_col: str, toks_col: str, top_n: int = dims.KEYWORDS_TOP_N) -> DataFrame:
@@ -87,16 +92,8 @@ def keywords_array(df: DataFrame, id_col: str, toks_col: str, top_n: int = dims.
 
 
 def keywords_inline(toks, top_n: int = dims.KEYWORDS_TOP_N) -> Column:
-    """D3 inside one row (no shuffle): for short texts such as feed titles.
-
-    Cost is O(tokens x distinct tokens) per row, so use ``keywords_long`` for documents.
-    """
-    t = _c(toks)
-    d = F.array_distinct(t)  # first-appearance order
-    # count of w = size(t) - size(array_remove(t, w)): one native call per distinct word
-    scored = F.transform(d, lambda w, i: F.struct(
-        (F.size(F.array_remove(t, w)) - F.size(t)).alias("neg_n"), i.alias("pos"), w.alias("w")))
-    return F.slice(F.transform(F.array_sort(scored), lambda s: s["w"]), 1, top_n)
+    """D3 inside one row, as an array."""
+    return F.slice(F.transform(token_counts(toks), lambda s: s["w"]), 1, top_n)
 
 
 def _cluster_keyword_col() -> Column:

@@ -79,8 +79,7 @@ def _burst_items(agg: DataFrame) -> DataFrame:
                       F.col("n_sources").cast("int").alias("ns"), "sources", "last_time")
 
 
-def burst_alerts(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = DEFAULT_FANOUT,
-                 max_batch: int | None = None) -> DataFrame:
+def burst_alerts(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """(entity, batch, score, n_sources, sources, is_cross, is_burst, last_time).
 
     score is the running count including this batch, before the reset.
@@ -99,15 +98,14 @@ def burst_alerts(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanou
                         it["last_time"].alias("last_time"))
 
     return ordered_scan(items, ["entity"], "batch", ["c", "ns", "sources", "last_time"], m,
-                        F.lit(0), emit, fires, fanout=fanout, max_order=max_batch)
+                        F.lit(0), emit, fires, fanout=fanout)
 
 
-def burst_counter_state(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = DEFAULT_FANOUT,
-                        max_batch: int | None = None) -> DataFrame:
+def burst_counter_state(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *, fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """Running count left per entity after all batches (entity, run)."""
     items = _burst_items(agg)
     return final_states(items, ["entity"], "batch", ["c", "ns"], burst_monoid(threshold), F.lit(0),
-                        fanout=fanout, max_order=max_batch).withColumnRenamed("state", "run")
+                        fanout=fanout).withColumnRenamed("state", "run")
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
@@ -129,7 +127,6 @@ def alert_rows(alerts: DataFrame) -> DataFrame:
 
 
 def meta_events(feed: DataFrame, threshold: int = dims.BURST_THRESHOLD, batch: Column | None = None,
-                *, fanout: int = DEFAULT_FANOUT, max_batch: int | None = None) -> DataFrame:
+                *, fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """Feed -> alert rows (the flagship query)."""
-    return alert_rows(burst_alerts(entity_sources(feed, batch), threshold, fanout=fanout,
-                                   max_batch=max_batch))
+    return alert_rows(burst_alerts(entity_sources(feed, batch), threshold, fanout=fanout))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from .. import dims
 from ..functions import text as X
+from ..plans.store import written
 from ..plans.scan import DEFAULT_FANOUT, Monoid, ordered_scan
 from ..sources.feed import with_entity_map
 
@@ -171,6 +172,7 @@ def mood_index(live: DataFrame, slot_seconds: int = 1, time_col: str = "event_ti
     m = clamp_monoid()
     ev = live.select(slot_of(F.col(time_col), slot_seconds).alias("slot"), "seq",
                      _event_step(F.col("sentiment")).alias("f"))
+    ev = written(ev, "mood-events")
     # one scalar job: slot range and the widest per-slot seq span (sets the reduce depth)
     bounds = (ev.groupBy("slot").agg((F.max("seq") - F.min("seq")).alias("w"))
               .agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.max("w").alias("span")).first())
@@ -188,7 +190,7 @@ def mood_index(live: DataFrame, slot_seconds: int = 1, time_col: str = "event_ti
     out = ordered_scan(items, ["k"], "idx", ["slot", "f"], m, F.lit(0).cast("long"),
                        emit=lambda it, st: F.struct(it["slot"].alias("slot"),
                                                     m.apply(it["f"], st).cast("long").alias("mood")),
-                       fanout=fanout, max_order=hi - lo)
+                       fanout=fanout)
     return out.select(slot_start(F.col("slot"), slot_seconds).alias("slot_start"), "mood")
 
 

@@ -15,15 +15,9 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as X
 
-# FIXED VALUES: per-feed vocabularies of the four feed shapes.
-NEWS_CATEGORIES = ["technology", "business", "politics", "health", "science"]
-DISASTER_TYPES = ["Earthquake", "Flood", "Hurricane"]
-SEVERITIES = ["low", "moderate", "high", "extreme"]
-SYMBOLS = ["AAPL", "GOOGL", "MSFT", "AMZN", "TSLA"]
-
-
-def _pick(values, idx):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(idx, F.lit(len(values))) + 1).cast("int"))
+def _group(word: str, idx, n: int):
+    """A category name derived from the user id."""
+    return F.concat(F.lit(word), F.pmod(idx, F.lit(n)).cast("string"))
 
 
 def feed_shapes(feed: DataFrame) -> dict[str, DataFrame]:
@@ -32,18 +26,18 @@ def feed_shapes(feed: DataFrame) -> dict[str, DataFrame]:
     ts = F.col("event_time")
     common = [F.col("event_id"), F.col("title")]
     news = feed.where(F.col("source_type") == "news").select(
-        *common, "description", F.lit("news").alias("source_type"), _pick(NEWS_CATEGORIES, uid).alias("category"),
+        *common, "description", F.lit("news").alias("source_type"), _group("category ", uid, 5).alias("category"),
         F.col("place").alias("location"), "lat", "lng",
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
         X.raw_text(F.col("title"), F.col("description")).alias("_raw_text"))
     gdacs = feed.where(F.col("source_type") == "gdacs").select(
         *common, "description", F.lit("gdacs").alias("source_type"),
-        _pick(DISASTER_TYPES, uid).alias("disaster_type"), _pick(SEVERITIES, uid).alias("severity"),
+        _group("type ", uid, 3).alias("disaster_type"), _group("level ", uid, 4).alias("severity"),
         F.col("place").alias("location"), "lat", "lng",
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         X.raw_text(F.col("title"), F.col("description")).alias("_raw_text"))
     fin = feed.where(F.col("source_type") == "financial").select(
-        *common, _pick(SYMBOLS, uid).alias("symbol"), (F.col("value") - F.lit(50.0)).alias("price_change"),
+        *common, _group("S", uid, 5).alias("symbol"), (F.col("value") - F.lit(50.0)).alias("price_change"),
         F.lit("financial").alias("source_type"), F.col("place").alias("location"), "lat", "lng",
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         X.raw_text(F.col("title"), F.lit("")).alias("_raw_text"))

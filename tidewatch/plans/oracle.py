@@ -174,19 +174,19 @@ from ev_ent where entity is not null group by w, entity having count(distinct so
     shapes = """
 shapes as (
   select event_id, title, description, 'news' as source_type,
-    ['technology', 'business', 'politics', 'health', 'science'][user_id % 5 + 1] as category,
+    'category ' || cast(user_id % 5 as varchar) as category,
     place as location, lat, lng, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f+00:00') as "timestamp",
     coalesce(title, '') || ' ' || coalesce(description, '') as _raw_text
   from feed where source_type = 'news'
   union all by name
   select event_id, title, description, 'gdacs' as source_type,
-    ['Earthquake', 'Flood', 'Hurricane'][user_id % 3 + 1] as disaster_type,
-    ['low', 'moderate', 'high', 'extreme'][user_id % 4 + 1] as severity,
+    'type ' || cast(user_id % 3 as varchar) as disaster_type,
+    'level ' || cast(user_id % 4 as varchar) as severity,
     place as location, lat, lng, strftime(event_time, '%Y-%m-%dT%H:%M:%S.%f') as "timestamp",
     coalesce(title, '') || ' ' || coalesce(description, '') as _raw_text
   from feed where source_type = 'gdacs'
   union all by name
-  select event_id, title, ['AAPL', 'GOOGL', 'MSFT', 'AMZN', 'TSLA'][user_id % 5 + 1] as symbol,
+  select event_id, title, 'S' || cast(user_id % 5 as varchar) as symbol,
     value - 50.0 as price_change, 'financial' as source_type, place as location, lat, lng,
     strftime(event_time, '%Y-%m-%dT%H:%M:%S.%fZ') as "timestamp", coalesce(title, '') || ' ' as _raw_text
   from feed where source_type = 'financial'
@@ -328,8 +328,8 @@ ranked as (select {id_col}, cast(row_number() over (partition by {id_col} order
     q["keywords_topn"] = "with " + topn(f"select doc_id, {toks('text')} as toks from documents", "doc_id").strip() + \
         "\nselect doc_id, rank, keyword, n from ranked where rank <= 5"
     q["keywords_conversations"] = "with " + topn(
-        f"select conv_id * 1000 + turn as msg_id, {toks('text')} as toks from conversations", "msg_id").strip() + \
-        "\nselect msg_id, rank, keyword, n from ranked where rank <= 5"
+        f"select conv_id, turn, {toks('text')} as toks from conversations", "conv_id, turn").strip() + \
+        "\nselect conv_id, turn, rank, keyword, n from ranked where rank <= 5"
     q["keyword_counts"] = "with " + topn(f"select doc_id, {toks('text')} as toks from documents", "doc_id").strip() + """
 select r.keyword, d.source, count(*) as n from ranked r join documents d on d.doc_id = r.doc_id
 where r.rank <= 5 group by rollup (r.keyword, d.source)"""
@@ -357,7 +357,7 @@ comp as (select src.{id_col}, src.{text} as text, coalesce(sums.s, 0) / sqrt(coa
         f"\nselect doc_id, round(compound, 6) as compound, {label} as sentiment from comp"
     blank = "(text is null or regexp_full_match(text, '[\\s\\x{85}\\p{Z}]*'))"
     q["sentiment_model"] = "with " + compound_cte(
-        f"select doc_id, substr(text, 1, {d.MODEL_TEXT_CHARS}) as t, text as full_text from documents",
+        "select doc_id, text as t, text as full_text from documents",
         "doc_id", "t").strip() + f"""
 select c.doc_id, case when {blank.replace('text', 'src.full_text')} then 'NEUTRAL' else upper({label}) end as sentiment
 from comp c join src on src.doc_id = c.doc_id"""
@@ -372,12 +372,12 @@ select doc_id, {blank} as is_blank,
 from documents"""
     q["keywords_distinct"] = f"""
 select doc_id, case when {blank} then cast([] as varchar[])
-  else list_sort(list_distinct({toks(f'substr(text, 1, {d.NER_TEXT_CHARS})')})) end as keywords
+  else list_sort(list_distinct({toks('text')})) end as keywords
 from documents"""
 
     mentions = f"""
 {ent_dict},
-mx as (select event_id, regexp_extract_all(substr(coalesce(t, ''), 1, {d.NER_TEXT_CHARS}), '{ent_pat}', 1) as found, t
+mx as (select event_id, regexp_extract_all(coalesce(t, ''), '{ent_pat}', 1) as found, t
   from (select event_id, {feed_text} as t from feed)),
 mm as (select event_id, unnest(found) as surface, generate_subscripts(found, 1) as pos from mx
   where not (t is null or regexp_full_match(t, '[\\s\\x{{85}}\\p{{Z}}]*'))),

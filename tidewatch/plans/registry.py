@@ -43,20 +43,13 @@ def register(key: str):
     return deco
 
 
-_MAX_ID: dict[tuple[str, str], int] = {}
-
-
 def _max_batch(spark, sf_dir, batch_size=10):
-    """Largest batch number, read from the event ids (sets the scan depth; one scalar job
-    per session and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MAX_ID:
-        _MAX_ID[key] = int(table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0)
-    return _MAX_ID[key] // batch_size
+    """Largest batch number, read from the event ids (sets the files per trigger of the streams)."""
+    return int(table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // batch_size
 
 
 def _alerts(spark, sf_dir):
-    return C.meta_events(load_feed(spark, sf_dir), max_batch=_max_batch(spark, sf_dir))
+    return C.meta_events(load_feed(spark, sf_dir))
 
 
 def _stored_processed(spark, sf_dir):
@@ -250,8 +243,8 @@ def q_keywords_topn(spark, sf_dir):
 @register("keywords_conversations")
 def q_keywords_conversations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), X.tokens("text").alias("toks"))
-    return X.keywords_long(c, "msg_id", "toks")
+        "conv_id", "turn", X.tokens("text").alias("toks"))
+    return X.keywords_long(c, ["conv_id", "turn"], "toks")
 
 
 @register("classify")
@@ -370,13 +363,13 @@ def q_cross_stream(spark, sf_dir):
 
 @register("burst_counter")
 def q_burst_counter(spark, sf_dir):
-    a = C.burst_alerts(C.entity_sources(load_feed(spark, sf_dir)), max_batch=_max_batch(spark, sf_dir))
+    a = C.burst_alerts(C.entity_sources(load_feed(spark, sf_dir)))
     return a.select("entity", "batch", "score", "is_cross", "is_burst")
 
 
 @register("burst_state")
 def q_burst_state(spark, sf_dir):
-    return C.burst_counter_state(C.entity_sources(load_feed(spark, sf_dir)), max_batch=_max_batch(spark, sf_dir))
+    return C.burst_counter_state(C.entity_sources(load_feed(spark, sf_dir)))
 
 
 @register("meta_events")

@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import written
+
 Fn = Callable[..., Column]
 
 # Items per group at every level. Small groups keep each sequential fold short and spread
@@ -133,18 +135,22 @@ def _starts(level: DataFrame, keys: list[str], j: int, m: Monoid, init: Column,
             .select(*keys, F.col("c.o").alias(f"g{j-1}"), F.col("c.st").alias("start")))
 
 
+def _settled(items: DataFrame, order: str, fanout: int) -> tuple[DataFrame, int]:
+    """The items as a stored table, which every level reads instead of their source, and the number of
+    levels that their largest order asks for."""
+    items = written(items, "scan-items")
+    return items, levels_for(int(items.agg(F.max(order)).first()[0] or 0), fanout)
+
+
 def ordered_scan(items: DataFrame, keys: list[str], order: str, payload: list[str], m: Monoid,
-                 init: Column, emit: Fn, keep: Fn | None = None, *, fanout: int = DEFAULT_FANOUT,
-                 max_order: int | None = None) -> DataFrame:
+                 init: Column, emit: Fn, keep: Fn | None = None, *, fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """Fold each key's rows in ``order`` and emit one output struct per kept row.
 
     ``emit(item, state_before)`` builds the output struct for a row, ``keep(item,
     state_before)`` selects rows to emit (default all). ``order`` must be a non-negative
     integer unique within a key. Returns ``keys`` + the fields of the emitted struct.
     """
-    if max_order is None:
-        max_order = items.agg(F.max(order)).first()[0] or 0
-    levels = levels_for(int(max_order), fanout)
+    items, levels = _settled(items, order, fanout)
     state_type = _data_type(items, init)
     lv = ascend(items, keys, order, payload, m, fanout, levels)
 
@@ -180,11 +186,9 @@ def ordered_scan(items: DataFrame, keys: list[str], order: str, payload: list[st
 
 
 def final_states(items: DataFrame, keys: list[str], order: str, payload: list[str], m: Monoid,
-                 init: Column, *, fanout: int = DEFAULT_FANOUT, max_order: int | None = None) -> DataFrame:
+                 init: Column, *, fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """State per key after all its rows (keys, state)."""
-    if max_order is None:
-        max_order = items.agg(F.max(order)).first()[0] or 0
-    levels = levels_for(int(max_order), fanout)
+    items, levels = _settled(items, order, fanout)
     state_type = _data_type(items, init)
     top = ascend(items, keys, order, payload, m, fanout, levels)[-1]
     return top.select(*keys, m.apply(F.col("s"), init).cast(state_type).alias("state"))

@@ -10,6 +10,7 @@ executor only re-reads files).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +31,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         df = spark.read.parquet(path)
         _WRITTEN[key] = df
     return df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder under the shared folder, and read from there."""
+    spark = df.sparkSession
+    path = shared_path(spark, "work", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_FALLBACK.get(spark.sparkContext.applicationId)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tidewatch-ckpt-")
         _LOCAL_FALLBACK[spark.sparkContext.applicationId] = d
         try:

@@ -2,52 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_path
-
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-_RELAID: dict[tuple, str] = {}
-_FRAMES: dict[tuple, DataFrame] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, relayout: bool = True) -> DataFrame:
-    """One Parquet table. Column pruning and filters reach the scan through Catalyst.
 
-    A file holding a single row group is read by one task, whatever its size, so per-row
-    work (text functions, predicates pushed into the scan) would run on one core. When the
-    scan yields fewer splits than the session's default parallelism, the table is rewritten
-    once per session into that many files under the shared checkpoint folder and read from
-    there: every later scan is a parallel Parquet scan with pushed filters. Large inputs
-    already have more splits than cores, and are read as they are.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    if not relayout:
-        return spark.read.parquet(path)
-    target = spark.sparkContext.defaultParallelism
-    try:
-        st = os.stat(path)
-        stamp = (st.st_size, int(st.st_mtime))
-    except OSError:
-        stamp = (0, 0)
-    app = spark.sparkContext.applicationId
-    key = (app, os.path.abspath(path), stamp, target)
-    if key in _FRAMES:
-        return _FRAMES[key]
-    if key not in _RELAID:
-        df = spark.read.parquet(path)
-        if df.rdd.getNumPartitions() >= target:
-            _RELAID[key] = path
-        else:
-            tag = hashlib.sha1(repr(key).encode()).hexdigest()[:16]
-            out = shared_path(spark, "relayout", app, f"{name}-{tag}")
-            df.repartition(target).write.mode("overwrite").parquet(out)
-            _RELAID[key] = out
-    df = spark.read.parquet(_RELAID[key])
-    _FRAMES[key] = df
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One Parquet table, read in place. Column pruning and filters reach the scan through Catalyst."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
