@@ -160,5 +160,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -
     names = docs.columns
     plain = docs.toDF(*[f"_d{i}" for i in range(len(names))])
     text = f"_d{names.index(text_col)}"
-    good = base_counts(plain, text).filter(~base_failed() & (model.posterior(votes_array()) >= threshold))
-    return good.select(*[F.col(f"_d{i}") for i in range(len(names))]).toDF(*names)
+    # rand() is never below 0; it keeps the optimizer from moving the filter below the counts, which would
+    # copy their expressions into each other
+    verdict = F.when(F.rand(0) >= 0, ~base_failed() & (model.posterior(votes_array()) >= threshold))
+    judged = base_counts(plain, text).select(*[f"_d{i}" for i in range(len(names))], verdict.alias("_q_keep"))
+    return judged.filter("_q_keep").select(*[F.col(f"_d{i}") for i in range(len(names))]).toDF(*names)

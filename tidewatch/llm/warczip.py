@@ -157,7 +157,7 @@ class ZipRanges:
         tail_at = max(0, size - self.TAIL)
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(b"PK\x05\x06")
-        while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
             at = tail.rfind(b"PK\x05\x06", 0, at)  # the signature's bytes may stand in a comment
         if at < 0:
             raise ValueError("no end of central directory")
