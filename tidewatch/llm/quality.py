@@ -155,13 +155,14 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that pass, with the columns they had."""
-    model = fit_on(base_counts(docs.select(text_col), text_col).select(votes_array().alias("votes")))
+    """The rows of ``docs`` that pass, with the columns they had. The rows are stored once with their votes,
+    which the fit and the verdict both read."""
+    from .common import stored
+
     names = docs.columns
-    plain = docs.toDF(*[f"_d{i}" for i in range(len(names))])
-    text = f"_d{names.index(text_col)}"
-    # rand() is never below 0; it keeps the optimizer from moving the filter below the counts, which would
-    # copy their expressions into each other
-    verdict = F.when(F.rand(0) >= 0, ~base_failed() & (model.posterior(votes_array()) >= threshold))
-    judged = base_counts(plain, text).select(*[f"_d{i}" for i in range(len(names))], verdict.alias("_q_keep"))
-    return judged.filter("_q_keep").select(*[F.col(f"_d{i}") for i in range(len(names))]).toDF(*names)
+    mine = [f"_d{i}" for i in range(len(names))]
+    voted = stored(base_counts(docs.toDF(*mine), mine[names.index(text_col)]).select(
+        *mine, base_failed().alias("_q_failed"), votes_array().alias("_q_votes")), "quality-voted")
+    model = fit_on(voted, "_q_votes")
+    good = voted.filter(~F.col("_q_failed") & (model.posterior(F.col("_q_votes")) >= threshold))
+    return good.select(*mine).toDF(*names)
