@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as E
 from tidewatch.plans.check import duck_connect, rows_of
+from tidewatch.plans.registry import QUERIES
 
 from .conftest import SF_SMALL
 
@@ -17,7 +18,7 @@ CORE = ["meta_events", "burst_counter", "burst_state", "entity_sources", "geocod
         "classify", "classify_docs", "enrich_event", "sse_decode", "edit_projection", "union_feeds", "top_entities",
         "hotspots", "velocity", "mood_index", "entity_edges", "feed_page", "keyword_counts", "entities_dict",
         "sentiment_lexicon", "src_json_events"]
-KEYS = sorted(E.queries()) if os.environ.get("TIDEWATCH_ALL_ORACLE") else CORE
+KEYS = sorted(QUERIES) if os.environ.get("TIDEWATCH_ALL_ORACLE") else CORE
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +27,7 @@ def duck():
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(QUERIES) - set(E.oracle_sql())
     assert rows_only == {"embed_hash", "enrich_batch", "entities_encode"}
 
 
