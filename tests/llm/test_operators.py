@@ -44,6 +44,34 @@ def test_near_duplicates(docs, none):
     assert minhash.near_duplicate_classes(none).count() == 0
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies with different numbers of edits, most of them no link of each other: buckets of more than
+    ``small`` texts go through the finer bands. The classes are those of all pairs."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 8)), replace=False):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    df = collections.Counter(x for s in sets for x in s)
+    idf = {x: 1 + np.log((1 + len(texts)) / (1 + n)) / np.log(2 + len(texts)) for x, n in df.items()}
+    root = list(range(len(texts)))
+    sim = {}
+    for i in range(len(texts)):
+        for j in range(i):
+            sim[i, j] = sum(idf[x] for x in sets[i] & sets[j]) / sum(idf[x] for x in sets[i] | sets[j])
+            if sim[i, j] >= 0.8 and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 3 < len(set(root)) < 150
+    for small in (4, 10**6):
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(frame, small=small).collect()}
+        assert got == dict(enumerate(root)), small
+
+
 def test_components_of_a_path_and_a_star(spark):
     key = lambda i: bytearray(f"{i:04d}".encode())
     path = [(key(i), key(i + 1)) for i in range(40)] + [(key(100), key(i)) for i in range(101, 130)]

@@ -9,13 +9,18 @@ that every task gets is bounded whatever the corpus.
 1. Improved consistent weighted sampling (Ioffe 2010) gives 64 samples a document; two documents
    agree in a sample with the probability of their weighted Jaccard similarity (sum of minima over
    sum of maxima). Equal texts are one document from here on.
-2. The samples are banded (16 bands of 4). In each bucket everyone is paired with the bucket's first
-   document; those it does not match meet the first of the rest, for some rounds. A pair whose samples
-   promise ``near`` or more is verified on the texts' exact weights; ``similarity`` or more is a link.
+2. The samples are banded (16 bands of 4). In each bucket everyone is paired with the bucket's leader,
+   its most central document (the one whose buckets hold the most members: in a group of edited copies
+   that is the least edited one); those it does not match meet the most central of the rest, for some
+   rounds. A pair whose samples promise ``near`` or more is verified on the texts' exact weights;
+   ``similarity`` or more is a link.
 3. Classes are the connected components of the links (large-star and small-star steps).
-4. Documents that are still in another class than their bucket's first document meet the bucket's
-   members of other classes, and the components are taken again. So every pair of a bucket is either
-   tested, or already in one class: a bucket of copies costs as many pairs as it has members.
+4. Documents that are still in another class than their bucket's leader meet members of other classes,
+   and the components are taken again. In a bucket of at most ``small`` members they meet all of them,
+   so the pairs grow with the members. The texts of a larger bucket are banded anew, 64 times by 12 of
+   the 64 samples, and meet in these finer buckets: two texts at similarity 0.8 share one with
+   probability 0.988, at 0.85 with 0.9999, at 0.6 with 0.13. So a link between two classes that no
+   leader found can be missed there with a probability of about a hundredth at the threshold itself.
 
 Pairs meet in joins on bucket and text keys, whose hot keys AQE splits; no group is collected.
 
@@ -44,6 +49,8 @@ WORDS, SIMILARITY, NEAR = 5, 0.8, 0.55
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 LEADER_ROUNDS = 3
+SMALL = 64
+FINE_BANDS, FINE_ROWS = 64, 12
 _BITS, _CHUNKS = 20, 64
 _SLOTS = 1 << _BITS
 _POOL = 1 << 13
@@ -214,6 +221,20 @@ def promised(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).mean(1) if len(x) else np.zeros(0))
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def fine_bands(samples: pa.Array) -> pa.Array:
+    """Hashes of fixed random choices of samples, one a finer band."""
+    x = np.frombuffer(b"".join(samples.to_pylist()), "<u2").reshape(-1, SAMPLES).astype(np.uint64)
+    rng = np.random.Generator(np.random.PCG64(4321))
+    out = np.empty((len(x), FINE_BANDS), np.uint64)
+    for band in range(FINE_BANDS):
+        h = np.full(len(x), V.mix(np.array([band + 1], np.uint64))[0])
+        for col in rng.choice(SAMPLES, FINE_ROWS, replace=False):
+            h = V.mix(h * U(0x9E3779B97F4A7C15) + x[:, col])
+        out[:, band] = h
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * FINE_BANDS, pa.array(out.reshape(-1).view(np.int64)))
+
+
 def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array) -> np.ndarray:
     """Exact weighted Jaccard similarity of text pairs."""
     out = np.zeros(len(a))
@@ -298,8 +319,24 @@ class _Verifier:
         return stored(tested.filter(F.col("similarity") >= self.similarity), name)
 
 
+def _odd_pairs(rooted: DataFrame, name: str, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """From (bucket, k, c, root): the pairs (a, b) of the texts outside their leader's class with the
+    bucket's members of other classes, and the (k, c, root) of mixed buckets of more than ``small`` texts."""
+    main = rooted.groupBy("bucket").agg(F.max_by("root", F.struct("c", "k")).alias("main"), F.min("root").alias("r0"),
+                                        F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1")
+    mixed = stored(rooted.join(main.select("bucket", "main", "n"), "bucket"), name)
+    near = mixed if small is None else mixed.filter(F.col("n") <= small)
+    odd = near.filter("root <> main").select("bucket", F.col("k").alias("ka"), F.col("root").alias("ra"))
+    # neither side repeats a class's inner pairs; the smaller side is that of the odd ones out
+    met = near.select("bucket", F.col("k").alias("kb"), F.col("root").alias("rb")).join(odd, "bucket").filter("ra <> rb")
+    large = mixed.filter(F.lit(False) if small is None else F.col("n") > small)
+    return (met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(),
+            large.select("k", "c", "root").distinct())
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                           similarity: float = SIMILARITY, near: float = NEAR, rounds: int = LEADER_ROUNDS) -> DataFrame:
+                           similarity: float = SIMILARITY, near: float = NEAR, rounds: int = LEADER_ROUNDS,
+                           small: int = SMALL) -> DataFrame:
     """One row a document: doc_id, text_key, class_id, class_key (text key of the class's first document)."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -311,8 +348,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "near-texts")
     spread = one.select("k", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(spread.join(full, "bucket").select("bucket", "k"), "near-buckets")
-    wanted = members.select("k").distinct()
+    shared_buckets = stored(spread.join(full, "bucket"), "near-shared")
+    wanted = shared_buckets.groupBy("k").agg(F.sum("n").alias("c"))  # centrality: members of a text's buckets
+    members = stored(shared_buckets.select("bucket", "k").join(wanted, "k").select("bucket", "k", "c"), "near-buckets")
     signs = stored(one.join(wanted, "k", "left_semi"), "near-wanted")
     # by (k, id) and not by k alone, so that the copies of one text spread over tasks and only one stays
     texts = stored(src.withColumn("k", text_key(F.col("text"))).alias("d").join(
@@ -322,9 +360,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     links, tested, active = [], [], members
     for r in range(rounds):
-        lead = active.groupBy("bucket").agg(F.min("k").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        led = stored(active.join(lead, "bucket").filter("k <> lead").select("bucket", "k", "lead"), f"near-led{r}")
-        pairs = led.select(F.col("lead").alias("a"), F.col("k").alias("b")).distinct()
+        lead = active.groupBy("bucket").agg(F.max_by("k", F.struct("c", "k")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        led = stored(active.join(lead, "bucket").filter("k <> lead").select("bucket", "k", "c", "lead"), f"near-led{r}")
+        pairs = led.select(F.least("lead", "k").alias("a"), F.greatest("lead", "k").alias("b")).distinct()
         if tested:
             pairs = pairs.join(_union(tested), ["a", "b"], "left_anti")
         pairs = stored(pairs, f"near-pairs{r}")
@@ -332,20 +370,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             break
         tested.append(pairs)
         links.append(verifier.links(pairs, signs, f"near-links{r}").select("a", "b"))
-        linked = _union(links).select(F.col("a").alias("lead"), F.col("b").alias("k"))
-        active = led.join(linked, ["lead", "k"], "left_anti").select("bucket", "k")
+        found = _union(links)
+        linked = found.select(F.col("a").alias("lead"), F.col("b").alias("k")).unionByName(
+            found.select(F.col("b").alias("lead"), F.col("a").alias("k")))
+        active = led.join(linked, ["lead", "k"], "left_anti").select("bucket", "k", "c")
     roots = one.select("k", F.col("k").alias("root")).limit(0)
     if links:
         roots = stored(components(_union(links)), "near-roots")
-        rooted = members.join(roots, "k", "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
-        main = rooted.groupBy("bucket").agg(F.min_by("root", "k").alias("main"), F.min("root").alias("r0"),
-                                            F.max("root").alias("r1")).filter("r0 <> r1").select("bucket", "main")
-        mixed = stored(rooted.join(main, "bucket"), "near-mixed")
-        some = mixed.filter("root <> main").select("bucket", F.col("k").alias("ka"), F.col("root").alias("ra"))
-        # neither side repeats a class's inner pairs; the smaller side is that of the odd ones out
-        odd = mixed.select("bucket", F.col("k").alias("kb"), F.col("root").alias("rb")).join(some, "bucket").filter("ra <> rb")
-        rest = odd.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(
-            _union(tested), ["a", "b"], "left_anti")
+        rooted = members.join(roots, "k", "left").select("bucket", "k", "c", F.coalesce("root", "k").alias("root"))
+        rest, large = _odd_pairs(rooted, "near-mixed", small)
+        finer = large.join(signs.select("k", "samples"), "k").select(
+            F.explode(fine_bands("samples")).alias("bucket"), "k", "c", "root")
+        rest = rest.unionByName(_odd_pairs(finer, "near-finer")[0]).distinct().join(_union(tested), ["a", "b"], "left_anti")
         rest = stored(rest, "near-rest")
         if not rest.isEmpty():
             more = verifier.links(rest, signs, "near-more").select("a", "b")
