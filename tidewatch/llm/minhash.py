@@ -18,9 +18,9 @@ that every task gets is bounded whatever the corpus.
 4. Documents that are still in another class than their bucket's leader meet members of other classes,
    and the components are taken again. In a bucket of at most ``small`` members they meet all of them,
    so the pairs grow with the members. The texts of a larger bucket are banded anew, 64 times by 12 of
-   the 64 samples, and meet in these finer buckets: two texts at similarity 0.8 share one with
-   probability 0.988, at 0.85 with 0.9999, at 0.6 with 0.13. So a link between two classes that no
-   leader found can be missed there with a probability of about a hundredth at the threshold itself.
+   the 64 samples, and meet in these finer buckets. The bands share the 64 samples, so a pair at the
+   threshold whose samples agree less than expected can be missed: in a model of a group of 3,053
+   edited copies, 327 of the 370 links that no leader found were met there (1,666 classes for 1,665).
 
 Pairs meet in joins on bucket and text keys, whose hot keys AQE splits; no group is collected.
 
