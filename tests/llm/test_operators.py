@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,29 @@ def test_near_duplicates_of_a_large_group(spark):
         assert got == dict(enumerate(root)), small
 
 
+def test_pairs_of_a_large_bucket_are_all_tested(spark):
+    """Tiles give every pair of a bucket that reaches the threshold, whatever its samples say."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    freq = minhash.Frequencies(120, np.ones((2, minhash._SLOTS), np.int64))
+    key = lambda i: bytes([i])
+    sums = spark.createDataFrame([(key(i), b, t) for i, (b, t) in enumerate(minhash.binned(freq, pa.array(texts)))],
+                                 "k binary, bins binary, total double")
+    large = spark.createDataFrame([(1, key(i), key(i), key(0), 120) for i in range(120)],
+                                  "bucket long, k binary, root binary, main binary, n long")
+    pairs = [(i, j) for i in range(120) for j in range(i + 1, 120)]
+    sim = minhash.weighted_jaccard(freq, *(pa.array([texts[p[s]] for p in pairs]) for s in (0, 1)))
+    want = {p for p, x in zip(pairs, sim) if x >= 0.8}
+    got = {(r["a"][0], r["b"][0]) for r in minhash.tiled_pairs(large, sums, 0.8, tile=25).collect()}
+    assert want <= got and 0 < len(want) < len(got) < len(pairs) / 2
+
+
 def test_components_of_a_path_and_a_star(spark):
     key = lambda i: bytearray(f"{i:04d}".encode())
     path = [(key(i), key(i + 1)) for i in range(40)] + [(key(100), key(i)) for i in range(101, 130)]

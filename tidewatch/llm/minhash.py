@@ -15,14 +15,14 @@ that every task gets is bounded whatever the corpus.
    rounds. A pair whose samples promise ``near`` or more is verified on the texts' exact weights;
    ``similarity`` or more is a link.
 3. Classes are the connected components of the links (large-star and small-star steps).
-4. Documents that are still in another class than their bucket's leader meet members of other classes,
-   and the components are taken again. In a bucket of at most ``small`` members they meet all of them,
-   so the pairs grow with the members. The texts of a larger bucket are banded anew, 64 times by 12 of
-   the 64 samples, and meet in these finer buckets. The bands share the 64 samples, so a pair at the
-   threshold whose samples agree less than expected can be missed: in a model of a group of 3,053
-   edited copies, 327 of the 370 links that no leader found were met there (1,666 classes for 1,665).
+4. Documents that are still in another class than their bucket's leader meet all the bucket's members
+   of other classes, and the components are taken again. So every pair of a bucket is either tested or
+   already in one class. In a bucket of at most ``small`` members they meet in a join. A larger bucket is
+   dealt into tiles of about ``tile`` by ``tile`` texts, in which a pair is left out only if an upper
+   bound of its similarity is too low: the weights summed in 256 bins by shingle hash have a sum of
+   minima that is never smaller than that of the weights themselves.
 
-Pairs meet in joins on bucket and text keys, whose hot keys AQE splits; no group is collected.
+Pairs meet in joins on bucket and text keys, whose hot keys AQE splits, and in tiles; no group is collected.
 
 Null texts and texts without a word are in no bucket: their class is their own id. Equal texts are one
 class even if ids repeat. class_id is the smallest id of the class; rows with a null id have the class
@@ -50,7 +50,7 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 LEADER_ROUNDS = 3
 SMALL = 64
-FINE_BANDS, FINE_ROWS = 64, 12
+TILE, BINS = 512, 256
 _BITS, _CHUNKS = 20, 64
 _SLOTS = 1 << _BITS
 _POOL = 1 << 13
@@ -221,20 +221,6 @@ def promised(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).mean(1) if len(x) else np.zeros(0))
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def fine_bands(samples: pa.Array) -> pa.Array:
-    """Hashes of fixed random choices of samples, one a finer band."""
-    x = np.frombuffer(b"".join(samples.to_pylist()), "<u2").reshape(-1, SAMPLES).astype(np.uint64)
-    rng = np.random.Generator(np.random.PCG64(4321))
-    out = np.empty((len(x), FINE_BANDS), np.uint64)
-    for band in range(FINE_BANDS):
-        h = np.full(len(x), V.mix(np.array([band + 1], np.uint64))[0])
-        for col in rng.choice(SAMPLES, FINE_ROWS, replace=False):
-            h = V.mix(h * U(0x9E3779B97F4A7C15) + x[:, col])
-        out[:, band] = h
-    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * FINE_BANDS, pa.array(out.reshape(-1).view(np.int64)))
-
-
 def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array) -> np.ndarray:
     """Exact weighted Jaccard similarity of text pairs."""
     out = np.zeros(len(a))
@@ -273,6 +259,73 @@ def similarity_column(shared, a: Column, b: Column) -> Column:
     return similar(F.lower(a), F.lower(b))
 
 
+BINNED = T.StructType([T.StructField("bins", T.BinaryType()), T.StructField("total", T.DoubleType())])
+
+
+def binned(freq: Frequencies, texts: pa.Array) -> list[tuple[bytes, float]]:
+    """(weights summed in ``BINS`` bins by shingle hash, rounded up to 16-bit floats; sum of weights) of each text."""
+    out = []
+    for _, data, offs in V.slices(texts):
+        row, sh, count = weighted(data, offs)
+        w, n = count * freq.idf(sh), len(offs) - 1
+        sums = np.bincount(row * BINS + (V.mix(sh) % U(BINS)).astype(np.int64), w, n * BINS)
+        with np.errstate(over="ignore"):  # infinity is a bound, too
+            up = sums.astype(np.float16)
+        up = np.where(up < sums, np.nextafter(up, np.float16(np.inf)), up).reshape(n, BINS)
+        out += zip((x.tobytes() for x in up), np.bincount(row, w, n).tolist())
+    return out
+
+
+def binned_column(shared, text: Column) -> Column:
+    @F.arrow_udf(BINNED)
+    def sums(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for x in it:
+            yield pa.array([{"bins": b, "total": t} for b, t in binned(shared.value, x)], to_arrow_type(BINNED))
+
+    return sums(F.lower(text))
+
+
+def _tile_pairs(similarity: float):
+    """Grouped function over a tile, (odd, k, root, bins, total): the pairs (a, b) of its odd texts with its
+    other texts of other classes whose similarity may reach ``similarity``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, odd = t["k"].to_pylist(), t["odd"].to_numpy()
+        _, root = np.unique(np.array([r.hex() for r in t["root"].to_pylist()]), return_inverse=True)
+        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.float16).reshape(-1, BINS).astype(np.float32)
+        total = t["total"].to_numpy()
+        rest = np.flatnonzero(~odd)
+        a, b = [], []
+        for i in np.flatnonzero(odd).tolist():
+            other = rest[root[rest] != root[i]]
+            most = np.minimum(bins[other], bins[i]).sum(1, dtype=np.float64)
+            # a ten-thousandth for rounding
+            for j in other[most >= (similarity - 1e-4) * (total[other] + total[i] - most)].tolist():
+                x, y = sorted((keys[i], keys[j]))
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def tiled_pairs(large: DataFrame, sums: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b) from (bucket, k, root, main, n) and (k, bins, total): all pairs of a bucket's texts outside the class
+    ``main`` with its texts of other classes, less those that the bins rule out. A bucket is dealt by text key into
+    n / tile parts, and each two parts meet in a group of their own."""
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    mine = F.pmod(F.xxhash64("k"), parts).cast("int")
+    other = F.explode(F.sequence(F.lit(0), parts - 1))
+    given = large.withColumn("mine", mine).withColumn("other", other)
+    cols = ["k", "root"]
+    odd = given.filter("root <> main").select("bucket", F.col("mine").alias("i"), F.col("other").alias("j"), F.lit(True).alias("odd"), *cols)
+    every = given.select("bucket", F.col("other").alias("i"), F.col("mine").alias("j"), F.lit(False).alias("odd"), *cols)
+    return odd.unionByName(every).join(sums, "k").groupBy("bucket", "i", "j").applyInArrow(
+        _tile_pairs(similarity), "a binary, b binary").distinct()
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(k, root) of every linked key: alternating large-star and small-star steps (Kiveris et al. 2014),
     each stored, until nothing changes. A star's leaves are rows, never a collected list."""
@@ -309,34 +362,38 @@ class _Verifier:
         self.shared, self.texts, self.similarity, self.near = shared, texts, similarity, near
 
     def links(self, pairs: DataFrame, signs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose samples promise ``near`` and whose texts are similar."""
         sa = signs.select(F.col("k").alias("a"), F.col("samples").alias("x"))
         sb = signs.select(F.col("k").alias("b"), F.col("samples").alias("y"))
         hopeful = pairs.join(sa, "a").join(sb, "b").filter(promised(F.col("x"), F.col("y")) >= self.near).select("a", "b")
+        return self.similar(hopeful, name)
+
+    def similar(self, pairs: DataFrame, name: str) -> DataFrame:
         ta = self.texts.select(F.col("k").alias("a"), F.col("text").alias("x"))
         tb = self.texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
-        tested = hopeful.join(ta, "a").join(tb, "b").select(
+        tested = pairs.join(ta, "a").join(tb, "b").select(
             "a", "b", similarity_column(self.shared, F.col("x"), F.col("y")).alias("similarity"))
         return stored(tested.filter(F.col("similarity") >= self.similarity), name)
 
 
-def _odd_pairs(rooted: DataFrame, name: str, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _odd_pairs(rooted: DataFrame, name: str, small: int) -> tuple[DataFrame, DataFrame]:
     """From (bucket, k, c, root): the pairs (a, b) of the texts outside their leader's class with the
-    bucket's members of other classes, and the (k, c, root) of mixed buckets of more than ``small`` texts."""
+    bucket's members of other classes, in buckets of at most ``small`` texts, and the (bucket, k, root, main, n)
+    of the larger mixed buckets."""
     main = rooted.groupBy("bucket").agg(F.max_by("root", F.struct("c", "k")).alias("main"), F.min("root").alias("r0"),
                                         F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1")
     mixed = stored(rooted.join(main.select("bucket", "main", "n"), "bucket"), name)
-    near = mixed if small is None else mixed.filter(F.col("n") <= small)
+    near = mixed.filter(F.col("n") <= small)
     odd = near.filter("root <> main").select("bucket", F.col("k").alias("ka"), F.col("root").alias("ra"))
     # neither side repeats a class's inner pairs; the smaller side is that of the odd ones out
     met = near.select("bucket", F.col("k").alias("kb"), F.col("root").alias("rb")).join(odd, "bucket").filter("ra <> rb")
-    large = mixed.filter(F.lit(False) if small is None else F.col("n") > small)
     return (met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(),
-            large.select("k", "c", "root").distinct())
+            mixed.filter(F.col("n") > small).select("bucket", "k", "root", "main", "n"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            similarity: float = SIMILARITY, near: float = NEAR, rounds: int = LEADER_ROUNDS,
-                           small: int = SMALL) -> DataFrame:
+                           small: int = SMALL, tile: int = TILE) -> DataFrame:
     """One row a document: doc_id, text_key, class_id, class_key (text key of the class's first document)."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -379,15 +436,17 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         roots = stored(components(_union(links)), "near-roots")
         rooted = members.join(roots, "k", "left").select("bucket", "k", "c", F.coalesce("root", "k").alias("root"))
         rest, large = _odd_pairs(rooted, "near-mixed", small)
-        finer = large.join(signs.select("k", "samples"), "k").select(
-            F.explode(fine_bands("samples")).alias("bucket"), "k", "c", "root")
-        rest = rest.unionByName(_odd_pairs(finer, "near-finer")[0]).distinct().join(_union(tested), ["a", "b"], "left_anti")
-        rest = stored(rest, "near-rest")
+        rest = stored(rest.join(_union(tested), ["a", "b"], "left_anti"), "near-rest")
+        more = []
         if not rest.isEmpty():
-            more = verifier.links(rest, signs, "near-more").select("a", "b")
-            if not more.isEmpty():
-                links.append(more)
-                roots = stored(components(_union(links)), "near-roots")
+            more.append(verifier.links(rest, signs, "near-more").select("a", "b"))
+        if not large.isEmpty():
+            sums = texts.join(large.select("k").distinct(), "k", "left_semi").select("k", binned_column(shared, F.col("text")).alias("s"))
+            sums = stored(sums.select("k", "s.bins", "s.total"), "near-bins")
+            tiles = stored(tiled_pairs(large, sums, similarity, tile).join(_union(tested), ["a", "b"], "left_anti"), "near-tiles")
+            more.append(verifier.similar(tiles, "near-tiled").select("a", "b"))
+        if more and not _union(more).isEmpty():
+            roots = stored(components(_union(links + more)), "near-roots")
     ids = one.select("k", "doc_id").join(roots, "k", "left").select("k", "doc_id", F.coalesce("root", "k").alias("root"))
     # ids before no ids
     first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("f"))
