@@ -96,6 +96,29 @@ def test_pairs_of_a_large_bucket_are_all_tested(spark):
     assert want <= got and 0 < len(want) < len(got) < len(pairs) / 2
 
 
+def test_frequencies_do_not_depend_on_the_other_documents(spark):
+    """100 documents with a common template and words of their own, 0.79 alike, among four million other
+    shingles: no two are near-duplicates."""
+    own = F.expr("array_join(transform(sequence(1, 32), i -> concat('o', id, 'y', i)), ' ')")
+    mine = spark.range(100).select("id", F.concat(F.lit(" ".join(f"t{i}" for i in range(404)) + " "), own).alias("text"))
+    other = spark.range(1000, 1102, 1, 8).select("id", F.expr("array_join(transform(sequence(1, 40000), i -> concat('f', id, 'x', i)), ' ')").alias("text"))
+    docs = spark.createDataFrame(mine.collect(), mine.schema).union(other)
+    got = minhash.near_duplicate_classes(docs, "id").collect()
+    assert len(got) == 202 and all(r["class_id"] == r["doc_id"] for r in got)
+
+
+def test_frequencies_are_counted_over_blocks(spark):
+    texts = ["a b c d e f a b c d e", "A b c d e", "x", "b c d e f", None, "x", "  "] * 3 + ["only here"]
+    sh = [set(minhash.weighted(d, o)[1].tolist()) for x in texts for _, d, o in minhash.V.slices(pa.array([(x or "").lower()]))]
+    want = {x: n for x, n in collections.Counter(y for s in sh for y in s).items() if n > 1}
+    docs = spark.createDataFrame([(i // 4, x) for i, x in enumerate(texts)], "block long, text string")
+    freq, known = minhash.document_frequencies(docs)
+    got = {b: dict() for b in range(6)}
+    for r in known.collect():
+        got[r["block"]].update(zip(minhash._unpack_sorted(r["shingles"]).tolist(), minhash._unpack(r["counts"]).tolist()))
+    assert freq.documents == 16 and got == {b: {x: want[x] for s in sh[4 * b:4 * b + 4] for x in s if x in want} for b in range(6)}
+
+
 def test_components_of_a_path_and_a_star(spark):
     key = lambda i: bytearray(f"{i:04d}".encode())
     path = [(key(i), key(i + 1)) for i in range(40)] + [(key(100), key(i)) for i in range(101, 130)]

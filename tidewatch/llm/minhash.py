@@ -2,9 +2,10 @@
 
 A document is the weighted set of its five-word shingles (lower-cased, split at white space; a
 text with fewer words is one shingle): weight = count in the text * idf, where
-idf = 1 + ln((1 + N) / (1 + df)) / ln(1 + N) lies between 1 and 2. Document frequencies are counted
-over all documents in a count-min sketch of fixed size (two rows of 2**20 counters), so the table
-that every task gets is bounded whatever the corpus.
+idf = 1 + ln((1 + N) / (1 + df)) / ln(2 + N) lies between 1 and 2. Document frequencies are exact counts
+over all documents: each block of documents sends its distinct shingles with their counts, packed, to parts
+by shingle, where they are added up; frequencies above 1 go back to their blocks. Parts and blocks hold a
+bounded number of bytes of text, and no table of shingles is broadcast.
 
 1. Improved consistent weighted sampling (Ioffe 2010) gives 64 samples a document; two documents
    agree in a sample with the probability of their weighted Jaccard similarity (sum of minima over
@@ -38,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,25 +53,29 @@ SAMPLES = BANDS * ROWS
 LEADER_ROUNDS = 3
 SMALL = 64
 TILE, BINS = 512, 256
-_BITS, _CHUNKS = 20, 64
-_SLOTS = 1 << _BITS
+#: Bytes of text of a block, and of a part of the shingles.
+BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+_SLOTS = 1 << 20
 _POOL = 1 << 13
 U = np.uint64
 
 
 @dataclass(frozen=True)
 class Frequencies:
+    """Number of documents; for texts without counts of their own, a count-min sketch of document frequencies."""
+
     documents: int
-    sketch: np.ndarray  # (2, _SLOTS)
+    sketch: np.ndarray | None = None  # (2, _SLOTS)
 
-    def idf(self, shingle: np.ndarray) -> np.ndarray:
-        a, b = _slots(shingle)
-        df = np.minimum(self.sketch[0][a], self.sketch[1][b])
+    def idf(self, shingle: np.ndarray, df: np.ndarray | None = None) -> np.ndarray:
+        if df is None:
+            a, b = _slots(shingle)
+            df = np.minimum(self.sketch[0][a], self.sketch[1][b])
         return 1 + np.log((1 + self.documents) / (1 + np.minimum(df, self.documents))) / math.log(2 + self.documents)
 
 
 def _slots(shingle: np.ndarray):
-    return (shingle & U(_SLOTS - 1)).astype(np.int64), ((shingle >> U(_BITS)) & U(_SLOTS - 1)).astype(np.int64)
+    return (shingle & U(_SLOTS - 1)).astype(np.int64), ((shingle >> U(20)) & U(_SLOTS - 1)).astype(np.int64)
 
 
 def weighted(data: np.ndarray, offs: np.ndarray, size: int = WORDS):
@@ -84,49 +90,98 @@ def weighted(data: np.ndarray, offs: np.ndarray, size: int = WORDS):
     return (key >> U(44)).astype(np.int64), key & U((1 << 44) - 1), count
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(values: np.ndarray) -> bytes:
+    """Byte planes of 64-bit numbers, compressed."""
+    v = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(v.T).tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    v = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(v.T).view("<u8").reshape(-1)
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    return _pack(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=np.uint64)
+
+
+@F.arrow_udf(T.LongType())
+def block_of(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Block number of a row, from the byte lengths of a partition's texts in reading order."""
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId()
-    sums, docs = np.zeros((2, _SLOTS), np.int64), 0
-    for b in batches:
-        for _, data, offs in V.slices(b.column(0)):
-            row, sh, _ = weighted(data, offs)
-            docs += len(np.unique(row))
-            for k, at in enumerate(_slots(sh)):
-                sums[k] += np.bincount(at, minlength=_SLOTS)
-    flat = np.split(sums.astype("<i8").reshape(-1), _CHUNKS)
-    yield pa.record_batch([pa.array(np.full(_CHUNKS, part)), pa.array(np.arange(_CHUNKS)),
-                           pa.array([docs if k == 0 else 0 for k in range(_CHUNKS)], pa.int64()),
-                           pa.array([x.tobytes() for x in flat], pa.binary())], ["part", "chunk", "docs", "sums"])
-
-
-def _add(key: tuple, t: pa.Table) -> pa.Table:
-    part, chunk = (k.as_py() for k in key)
-    total = np.zeros(2 * _SLOTS // _CHUNKS, np.int64)
-    for x in t["sums"]:
-        total += np.frombuffer(x.as_py(), "<i8")
-    return pa.table({"part": pa.array([part], pa.int64()), "chunk": pa.array([chunk], pa.int64()),
-                     "docs": pa.array([sum(t["docs"].to_pylist())], pa.int64()),
-                     "sums": pa.array([total.astype("<i8").tobytes()], pa.binary())})
-
-
-def document_frequencies(docs: DataFrame, text_col: str = "text", fan_in: int = 64) -> Frequencies:
-    """Count-min sketch over all documents, added up in a tree of groups of ``fan_in`` partitions;
-    the driver gets its fixed 16 MB."""
-    kind = "part long, chunk long, docs long, sums binary"
-    src = docs.select(F.lower(F.col(text_col).cast("string")).alias("text"))
-    parts, sums = src.rdd.getNumPartitions(), src.mapInArrow(_sketch, kind)
-    while True:
-        sums = sums.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part", "chunk").applyInArrow(_add, kind)
-        parts = -(-parts // fan_in)
-        if parts <= 1:
-            break
-    rows = sums.collect()
-    flat = np.zeros((_CHUNKS, 2 * _SLOTS // _CHUNKS), np.int64)
-    for r in rows:
-        flat[r["chunk"]] += np.frombuffer(bytes(r["sums"]), "<i8")
-    return Frequencies(sum(r["docs"] for r in rows), flat.reshape(2, _SLOTS))
+    part, done = TaskContext.get().partitionId(), 0
+    for lengths in it:
+        size = lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = done + np.cumsum(size) - size
+        done += int(size.sum())
+        yield pa.array((part << 40) | (before // BLOCK_BYTES), pa.int64())
+
+
+COUNTS = "part long, block long, shingles binary, counts binary"
+
+
+def _count_shingles(parts: int):
+    """mapInArrow function over (block, text): a block's distinct shingles and their document counts, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def flush():
+            if held:
+                sh, n = np.unique(np.concatenate(held), return_counts=True)
+                part = (sh % U(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
+                own = np.split(order, cuts[1:])
+                yield pa.record_batch([pa.array(part[order[cuts]]), pa.array(np.full(len(cuts), block)),
+                                       pa.array([_pack_sorted(sh[x]) for x in own], pa.binary()),
+                                       pa.array([_pack(n[x]) for x in own], pa.binary())], ["part", "block", "shingles", "counts"])
+
+        for b in batches:
+            blocks = b.column(0).to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])), len(blocks))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if hi > lo and blocks[lo] != block:
+                    yield from flush()
+                    block, held = int(blocks[lo]), []
+                for _, data, offs in V.slices(b.column(1).slice(lo, hi - lo)):
+                    sh = weighted(data, offs)[1]
+                    if len(sh):
+                        held.append(sh)
+        yield from flush()
+
+    return run
+
+
+def _add_counts(key: tuple, t: pa.Table) -> pa.Table:
+    """Grouped function over a part: each block's shingles that are in more than one document, with their number."""
+    lists = [_unpack_sorted(x) for x in t["shingles"].to_pylist()]
+    counts = np.concatenate([_unpack(x) for x in t["counts"].to_pylist()])
+    _, at = np.unique(np.concatenate(lists), return_inverse=True)
+    df = np.bincount(at, counts).astype(np.int64)[at]
+    out, lo = [], 0
+    for block, sh in zip(t["block"].to_pylist(), lists):
+        mine = df[lo:lo + len(sh)]
+        lo += len(sh)
+        if (mine > 1).any():
+            out.append((key[0].as_py(), block, _pack_sorted(sh[mine > 1]), _pack(mine[mine > 1])))
+    cols = zip(*out) if out else [[]] * 4
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                    ["part", "block", "shingles", "counts"])
+
+
+def document_frequencies(docs: DataFrame) -> tuple[Frequencies, DataFrame]:
+    """Number of documents with a word, and (block, shingles, counts) of the shingles in more than one document,
+    from (block, text) rows."""
+    size = docs.agg(F.count_if(F.col("text").rlike(r"[^ \t-\r]")).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size["b"] or 0) // PART_BYTES)
+    counts = docs.select("block", F.lower("text").alias("text")).mapInArrow(_count_shingles(parts), COUNTS)
+    return Frequencies(size["n"]), counts.groupBy("part").applyInArrow(_add_counts, COUNTS).select("block", "shingles", "counts")
 
 
 _DRAWS: dict[int, tuple] = {}
@@ -182,36 +237,43 @@ def samples(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, block: int
     return owners, V.mix(shingle[win] ^ (t.view(np.uint64) * U(0x9E3779B97F4A7C15)))
 
 
-SIGNATURE = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("samples", T.BinaryType())])
+SIGNED = "doc_id long, k binary, bands array<long>, samples binary, df binary"
 
 
-def signature_column(shared, text: Column) -> Column:
-    """Struct (bands, samples) of a text column; null for a text without words."""
-
-    @F.arrow_udf(SIGNATURE)
-    def signed(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from pyspark.sql.pandas.types import to_arrow_type
+def _sign(freq: Frequencies):
+    """Grouped function over a block, (doc_id, k, text) and the frequencies of its shingles: bands, samples and the
+    frequencies in the order of :func:`weighted`; null for a text without words."""
 
-        freq = shared.value
-        kind = to_arrow_type(SIGNATURE)
+    def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.uint64)
+        shingles = np.concatenate([none, *map(_unpack_sorted, known["shingles"].to_pylist())])
+        counts = np.concatenate([none, *map(_unpack, known["counts"].to_pylist())])
+        order = np.argsort(shingles, kind="stable")
+        # a last entry that no shingle equals
+        shingles, counts = np.append(shingles[order], U((1 << 64) - 1)), np.append(counts[order], U(1))
         salt = V.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-        for texts in it:
-            out: list = [None] * len(texts)
-            for first, data, offs in V.slices(texts):
-                row, sh, n = weighted(data, offs)
-                if not len(row):
-                    continue
-                owners, got = samples(row, sh, n * freq.idf(sh))
-                part = got.reshape(len(owners), BANDS, ROWS)
-                bands = salt[None, :].repeat(len(owners), 0)
-                for k in range(ROWS):
-                    bands = V.mix(bands * U(0x9E3779B97F4A7C15) + part[:, :, k])
-                low = (got & U(0xFFFF)).astype("<u2")
-                for k, r in enumerate(owners.tolist()):
-                    out[first + r] = {"bands": bands[k].view(np.int64).tolist(), "samples": low[k].tobytes()}
-            yield pa.array(out, kind)
-
-    return signed(F.lower(text))
+        n = docs.num_rows
+        out: list = [[None] * n for _ in range(3)]
+        for first, data, offs in V.slices(docs["text"]):
+            row, sh, count = weighted(data, offs)
+            if not len(row):
+                continue
+            at = np.searchsorted(shingles, sh)
+            df = np.where(shingles[at] == sh, counts[at], U(1))
+            owners, got = samples(row, sh, count * freq.idf(sh, df))
+            part = got.reshape(len(owners), BANDS, ROWS)
+            bands = salt[None, :].repeat(len(owners), 0)
+            for k in range(ROWS):
+                bands = V.mix(bands * U(0x9E3779B97F4A7C15) + part[:, :, k])
+            low, each = (got & U(0xFFFF)).astype("<u2"), df.astype("<u4")
+            ends = np.searchsorted(row, owners, "right").tolist()
+            for k, (r, lo, hi) in enumerate(zip(owners.tolist(), [0, *ends], ends)):
+                for c, x in zip(out, (bands[k].view(np.int64).tolist(), low[k].tobytes(), each[lo:hi].tobytes())):
+                    c[first + r] = x
+        return pa.table({"doc_id": docs["doc_id"], "k": docs["k"], "bands": pa.array(out[0], pa.list_(pa.int64())),
+                         "samples": pa.array(out[1], pa.binary()), "df": pa.array(out[2], pa.binary())})
+
+    return run
 
 
 @F.arrow_udf(T.DoubleType())
@@ -221,8 +283,8 @@ def promised(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x == y).mean(1) if len(x) else np.zeros(0))
 
 
-def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Exact weighted Jaccard similarity of text pairs."""
+def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array, dfs: tuple[pa.Array, pa.Array] | None = None) -> np.ndarray:
+    """Weighted Jaccard similarity of text pairs, exact with the document frequencies of each text's shingles."""
     out = np.zeros(len(a))
     size = np.cumsum(_lengths(a) + _lengths(b))
     lo = 0
@@ -233,7 +295,7 @@ def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array) -> np.ndarray:
         keys, weights = [], []
         for _, data, offs in V.slices(both, 1 << 62):
             row, sh, count = weighted(data, offs)
-            w = count * freq.idf(sh)
+            w = count * freq.idf(sh, None if dfs is None else _frequencies(pa.chunked_array([x.slice(lo, n) for x in dfs])))
             for side in (row < n, row >= n):
                 keys.append(((row[side] % n).astype(np.uint64) << U(44)) | sh[side])
                 weights.append(w[side])
@@ -246,28 +308,33 @@ def weighted_jaccard(freq: Frequencies, a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def _frequencies(dfs) -> np.ndarray:
+    return np.frombuffer(b"".join(x or b"" for x in dfs.to_pylist()), "<u4").astype(np.int64)
+
+
 def _lengths(texts: pa.Array) -> np.ndarray:
     return pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def similarity_column(shared, a: Column, b: Column) -> Column:
+def similarity_column(freq: Frequencies, a: Column, b: Column, df_a: Column, df_b: Column) -> Column:
     @F.arrow_udf(T.DoubleType())
-    def similar(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x, y in it:
-            yield pa.array(weighted_jaccard(shared.value, x, y))
+    def similar(it: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for x, y, dx, dy in it:
+            yield pa.array(weighted_jaccard(freq, x, y, (dx, dy)))
 
-    return similar(F.lower(a), F.lower(b))
+    return similar(F.lower(a), F.lower(b), df_a, df_b)
 
 
 BINNED = T.StructType([T.StructField("bins", T.BinaryType()), T.StructField("total", T.DoubleType())])
 
 
-def binned(freq: Frequencies, texts: pa.Array) -> list[tuple[bytes, float]]:
+def binned(freq: Frequencies, texts: pa.Array, dfs: pa.Array | None = None) -> list[tuple[bytes, float]]:
     """(weights summed in ``BINS`` bins by shingle hash, rounded up to 16-bit floats; sum of weights) of each text."""
     out = []
-    for _, data, offs in V.slices(texts):
+    for first, data, offs in V.slices(texts):
         row, sh, count = weighted(data, offs)
-        w, n = count * freq.idf(sh), len(offs) - 1
+        n = len(offs) - 1
+        w = count * freq.idf(sh, None if dfs is None else _frequencies(dfs.slice(first, n)))
         sums = np.bincount(row * BINS + (V.mix(sh) % U(BINS)).astype(np.int64), w, n * BINS)
         with np.errstate(over="ignore"):  # infinity is a bound, too
             up = sums.astype(np.float16)
@@ -276,15 +343,15 @@ def binned(freq: Frequencies, texts: pa.Array) -> list[tuple[bytes, float]]:
     return out
 
 
-def binned_column(shared, text: Column) -> Column:
+def binned_column(freq: Frequencies, text: Column, df: Column) -> Column:
     @F.arrow_udf(BINNED)
-    def sums(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def sums(it: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for x in it:
-            yield pa.array([{"bins": b, "total": t} for b, t in binned(shared.value, x)], to_arrow_type(BINNED))
+        for x, d in it:
+            yield pa.array([{"bins": b, "total": t} for b, t in binned(freq, x, d)], to_arrow_type(BINNED))
 
-    return sums(F.lower(text))
+    return sums(F.lower(text), df)
 
 
 def _tile_pairs(similarity: float):
@@ -358,8 +425,8 @@ def text_key(text: Column) -> Column:
 class _Verifier:
     """Tests (a, b) key pairs once each, on whole texts."""
 
-    def __init__(self, shared, texts: DataFrame, similarity: float, near: float):
-        self.shared, self.texts, self.similarity, self.near = shared, texts, similarity, near
+    def __init__(self, freq: Frequencies, texts: DataFrame, similarity: float, near: float):
+        self.freq, self.texts, self.similarity, self.near = freq, texts, similarity, near
 
     def links(self, pairs: DataFrame, signs: DataFrame, name: str) -> DataFrame:
         """The pairs whose samples promise ``near`` and whose texts are similar."""
@@ -369,10 +436,10 @@ class _Verifier:
         return self.similar(hopeful, name)
 
     def similar(self, pairs: DataFrame, name: str) -> DataFrame:
-        ta = self.texts.select(F.col("k").alias("a"), F.col("text").alias("x"))
-        tb = self.texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
+        ta = self.texts.select(F.col("k").alias("a"), F.col("text").alias("x"), F.col("df").alias("dx"))
+        tb = self.texts.select(F.col("k").alias("b"), F.col("text").alias("y"), F.col("df").alias("dy"))
         tested = pairs.join(ta, "a").join(tb, "b").select(
-            "a", "b", similarity_column(self.shared, F.col("x"), F.col("y")).alias("similarity"))
+            "a", "b", similarity_column(self.freq, *map(F.col, ("x", "y", "dx", "dy"))).alias("similarity"))
         return stored(tested.filter(F.col("similarity") >= self.similarity), name)
 
 
@@ -395,14 +462,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
                            similarity: float = SIMILARITY, near: float = NEAR, rounds: int = LEADER_ROUNDS,
                            small: int = SMALL, tile: int = TILE) -> DataFrame:
     """One row a document: doc_id, text_key, class_id, class_key (text key of the class's first document)."""
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(document_frequencies(src))  # 16 MB, whatever the corpus
-    signed = stored(src.select("doc_id", text_key(F.col("text")).alias("k"), signature_column(shared, F.col("text")).alias("s"))
-                    .select("doc_id", "k", "s.bands", "s.samples"), "near-signs")
+    src = stored(src.select("doc_id", text_key(F.col("text")).alias("k"), "text", block_of(F.octet_length("text")).alias("block")), "near-docs")
+    freq, known = document_frequencies(src)
+    signed = stored(src.select("block", "doc_id", "k", F.lower("text").alias("text")).groupBy("block").cogroup(
+        known.groupBy("block")).applyInArrow(_sign(freq), SIGNED), "near-signs")
     # one row a text: the copy with the smallest id stands for it
-    one = stored(signed.filter("bands is not null").groupBy("k").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "near-texts")
+    one = stored(signed.filter("bands is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"), *(
+        F.first(c).alias(c) for c in ("bands", "samples", "df"))), "near-texts")
     spread = one.select("k", F.explode("bands").alias("bucket"))
     full = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared_buckets = stored(spread.join(full, "bucket"), "near-shared")
@@ -410,10 +477,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members = stored(shared_buckets.select("bucket", "k").join(wanted, "k").select("bucket", "k", "c"), "near-buckets")
     signs = stored(one.join(wanted, "k", "left_semi"), "near-wanted")
     # by (k, id) and not by k alone, so that the copies of one text spread over tasks and only one stays
-    texts = stored(src.withColumn("k", text_key(F.col("text"))).alias("d").join(
+    texts = stored(src.alias("d").join(
         signs.select("k", "doc_id").alias("w"), F.expr("d.k = w.k and d.doc_id <=> w.doc_id"), "left_semi")
-        .dropDuplicates(["k", "doc_id"]).select("k", "text"), "near-chosen")
-    verifier = _Verifier(shared, texts, similarity, near)
+        .dropDuplicates(["k", "doc_id"]).select("k", "text").join(signs.select("k", "df"), "k"), "near-chosen")
+    verifier = _Verifier(freq, texts, similarity, near)
 
     links, tested, active = [], [], members
     for r in range(rounds):
@@ -441,7 +508,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if not rest.isEmpty():
             more.append(verifier.links(rest, signs, "near-more").select("a", "b"))
         if not large.isEmpty():
-            sums = texts.join(large.select("k").distinct(), "k", "left_semi").select("k", binned_column(shared, F.col("text")).alias("s"))
+            sums = texts.join(large.select("k").distinct(), "k", "left_semi").select("k", binned_column(freq, F.col("text"), F.col("df")).alias("s"))
             sums = stored(sums.select("k", "s.bins", "s.total"), "near-bins")
             tiles = stored(tiled_pairs(large, sums, similarity, tile).join(_union(tested), ["a", "b"], "left_anti"), "near-tiles")
             more.append(verifier.similar(tiles, "near-tiled").select("a", "b"))

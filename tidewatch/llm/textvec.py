@@ -101,13 +101,12 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     h, n = w.hashes(), len(w.row)
     acc, full = h * _STEP[0], np.ones(n, bool)
     for k in range(1, size):
-        if k >= n:
-            full[:] = False
-            break
+        # no row is that long if there are no more than k words, but its hash must not depend on that
+        m = max(0, n - k)
         same = np.zeros(n, bool)
-        same[:n - k] = w.row[k:] == w.row[:-k]
+        same[:m] = w.row[k:] == w.row[:m]
         part = np.zeros(n, np.uint64)
-        part[:n - k] = h[k:] * _STEP[k]
+        part[:m] = h[k:] * _STEP[k]
         acc = acc + np.where(same, part, U(k))
         full &= same
     lead = np.ones(n, bool)
