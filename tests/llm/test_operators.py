@@ -140,6 +140,18 @@ def test_bpe(docs, none):
     assert bpe.encode_documents(none, path).count() == 0
 
 
+def test_bpe_of_long_words(spark):
+    """Words of more tokens than 16 bits of byte length hold."""
+    path = tokenizer_path("word_bpe_49k.json")
+    tok = bpe._tokenizer(path)
+    texts = ["1234567890" * 10_000, "\u5929\u5730\u7384\u9ec4\u5b87\u5b99" * 8_000, "plain words"]
+    got = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()
+    for r in got:
+        ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    assert len(got) == 3 and max(r["n_tokens"] for r in got) >= 100_000
+
+
 def test_decode_through_pieces(spark):
     path = tokenizer_path("word_bpe_49k.json")
     tok = bpe._tokenizer(path)

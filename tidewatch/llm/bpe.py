@@ -184,7 +184,7 @@ def _encode_words(path: str):
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
             rows = [(int(block[own[0]]), at[own].astype("<i4").tobytes(),
-                     np.array([len(codes[i]) for i in own.tolist()], "<u2").tobytes(), b"".join([codes[i] for i in own.tolist()]))
+                     np.array([len(codes[i]) for i in own.tolist()], "<u4").tobytes(), b"".join([codes[i] for i in own.tolist()]))
                     for own in np.split(order, cuts[1:]) if len(own)]
             if rows:
                 yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["block", "at", "lens", "codes"])
@@ -213,7 +213,7 @@ def _assemble(path: str, with_ids: bool):
         n = len(rank)
         raw: list = [b""] * n
         for at, long, codes in zip(*(coded[c].to_pylist() for c in ("at", "lens", "codes"))):
-            end = np.cumsum(np.frombuffer(long, "<u2").astype(np.int64)).tolist()
+            end = np.cumsum(np.frombuffer(long, "<u4").astype(np.int64)).tolist()
             last = 0
             for i, e in zip(rank[np.frombuffer(at, "<i4")].tolist(), end):
                 raw[i] = codes[last:e]
