@@ -189,6 +189,19 @@ def test_languages(spark, docs, none):
     assert {r["lang_pred"] for r in langid.languages_of(docs, empty).collect()} == {"und"}
 
 
+def test_second_language_among_many(spark):
+    """A quarter in another script is found however many languages are nearer to the rest of the text."""
+    word = lambda k, i: "".join("bcdfghklmnprst"[(k * 7 + i * 3 + j * 5) % 14] + "aeiou"[(k + i + j) % 5] for j in range(3))
+    latin = [" ".join(["the", "and", "of", "to", "in", "that", *(word(k, i) for i in range(6))] * 400) for k in range(12)]
+    greek = " ".join(["και", "το", "της", "που", "είναι", "για"] * 800)
+    train = [(i, t, f"l{k:02d}") for k, t in enumerate(latin) for i in range(5)] + [(i, greek, "el") for i in range(5)]
+    m = langid.fit_languages(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    text = " ".join(latin[0].split()[:36] + greek.split()[:12])
+    got = langid.mixtures(m, pa.array([text]))[0]
+    assert got["lang_pred"] == "l00" and "el" in got["languages"]
+    assert abs(got["shares"][got["languages"].index("el")] - 0.25) < 0.02
+
+
 def test_toxicity(spark, docs, none):
     clean = [(f"good plain words number {i % 7} about the weather and the sea " * 4, 0) for i in range(60)]
     bad = [(f"good plain words you idiot number {i % 7} scum about the sea " * 4, 1) for i in range(60)]

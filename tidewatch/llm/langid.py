@@ -5,10 +5,10 @@ bounded sample of labelled rows, smoothed with a Dirichlet prior.
 
 Score (:func:`language_columns`): a word's likelihood under a language is the product of its
 trigrams'. Expectation-maximisation over the words of the whole text estimates the proportions.
-Starting from all languages (for long lists the ``most`` likeliest), the one with the smallest
-proportion is taken out again and again; of the nested sets, that with the best penalised
-likelihood (log-likelihood less ``penalty`` * size * ln(words) / 2) is kept, and the prediction is
-the language with the largest proportion in it (ties: first by name), its proportion the score.
+Starting from all languages, the one with the smallest proportion is taken out again and again; of
+the nested sets, that with the best penalised likelihood (log-likelihood less ``penalty`` * size *
+ln(words) / 2) is kept, and the prediction is the language with the largest proportion in it (ties:
+first by name), its proportion the score.
 
 Null texts and texts without a letter are ``und`` with score 0 and no proportions. A text with
 letters always gets a learned language. With no labelled row, everything is ``und``.
@@ -31,7 +31,6 @@ from . import textvec as V
 SAMPLE_ROWS = 3_000
 #: Hashed trigram slots (a fixed model size).
 SLOTS = 1 << 16
-MOST_LANGUAGES = 8
 
 MIXTURE = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                         T.StructField("languages", T.ArrayType(T.StringType())),
@@ -121,16 +120,12 @@ def mixtures(m: LanguageModel, texts: pa.Array) -> list[dict | None]:
         owners, first = np.unique(w.row, return_index=True)
         n = np.diff(np.append(first, len(w.row))).astype(float)
         row = np.repeat(np.arange(len(owners)), n.astype(int))
-        alive = np.ones((len(m.names), len(owners)), bool)
-        if len(m.names) > MOST_LANGUAGES:
-            total = np.add.reduceat(np.maximum(lw, -20), first, axis=1)
-            alive = total >= -np.sort(-total, axis=0)[MOST_LANGUAGES - 1]
         # a floor keeps single odd words from ruling a language out
         e = np.exp(np.maximum(lw, np.float32(-20.0))) + np.float32(1e-9)
-        share, like = _em(e, row, first, n, (alive / alive.sum(0)).astype(np.float32), 5)
+        share, like = _em(e, row, first, n, np.full((len(m.names), len(owners)), 1 / len(m.names), np.float32), 5)
         best_share = share
         best = like - m.penalty * (share > 0).sum(0) * np.log(n + 1) / 2
-        for _ in range(int(alive.sum(0).max()) - 1):
+        for _ in range(len(m.names) - 1):
             low = np.where(share > 0, share, np.inf).argmin(0)
             drop = np.flatnonzero((share > 0).sum(0) > 1)
             share = share.copy()
