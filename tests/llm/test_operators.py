@@ -229,6 +229,14 @@ def test_urls(spark):
     assert urlgraph.judge_urls(df).count() == 10 and urlgraph.judge_urls(df.limit(0)).count() == 0
 
 
+def test_urls_behind_long_chains(spark):
+    """A host that leads to a blocked host over 30 links is blocked."""
+    page = [(i, f"http://h{i}.test/x", f'<a href="http://h{i + 1}.test/x">') for i in range(30)] + [(30, "http://h30.test/bad", None)]
+    df = spark.createDataFrame(page, "page_id long, url string, html string")
+    got = urlgraph.judge_urls(df, rules=(("block", "h30.test/bad"),)).collect()
+    assert len(got) == 31 and {r["verdict"] for r in got} == {"block"}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 8)).astype(np.float32)

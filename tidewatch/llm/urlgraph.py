@@ -24,7 +24,8 @@ from .common import stored
 #: (verdict, host and path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.6
+DAMPING, THRESHOLD = 0.85, 0.6
+TOLERANCE, MOST_ROUNDS, STORE_ROUNDS = 1e-6, 10_000, 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,9 +65,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(family).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
+              most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, w) and seeds (host, trust, distrust), whose
-    columns sum to 1 (or 0). Mass at hosts without an edge out is not passed on."""
+    columns sum to 1 (or 0). Mass at hosts without an edge out is not passed on. The rank is stored every
+    ``STORE_ROUNDS`` rounds with the last round's change."""
     both = edges.select("src", "dst", "w", F.lit(True).alias("ahead")).unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.lit(False).alias("ahead")))
     out = both.groupBy("src", "ahead").agg(F.sum("w").alias("all"))
@@ -75,14 +78,29 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     rank = seeds.select("host", "trust", "distrust")
     restart = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"),
                            (F.col("distrust") * (1 - damping)).alias("distrust"))
-    for k in range(rounds):
-        moved = rank.join(steps, rank["host"] == steps["src"]).groupBy(F.col("dst").alias("host")).agg(
-            F.sum(F.when(F.col("ahead"), F.col("trust") * F.col("p") * damping).otherwise(0.0)).alias("trust"),
-            F.sum(F.when(~F.col("ahead"), F.col("distrust") * F.col("p") * damping).otherwise(0.0)).alias("distrust"))
-        rank = moved.unionByName(restart).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % 4 == 3 or k == rounds - 1:
+    reached = None
+    for k in range(1, most_rounds + 1):
+        last = k % STORE_ROUNDS == 0 or k == most_rounds
+        moved = rank.join(steps, rank["host"] == steps["src"]).select(
+            F.col("dst").alias("host"), F.when(F.col("ahead"), F.col("trust") * F.col("p") * damping).otherwise(0.0).alias("trust"),
+            F.when(~F.col("ahead"), F.col("distrust") * F.col("p") * damping).otherwise(0.0).alias("distrust"))
+        zero = F.lit(0.0)
+        parts = [x.select("*", zero.alias("t0"), zero.alias("d0")) for x in (moved, restart)]
+        if last:
+            parts.append(rank.select("host", zero.alias("trust"), zero.alias("distrust"), F.col("trust").alias("t0"), F.col("distrust").alias("d0")))
+        every = parts[0]
+        for x in parts[1:]:
+            every = every.unionByName(x)
+        rank = every.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t0", "d0")))
+        if last:
             rank = stored(rank, "url-rank")
-    return rank
+            now = rank.agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).alias("change"),
+                           F.count_if(F.col("trust") > 0).alias("t"), F.count_if(F.col("distrust") > 0).alias("d")).first()
+            if (now["change"] or 0.0) <= tolerance and reached == (now["t"], now["d"]):
+                return rank.select("host", "trust", "distrust")
+            reached = now["t"], now["d"]
+        rank = rank.select("host", "trust", "distrust")
+    raise RuntimeError(f"no convergence to {tolerance} in {most_rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id",
