@@ -237,6 +237,14 @@ def test_urls_behind_long_chains(spark):
     assert len(got) == 31 and {r["verdict"] for r in got} == {"block"}
 
 
+def test_edges_of_deep_host_names(spark):
+    labels = [f"l{i}" for i in range(40)]
+    hosts = [".".join(labels), "x." + ".".join(labels[-3:]), "a.b", "c", ""]
+    got = urlgraph.host_edges(spark.createDataFrame([(h, None) for h in hosts], "host string, html string")).collect()
+    up = {(".".join(labels[i:]), ".".join(labels[i + 1:])) for i in range(38)} | {(hosts[1], ".".join(labels[-3:]))}
+    assert len(got) == 2 * len(up) and {(r["src"], r["dst"]) for r in got} == up | {(b, a) for a, b in up}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 8)).astype(np.float32)

@@ -26,6 +26,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
          ("block", "com/de/"))
 DAMPING, THRESHOLD = 0.85, 0.6
 TOLERANCE, MOST_ROUNDS, STORE_ROUNDS = 1e-6, 10_000, 8
+LEVELS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,11 +57,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
                                         .otherwise(F.col("link"))))
              .filter("dst <> '' and dst <> host").groupBy(F.col("host").alias("src"), "dst")
              .agg(F.count(F.lit(1)).cast("double").alias("w")))
-    hosts = pages.select("host").distinct().filter("host like '%.%'")
-    # every level of the name up to two labels: a.b.c.d -> (a.b.c.d, b.c.d), (b.c.d, c.d)
-    up = hosts.select(F.split("host", "\\.").alias("l")).filter("size(l) between 3 and 20").select(F.explode(F.expr(
-        "transform(sequence(1, size(l) - 2), i -> struct(array_join(slice(l, i, size(l)), '.') as src,"
-        " array_join(slice(l, i + 1, size(l)), '.') as dst))")).alias("e")).select("e.src", "e.dst").distinct()
+    # every level of the name up to two labels: a.b.c.d -> (a.b.c.d, b.c.d), (b.c.d, c.d); some levels a time, so
+    # that the deep names above them are made once
+    names = pages.select("host").distinct().select(F.split("host", "\\.").alias("l")).filter("size(l) >= 3")
+    up = None
+    while True:
+        some = names.select(F.explode(F.expr(
+            f"transform(sequence(1, least(size(l) - 2, {LEVELS})), i -> struct(array_join(slice(l, i, size(l)), '.') as src,"
+            " array_join(slice(l, i + 1, size(l)), '.') as dst))")).alias("e")).select("e.src", "e.dst")
+        up = some if up is None else up.unionByName(some)
+        names = stored(names.filter(f"size(l) >= {LEVELS + 3}").select(F.expr(f"slice(l, {LEVELS + 1}, size(l))").alias("l")).distinct(),
+                       "url-names")
+        if names.isEmpty():
+            break
+    up = up.distinct()
     family = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("w", F.lit(1.0))
     return links.unionByName(family).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
