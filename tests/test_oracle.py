@@ -45,6 +45,16 @@ def test_query_matches_oracle(spark, duck, key):
     assert srows == drows
 
 
+@pytest.mark.parametrize("key", ["sink_json_roundtrip", "sink_fanout", "sink_fanout_alerts"])
+def test_sinks_match_oracle(spark, duck, key):
+    test_query_matches_oracle(spark, duck, key)
+
+
+@pytest.mark.parametrize("key", ["src_json_events", "sink_json_roundtrip"])
+def test_json_queries_scan_json_files(spark, key):
+    assert "FileScan json" in E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.columns[:4] == ["batch", "entity", "score", "n_sources"]

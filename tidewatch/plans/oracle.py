@@ -169,6 +169,7 @@ from ev_ent where entity is not null group by w, entity having count(distinct so
     # ---- sources / sinks ----
     q["src_json_events"] = with_feed() + "select * from feed"
     q["sink_fanout"] = q["src_json_events"]
+    q["sink_fanout_alerts"] = q["meta_events"]
     q["tail_inserts"] = q["src_json_events"]
     q["backfill_live"] = q["src_json_events"]
     shapes = """

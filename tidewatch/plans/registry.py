@@ -75,16 +75,21 @@ def _docs(spark, sf_dir):
 
 @register("src_json_events")
 def q_src_json_events(spark, sf_dir):
+    """A1: the feed as JSON files, read through the JSON source."""
     feed = load_feed(spark, sf_dir)
-    schema = feed.schema
-    return SK.from_json_lines(SK.to_json_lines(feed), schema)
+    return _through_files(spark, feed, "src-json")
 
 
 @register("sink_json_roundtrip")
 def q_sink_json_roundtrip(spark, sf_dir):
-    shapes = U.feed_shapes(load_feed(spark, sf_dir))
-    u = U.union_feeds(shapes)
-    return SK.from_json_lines(SK.to_json_lines(u), u.schema)
+    """A2: the union of the feeds into the JSON sink's files, and back."""
+    return _through_files(spark, U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir))), "sink-json")
+
+
+def _through_files(spark, df, name):
+    path = _stream_dir(spark, name)
+    SK.write_json_topic(df, path)
+    return spark.read.schema(df.schema).options(**SK.JSON_OPTIONS).json(path)
 
 
 @register("sse_decode")
@@ -527,19 +532,35 @@ def _feed_files(spark, sf_dir, root):
     return src
 
 
-@register("sink_fanout")
-def q_sink_fanout(spark, sf_dir):
-    """A4/H1/H2: the feed as a file stream through the per-epoch fan-out sink."""
+def _fanout(spark, sf_dir):
+    """Folder of processed_events and meta_events, written by one stream in four epochs, in the order of the events."""
     import os
     from ..streaming import pipeline as P
     root = _stream_dir(spark, "fanout")
-    src = _feed_files(spark, sf_dir, root)
-    n_files = _max_batch(spark, sf_dir, 1000) + 1  # one file per 1000 events
-    per_trigger = max(1, -(-n_files // 4))           # about four micro-batches
-    q = P.start_processed(P.file_events(spark, src, max_files_per_trigger=per_trigger), root,
-                          os.path.join(root, "ckpt"), trigger={"availableNow": True})
-    P.run_available_now(q)
-    return spark.read.parquet(os.path.join(root, "processed_events")).select(*FEED_COLS)
+    feed = load_feed(spark, sf_dir).select(*FEED_COLS)
+    per_epoch = 1000 * max(1, -(-(_max_batch(spark, sf_dir, 1000) + 1) // 4))
+    for part in range(4):
+        rows = feed.where(F.coalesce(F.expr(f"event_id div {per_epoch}"), F.lit(0)) == part)
+        if rows.isEmpty():
+            continue
+        P.write_feed_files(rows, os.path.join(root, "src", f"part={part}"))
+        P.run_available_now(P.start_fanout(P.file_events(spark, os.path.join(root, "src")), root, os.path.join(root, "ckpt"),
+                                           trigger={"availableNow": True}))
+    return root
+
+
+@register("sink_fanout")
+def q_sink_fanout(spark, sf_dir):
+    """A4/H1/H2: the feed as a file stream through the per-epoch fan-out sink, events side."""
+    import os
+    return spark.read.parquet(os.path.join(_fanout(spark, sf_dir), "processed_events")).select(*FEED_COLS)
+
+
+@register("sink_fanout_alerts")
+def q_sink_fanout_alerts(spark, sf_dir):
+    """A4: the alerts side of the same sink."""
+    import os
+    return spark.read.parquet(os.path.join(_fanout(spark, sf_dir), "meta_events")).drop("epoch")
 
 
 @register("tail_inserts")

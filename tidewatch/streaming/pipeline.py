@@ -9,6 +9,7 @@ this is effectively-once per table.
 
 from __future__ import annotations
 
+import os
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..sources.sinks import JSON_OPTIONS, write_epoch
+from .. import dims
+from ..operators import correlate as C
+from ..sources.sinks import JSON_OPTIONS, fanout_writer, write_epoch
 from .state import streaming_alerts
 
 FEED_SCHEMA = T.StructType([
@@ -70,6 +73,25 @@ def start_processed(stream: DataFrame, out_root: str, checkpoint: str, trigger:
     return _trigger(w, trigger).start()
 
 
+def start_fanout(stream: DataFrame, out_root: str, checkpoint: str, trigger: dict | None = None,
+                 threshold: int = dims.BURST_THRESHOLD) -> StreamingQuery:
+    """A4 (both sides): every event to processed_events and the alerts to meta_events, in one ``foreachBatch``.
+    The counters left by an epoch are stored by epoch (burst_state) and enter the next one's fold as a first batch.
+    Epochs must follow the order of the events and hold whole batches of 10."""
+    def alerts(df: DataFrame, epoch_id: int) -> DataFrame:
+        agg = C.entity_sources(df)
+        if epoch_id > 0:
+            left = df.sparkSession.read.parquet(os.path.join(out_root, "burst_state", f"epoch={epoch_id - 1}"))
+            agg = agg.unionByName(left.where("run > 0").select(
+                F.lit(-1).cast("long").alias("batch"), "entity", F.col("run").cast("long").alias("n_events"),
+                F.array().cast("array<string>").alias("sources"), F.lit(None).cast("timestamp_ntz").alias("last_time"),
+                F.lit(0).cast("long").alias("n_sources")))
+        write_epoch(C.burst_counter_state(agg, threshold), out_root, "burst_state", epoch_id)
+        return C.alert_rows(C.burst_alerts(agg, threshold))
+    w = stream.writeStream.foreachBatch(fanout_writer(out_root, alerts)).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
+
+
 def start_alerts(stream: DataFrame, out_root: str, checkpoint: str, trigger: dict | None = None,
                  threshold: int = 10) -> StreamingQuery:
     """A4 (alerts side) + H3: stateful counter; alerts of each epoch to meta_events."""
