@@ -26,7 +26,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
          ("block", "com/de/"))
 DAMPING, THRESHOLD = 0.85, 0.6
 TOLERANCE, MOST_ROUNDS, STORE_ROUNDS = 1e-6, 10_000, 8
-LEVELS = 16
+LEVELS, ROWS_A_TASK = 16, 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -88,6 +88,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     rank = seeds.select("host", "trust", "distrust")
     restart = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"),
                            (F.col("distrust") * (1 - damping)).alias("distrust"))
+    # a round's rows in as few tasks as hold them, or each round writes a file a task
+    tasks = 1 + (steps.count() + seeds.count()) // ROWS_A_TASK
     reached = None
     for k in range(1, most_rounds + 1):
         last = k % STORE_ROUNDS == 0 or k == most_rounds
@@ -101,7 +103,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
         every = parts[0]
         for x in parts[1:]:
             every = every.unionByName(x)
-        rank = every.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t0", "d0")))
+        rank = every.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "t0", "d0"))).coalesce(tasks)
         if last:
             rank = stored(rank, "url-rank")
             now = rank.agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).alias("change"),
