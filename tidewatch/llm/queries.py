@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hnsw, kdshard, langid, minhash, packing, quality, toxicity, urlgraph, warczip
+from . import align, bestfit, bpe, hnsw, kdshard, langid, lexical, minhash, packing, quality, toxicity, urlgraph, warczip
 from .common import held_out, read_table
 
 SHARDS = 8
@@ -81,9 +81,23 @@ def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.best_fit_sequences(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = align.align_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                    tokenizer_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_bpe, op3_quality, op4_language, op5_toxicity, op6_urls, op7_neighbours, op8_packing,
-    op9_shards, op10_archives)}
+    op9_shards, op10_archives, op11_best_fit, op12_alignment, op13_ranked)}
 
 ORACLE_SQL = {
     "op10_archives": """
@@ -95,4 +109,27 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
 from q""",
+    "op13_ranked": r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents where text is not null),
+b as (
+  select row_number() over () as q, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark where text is not null),
+t as (select count(*) as n, sum(len(terms))::bigint as l from d where len(terms) > 0),
+tf as (
+  select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(terms) as n, unnest(terms) as term from d)
+  group by r, doc_id, n, term),
+w as (
+  select term, floor(1000 * ln((2 * t.n + 2) / (2 * count(*) + 1)))::bigint as w from tf, t
+  where term in (select term from b) group by term, t.n),
+s as (
+  select q, item_id, r, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * tf.n * t.n) // t.l))))::bigint as score
+  from b join w using (term) join tf using (term), t group by q, item_id, r, doc_id)
+select item_id, rank::integer as rank, doc_id, score from (
+  select *, row_number() over (partition by q order by score desc, doc_id) as rank from s where score > 0)
+where rank <= 20""",
 }
