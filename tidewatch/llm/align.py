@@ -39,6 +39,9 @@ from .wordcode import LONG_UNIT, UnitTable, byte_ranks, byte_unit_ids, chunks, p
 
 #: Distinct units kept by a worker; a row holds ids, groups and links.
 KEPT_UNITS = 250_000
+#: Text bytes aligned at a time, and stored rows counted or looked up at a time.
+CHUNK_BYTES = 2_000_000
+STEP_ROWS = 1_000
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links binary"
 _NONE = np.array([], np.int64)
 
@@ -199,7 +202,7 @@ class Aligner:
                 (keys, link_counts)]
 
     def batch(self, docs: pa.Array, texts: pa.Array, groups: bool) -> Iterator[pa.RecordBatch]:
-        for lo, some in chunks(texts):
+        for lo, some in chunks(texts, CHUNK_BYTES):
             units, bounds = split_units(some, lead=" ")
             rows = self.table.rows(units)
             column = [c.to_numpy(zero_copy_only=False) if isinstance(c, pa.Array) and i != self.TEXT else c
@@ -237,10 +240,16 @@ def _align(path_a: str, path_b: str, groups: bool):
     return run
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, len(b), STEP_ROWS):
+            yield b.slice(lo, STEP_ROWS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's links by id pair; the table is bounded as the pairs are."""
     keys, times = np.array([], np.uint64), _NONE
-    for b in batches:
+    for b in _steps(batches):
         raw = np.frombuffer(b"".join(x or b"" for x in b.column(0).to_pylist()), "<u8")
         new, n = np.unique(raw, return_counts=True)
         every, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
@@ -253,7 +262,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _look_up(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, best = shared.value
-        for b in batches:
+        for b in _steps(batches):
             packed = [x or b"" for x in b.column(7).to_pylist()]
             sizes = np.array([len(x) // 8 for x in packed], np.int64)
             at = np.searchsorted(keys, np.frombuffer(b"".join(packed), "<u8"))
