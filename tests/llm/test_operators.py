@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, hnsw, kdshard, langid, minhash, packing, quality, toxicity, urlgraph, warczip
+from tidewatch.llm import bpe, hnsw, kdshard, langid, minhash, packing, quality, toxicity, urlgraph, warczip, wordcode
 from tidewatch.llm.queries import tokenizer_path
 
 KIND = "doc_id long, text string, lang string, source string, score double, kept boolean, _d0 string, shard int"
@@ -268,7 +268,11 @@ def test_neighbours(spark):
 
 def test_packing(docs, none):
     path = tokenizer_path("byte_bpe_50k.json")
-    e = packing.Encoder(path)
+    library = wordcode._library(path, True)
+
+    def e(text):
+        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     pieces = packing.pack_documents(docs, path, size=64).collect()
     ids = collections.Counter()
     for i, t, *_ in rows():

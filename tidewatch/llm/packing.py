@@ -19,8 +19,6 @@ rows of their own. An empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
-import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,131 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import positions, stored
+from .wordcode import byte_coder
 
 SIZE = 1024
 GAP = 0.0005
 ROUNDS = 300
-#: Distinct words kept by a worker between batches.
-MEMO_WORDS = 600_000
-_TWO_SPACES = re.compile(r"\s\s")
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: White space of one library and not of the other.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
-
-
-@functools.lru_cache(maxsize=2)
-def _ranks(path: str):
-    """The same byte-level BPE as rank table, which encodes a word about four times as fast; None if
-    the file's ids are not in the order of its merges or its splitting differs."""
-    import json
-
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, before = spec["model"], spec["pre_tokenizer"] or {}
-    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
-    if (spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex")
-            or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or merged != sorted(merged)):
-        return None
-    # the byte-level alphabet: printable bytes stand for themselves, the others for code points from 256
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items()}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
-
-
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    specials = [a.content for a in t.get_added_tokens_decoder().values()]
-    return t, re.compile("|".join(map(re.escape, specials))) if specials else None
-
-
-class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes. A text is cut before each space that stands alone
-    between two other characters, where this tokenizer always begins a new token, and each distinct
-    part is encoded once; texts with special tokens or odd white space go to the library whole."""
-
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.special = _tokenizer(path)
-        self.ranks = _ranks(path)
-        self.memo: dict[str, bytes] = {}
-        self.memo_words = memo_words
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words with the space before them. Words without a line end go in one call, parted by
-        line ends, each of which is then a token of its own."""
-        if self.ranks is None:
-            self.memo.update(zip(new, self._whole([" " + w for w in new])))
-            return
-        encoding, end = self.ranks
-        lines = [w for w in new if w and "\n" not in w and not w[-1].isspace()]
-        if lines:
-            ids = np.array(encoding.encode_ordinary(" " + "\n ".join(lines)), "<u4")
-            cuts = np.append(np.flatnonzero(ids == end), len(ids)) * 4
-            raw, last = ids.tobytes(), 0
-            for w, cut in zip(lines, cuts.tolist(), strict=True):
-                self.memo[w] = raw[last:cut]
-                last = cut + 4
-        if len(lines) < len(new):
-            for w in new:
-                if w not in self.memo:
-                    self.memo[w] = np.array(encoding.encode_ordinary(" " + w), "<u4").tobytes()
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of many texts."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif _ODD_SPACE.search(t) or (self.special is not None and self.special.search(t)):
-                split.append(None)
-            else:
-                glued = t[0] == " " or t[-1] == " " or _TWO_SPACES.search(t)
-                split.append(_LONE_SPACE.split(t) if glued else t.split(" "))
-        used = set().union(*[p[1:] for p in split if p])
-        new = [w for w in used if w not in self.memo]
-        if len(self.memo) + len(new) > self.memo_words:
-            self.memo.clear()
-            new = list(used)
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        firsts = iter(self._first([p[0] for p in split if p]))
-        whole = iter(self._whole([t for t, p in zip(texts, split) if p is None]))
-        return [next(whole) if p is None else next(firsts) + b"".join(map(get, p[1:])) if p else b"" for p in split]
-
-    def _first(self, heads: list[str]) -> list[bytes]:
-        if self.ranks is None:
-            return self._whole(heads)
-        return [np.array(self.ranks[0].encode_ordinary(h), "<u4").tobytes() for h in heads]
-
-    def __call__(self, text: str) -> bytes:
-        return self.batch([text])[0]
-
-
 _PIECES = "doc_id long, text_key long, start long, length long, ids_crc32 long, doc_tokens long"
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
@@ -163,16 +42,16 @@ def _cut_all(path: str, size: int):
     names = [x.split()[0] for x in _PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        coder = byte_coder(path)
         for b in batches:
-            for lo in range(0, len(b), 256):
-                some, rows = b.slice(lo, 256), []
-                for doc, key, raw in zip(some.column(0).to_pylist(), some.column(1).to_pylist(),
-                                         encode.batch(some.column(2).to_pylist())):
-                    ids = memoryview(raw + b"\0\0\0\0")
-                    n = len(ids) // 4
+            for lo, ids, bounds in coder.batches(b.column(2)):
+                docs, keys = b.column(0).slice(lo, len(bounds) - 1).to_pylist(), b.column(1).slice(lo, len(bounds) - 1).to_pylist()
+                raw, cuts, rows = memoryview(ids.astype("<u4").tobytes()), bounds.tolist(), []
+                for doc, key, begin, end in zip(docs, keys, cuts, cuts[1:]):
+                    whole = bytes(raw[4 * begin:4 * end]) + b"\0\0\0\0"
+                    n = end - begin + 1
                     for at in range(0, n, size):
-                        part = ids[4 * at:4 * (at + size)]
+                        part = whole[4 * at:4 * (at + size)]
                         rows.append((doc, key, at, len(part) // 4, zlib.crc32(part), n))
                 yield _batch(rows, names)
 
@@ -183,11 +62,12 @@ def _cut_some(path: str):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        coder = byte_coder(path)
         for b in batches:
             rows = []
-            for doc, text, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                ids = memoryview(encode(text.as_py() or "") + b"\0\0\0\0")
+            for i, (doc, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                coded = [ids.astype("<u4").tobytes() for _, ids, _ in coder.batches(b.column(1).slice(i, 1))]
+                ids = memoryview(b"".join(coded) + b"\0\0\0\0")
                 for c in cuts:
                     part = ids[4 * c["start"]:4 * (c["start"] + c["length"])]
                     rows.append((doc, c["start"], c["length"], zlib.crc32(part), len(ids) // 4, c["sequence_id"], c["offset"]))
