@@ -88,6 +88,7 @@ OLD_BUCKET_CUTOFF = 0.2       # older UI: > +cut positive, < -cut negative (stri
 MODEL_TEXT_CHARS = 512        # sentiment model input truncation
 NER_TEXT_CHARS = 1000         # entity / noun model input truncation
 KEYWORDS_TOP_N = 5
+FLUSH_SECONDS = 5             # a batch is flushed at most this long after an event
 MOOD_CLAMP = 10               # mood line is clamped to [-10, 10] after every event
 ALERT_SOURCE = "system_alert"
 ALERT_CLUSTER = "META_ALERT"
@@ -105,7 +106,8 @@ ENTITY_DICTIONARY = [(p, "GPE") for p, _, _ in GAZETTEER] + [
     ("Olympics", "EVENT"), ("World Cup", "EVENT"),
 ]
 
-# Small valence lexicon (our own values, scale -4..+4) used by the built-in scorer.
+# Small valence lexicon (scale -4..+4) used by the built-in scorer. FIXED VALUES: words that the VADER lexicon
+# (Hutto and Gilbert 2014, MIT licence) holds have its mean valence or one near it; the others are our own.
 SENTIMENT_LEXICON = [
     ("good", 1.9), ("great", 3.1), ("excellent", 2.7), ("positive", 2.6), ("happy", 2.7),
     ("win", 2.8), ("wins", 2.7), ("success", 2.7), ("breakthrough", 2.0), ("growth", 1.6),
@@ -150,33 +152,10 @@ def cluster_keywords() -> list[tuple[int, str, str]]:
     return [(order[k], k, owner[k]) for k in sorted(order, key=order.get)]
 
 
-def gazetteer_df(spark: SparkSession) -> DataFrame:
-    schema = "i int, place string, lat double, lng double"
-    return spark.createDataFrame([(i, p, la, lo) for i, (p, la, lo) in enumerate(GAZETTEER)], schema)
-
-
-def cluster_keywords_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(cluster_keywords(), "pos int, keyword string, cluster string")
-
-
-def stopwords_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
-
-
 def lit_str_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(T.ArrayType(T.StringType()))
 
 
-def stopwords_col() -> Column:
-    return lit_str_array(STOPWORDS)
-
-
-def keyword_struct_col() -> Column:
-    """Literal array<struct<pos,kw,cluster>> of the 114 cluster keywords."""
-    return _cached("kw_struct", lambda: F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(k).alias("kw"), F.lit(c).alias("cluster"))
-                     for p, k, c in cluster_keywords()]))
-
-
 def gazetteer_map_col() -> Column:
     """Literal map place -> struct(lat, lng)."""
     return _cached("gaz_map", lambda: F.map_from_arrays(

@@ -32,8 +32,9 @@ def cached_model(name: str, factory: Callable[[], object]):
 
 
 def model_sentiment(text, factory: Callable[[], Callable[[list[str]], list[str]]] | None = None,
-                    name: str = "sentiment") -> Column:
-    """Blank -> NEUTRAL, else the model label of the first 512 characters.
+                    name: str = "sentiment", max_chars: int | None = None) -> Column:
+    """Blank -> NEUTRAL, else the model label of the text, or of its first ``max_chars`` characters (the
+    original gave its model 512, ``dims.MODEL_TEXT_CHARS``).
 
     ``factory()`` returns ``f(list[str]) -> list[str]`` of labels (e.g. POSITIVE/NEGATIVE).
     """
@@ -48,38 +49,41 @@ def model_sentiment(text, factory: Callable[[], Callable[[list[str]], list[str]]
             out = pd.Series(["NEUTRAL"] * len(s), index=s.index, dtype=object)
             todo = s[~blank]
             if len(todo):
-                out[~blank] = list(model([t[:dims.MODEL_TEXT_CHARS] for t in todo]))
+                out[~blank] = list(model([t[:max_chars] for t in todo]))
             yield out
 
     return _score(_c(text))
 
 
 def hashed_token_ids(text, dim: int) -> Column:
-    """Feature index of each token: pmod(xxhash64(token), dim), computed in the JVM."""
-    return F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    """Feature index of each token: the first 16 bits of its MD5, modulo ``dim``, computed in the JVM."""
+    return F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % F.lit(dim))
+
+
+def hashed_vectors(ids: list, dim: int) -> np.ndarray:
+    """L2-normalised feature counts of many rows at once."""
+    sizes = np.array([0 if i is None else len(i) for i in ids], np.int64)
+    flat = np.concatenate([np.asarray(i, np.int64) for i in ids if i is not None] or [np.zeros(0, np.int64)])
+    cells = np.repeat(np.arange(len(ids)), sizes) * dim + flat
+    v = np.bincount(cells, minlength=len(ids) * dim).reshape(len(ids), dim).astype(np.float64)
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return (v / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 
 
 def embed(text, dim: int = 64, factory: Callable[[], Callable[[list[str]], list]] | None = None,
           name: str = "embedder") -> Column:
-    """Blank -> [], else a dense float vector.
+    """Blank -> [], else a dense float vector; a text without tokens has no vector either.
 
     Default model: L2-normalised counts of hashed token features (the hashing runs in the
-    JVM, the bincount in NumPy per Arrow batch). With a factory, ``model(list[str])``
+    JVM, the counting in NumPy over a whole Arrow batch). With a factory, ``model(list[str])``
     returns one vector per text.
     """
     if factory is None:
         @F.pandas_udf("array<float>")
         def _hash_vec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                out = []
-                for ids in s:
-                    if ids is None or len(ids) == 0:
-                        out.append(np.zeros(0, dtype=np.float32))
-                        continue
-                    v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dim).astype(np.float32)
-                    n = float(np.sqrt((v * v).sum()))
-                    out.append(v / n if n > 0 else v)
-                yield pd.Series(out, index=s.index)
+                got = hashed_vectors(s.tolist(), dim)
+                yield pd.Series([v if v.any() else v[:0] for v in got], index=s.index)
 
         vec = _hash_vec(hashed_token_ids(text, dim))
         return F.when(is_blank(text), F.array().cast("array<float>")).otherwise(vec)
@@ -101,9 +105,10 @@ def embed(text, dim: int = 64, factory: Callable[[], Callable[[list[str]], list]
 
 
 def model_entities_json(text, factory: Callable[[], Callable[[list[str]], list[dict]]] | None = None,
-                        name: str = "ner") -> Column:
-    """D9 model slot: JSON of label -> mentions from the first 1000 characters. Without a
-    factory the dictionary matcher is used."""
+                        name: str = "ner", max_chars: int | None = None) -> Column:
+    """D9 model slot: JSON of label -> mentions, from the whole text or its first ``max_chars`` characters (the
+    original gave its tagger 1000, ``dims.NER_TEXT_CHARS``). The model gets all texts of an Arrow batch at
+    once. Without a factory the dictionary matcher is used."""
     from .entities import entities_map
     if factory is None:
         return F.to_json(entities_map(text))
@@ -113,13 +118,9 @@ def model_entities_json(text, factory: Callable[[], Callable[[list[str]], list[d
     def _ner(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = cached_model(name, factory)
         for s in batches:
-            out = []
-            for t in s:
-                if t is None or not str(t).strip():
-                    out.append("{}")
-                else:
-                    ents = model([str(t)[:dims.NER_TEXT_CHARS]])[0]
-                    out.append(json.dumps({k: v for k, v in ents.items() if k in dims.ENTITY_LABELS}))
-            yield pd.Series(out, index=s.index)
-
-    return _ner(truncate(_c(text), dims.NER_TEXT_CHARS))
+            blank = (s.isna() | s.fillna("").str.strip().eq("")).to_numpy()
+            found = iter(model(s[~blank].tolist()) if (~blank).any() else [])
+            yield pd.Series(["{}" if b else json.dumps({k: v for k, v in next(found).items() if k in dims.ENTITY_LABELS},
+                                                       ensure_ascii=False) for b in blank], index=s.index)
+
+    return _ner(_c(text) if max_chars is None else truncate(_c(text), max_chars))

@@ -11,15 +11,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import _c, is_blank, truncate
+from .text import _c, is_blank
+
+
+def lexicon_pattern() -> str:
+    """The lexicon's words, grouped by first letter so that a position is given up after one comparison."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted({w for w, _ in dims.SENTIMENT_LEXICON}, key=lambda w: (-len(w), w)):
+        groups.setdefault(w[0], []).append(w[1:])
+    return r"(?<![a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(groups.items())) + r")(?![a-z])"
 
 
 def lexicon_words(text) -> Column:
     """Words of the text that are in the lexicon (a word = maximal run of a-z after
     lower-casing), in order; one regular expression per row."""
-    words = "|".join(sorted((w for w, _ in dims.SENTIMENT_LEXICON), key=lambda w: (-len(w), w)))
-    pat = r"(?<![a-z])(?:" + words + r")(?![a-z])"
-    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(pat), 0)
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(lexicon_pattern()), 0)
 
 
 def lexicon_sum(text) -> Column:
@@ -28,21 +34,36 @@ def lexicon_sum(text) -> Column:
                        lambda acc, w: acc + F.coalesce(F.try_element_at(lex, w), F.lit(0.0)))
 
 
-def compound(text) -> Column:
-    s = lexicon_sum(text)
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once a row, however often ``then`` uses it and under any CASE."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def normalised(s: Column) -> Column:
+    """The published form s / sqrt(s^2 + alpha) of a stored or bound sum."""
     return s / F.sqrt(s * s + F.lit(dims.VADER_ALPHA))
 
 
+def compound(text) -> Column:
+    return _once(lexicon_sum(text), normalised)
+
+
 def label_of(score) -> Column:
     """D5 thresholds: >= cut positive, <= -cut negative, else neutral."""
     c = dims.SENTIMENT_CUTOFF
     return (F.when(_c(score) >= c, "positive").when(_c(score) <= -c, "negative").otherwise("neutral"))
 
 
+def label_of_sum(text, s: Column) -> Column:
+    """D5 from a stored lexicon sum: NULL/'' -> 'neutral'."""
+    t = _c(text)
+    return F.when(t.isNull() | (t == ""), F.lit("neutral")).otherwise(label_of(normalised(s)))
+
+
 def sentiment_label(text) -> Column:
-    """NULL/'' -> 'neutral'."""
+    """NULL/'' -> 'neutral'. The text is scanned once."""
     t = _c(text)
-    return F.when(t.isNull() | (t == ""), F.lit("neutral")).otherwise(label_of(compound(t)))
+    return F.when(t.isNull() | (t == ""), F.lit("neutral")).otherwise(_once(lexicon_sum(t), lambda s: label_of(normalised(s))))
 
 
 def old_bucket(score, is_burst) -> Column:

@@ -110,6 +110,7 @@ def burst_counter_state(agg: DataFrame, threshold: int = dims.BURST_THRESHOLD, *
 
 def alert_rows(alerts: DataFrame) -> DataFrame:
     """E5 + C2 + D18: alert documents. Coordinates from the fixed gazetteer (literal map)."""
+    # FIXED VALUES: title and description texts of an alert
     gaz = dims.gazetteer_map_col()
     srcs = F.array_join(F.col("sources"), ", ")
     return alerts.select(
@@ -130,3 +131,12 @@ def meta_events(feed: DataFrame, threshold: int = dims.BURST_THRESHOLD, batch: C
                 *, fanout: int = DEFAULT_FANOUT) -> DataFrame:
     """Feed -> alert rows (the flagship query)."""
     return alert_rows(burst_alerts(entity_sources(feed, batch), threshold, fanout=fanout))
+
+
+def mark_events(feed: DataFrame, alerts: DataFrame, batch: Column | None = None) -> DataFrame:
+    """(event_id, is_anomaly, is_burst) of the events that an alert is about: one of the event's entities raised an
+    alert (a burst alert) in the event's batch. An equi-join on (batch, entity); alerts are unique in it."""
+    batch = batch if batch is not None else batch_of("event_id")
+    mentions = event_entities(feed).withColumn("batch", batch)
+    hits = mentions.join(alerts.select("batch", "entity", "is_burst"), ["batch", "entity"])
+    return hits.groupBy("event_id").agg(F.lit(True).alias("is_anomaly"), F.bool_or("is_burst").alias("is_burst"))

@@ -7,6 +7,8 @@ got from insertion order.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,9 @@ from ..plans.scan import DEFAULT_FANOUT, Monoid, ordered_scan
 from ..sources.feed import with_entity_map
 
 
+_BEGIN = dt.datetime(1970, 1, 1)
+
+
 def total_events(live: DataFrame) -> DataFrame:
     """E6."""
     return live.agg(F.count(F.lit(1)).alias("total_events"))
@@ -51,16 +56,24 @@ def slot_start(slot: Column, slot_seconds: int) -> Column:
     return F.timestamp_add("SECOND", slot * F.lit(slot_seconds), _epoch_ntz())
 
 
+def newest_time(df: DataFrame, time_col: str = "event_time"):
+    """The largest time, read first, so that filters by it reach the files as literals."""
+    return df.agg(F.max(time_col)).first()[0]
+
+
 def velocity(live: DataFrame, slot_seconds: int = 1, n_slots: int = 60, time_col: str = "event_time") -> DataFrame:
     """Events per slot for the last ``n_slots`` slots ending at the newest one,
-    zero-filled. The newest slot is a scalar subquery; counts are one aggregation over the
-    rows in range, right-joined to the ``n_slots``-row slot list."""
-    s = live.select(slot_of(F.col(time_col), slot_seconds).alias("slot"))
-    hi = s.agg(F.max("slot")).scalar()
-    first = hi - (n_slots - 1)
-    counts = s.where(F.col("slot") >= first).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    slots = live.sparkSession.range(n_slots).select(F.col("id").alias("slot_index"),
-                                                    (first + F.col("id")).alias("slot"))
+    zero-filled. The newest time is read first; the counts are one aggregation over the
+    rows in range (a literal bound on the time), joined to the ``n_slots``-row slot list."""
+    spark = live.sparkSession
+    hi = live.select(slot_of(F.lit(newest_time(live, time_col)).cast("timestamp_ntz"), slot_seconds).alias("s")).limit(1).first()
+    if hi is None or hi["s"] is None:
+        return spark.createDataFrame([], "slot_index long, slot_start timestamp_ntz, n long")
+    first = int(hi["s"]) - (n_slots - 1)
+    slots = spark.range(n_slots).select(F.col("id").alias("slot_index"), (F.col("id") + first).alias("slot"))
+    begin = _BEGIN + dt.timedelta(seconds=first * slot_seconds)
+    counts = (live.where(F.col(time_col) >= F.lit(begin).cast("timestamp_ntz"))
+              .groupBy(slot_of(F.col(time_col), slot_seconds).alias("slot")).agg(F.count(F.lit(1)).alias("n")))
     return (slots.join(counts, "slot", "left")
             .select("slot_index", slot_start(F.col("slot"), slot_seconds).alias("slot_start"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))

@@ -16,6 +16,7 @@ from ..functions import models as M
 from ..functions import sentiment as S
 from ..functions import text as X
 from .geo import geocode
+from .setops import ingested_at
 
 
 def enrich_event(df: DataFrame, text_col: str | None = None) -> DataFrame:
@@ -49,3 +50,10 @@ def enrich_batch(df: DataFrame, raw_col: str = "_raw_text", sentiment_factory=No
             out = out.withColumn(c, F.lit(None).cast("double"))
     out = out.withColumn("__ents", X.decode_entities("entities"))
     return geocode(out, "__ents").drop("__ents", raw_col)
+
+
+def consume(df: DataFrame) -> DataFrame:
+    """The consumer's chain on decoded messages: D17, and the event time from the message's text (three spellings; junk
+    gives NULL). The ingestion time is the flush after the event."""
+    timed = df.withColumn("event_time", F.col("timestamp").try_cast("timestamp").cast("timestamp_ntz"))
+    return enrich_batch(timed, ingest_time=ingested_at(F.col("event_time")))

@@ -33,7 +33,3 @@ def geocode(df: DataFrame, ents_col: str = "ents", lat: str = "lat", lng: str =
             .withColumn(lng, F.when(F.col(tmp).isNotNull(), F.col(tmp)["lng"]).otherwise(F.col(lng)))
             .drop(tmp))
 
-
-def place_coords(place) -> Column:
-    """struct(lat, lng) of a gazetteer place, else NULL."""
-    return F.try_element_at(dims.gazetteer_map_col(), _c(place))

@@ -9,7 +9,7 @@ Events arrive in ``event_id`` order; a batch's alerts arrive right after its las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -20,36 +20,44 @@ def _group(word: str, idx, n: int):
     return F.concat(F.lit(word), F.pmod(idx, F.lit(n)).cast("string"))
 
 
+#: Columns of the union of the four feeds, in the order of their first occurrence.
+UNION_TYPES = {"event_id": "long", "title": "string", "description": "string", "source_type": "string", "category": "string",
+               "location": "string", "lat": "double", "lng": "double", "timestamp": "string", "_raw_text": "string",
+               "disaster_type": "string", "severity": "string", "symbol": "string", "price_change": "double", "user": "string",
+               "wiki": "string", "server_name": "string", "comment": "string", "length_old": "long", "length_new": "long",
+               "type": "string", "namespace": "int"}
+
+
+def shape_columns(source: str) -> dict:
+    """The columns of one of the four differently shaped feeds, from the derived feed's."""
+    uid, ts = F.col("user_id"), F.col("event_time")
+    base = "yyyy-MM-dd'T'HH:mm:ss"
+    edit = F.concat(F.lit("Edit "), F.col("event_id").cast("string"))
+    common = {"event_id": F.col("event_id"), "title": F.col("title"), "source_type": F.lit(source)}
+    placed = {"location": F.col("place"), "lat": F.col("lat"), "lng": F.col("lng")}
+    if source == "news":
+        return common | placed | {
+            "description": F.col("description"), "category": _group("category ", uid, 5),
+            "timestamp": F.date_format(ts, base + ".SSSSSS'+00:00'"), "_raw_text": X.raw_text(F.col("title"), F.col("description"))}
+    if source == "gdacs":
+        return common | placed | {
+            "description": F.col("description"), "disaster_type": _group("type ", uid, 3), "severity": _group("level ", uid, 4),
+            "timestamp": F.date_format(ts, base + ".SSSSSS"), "_raw_text": X.raw_text(F.col("title"), F.col("description"))}
+    if source == "financial":
+        return common | placed | {
+            "symbol": _group("S", uid, 5), "price_change": F.col("value") - F.lit(50.0),
+            "timestamp": F.date_format(ts, base + ".SSSSSS'Z'"), "_raw_text": X.raw_text(F.col("title"), F.lit(""))}
+    return common | {
+        "user": F.concat(F.lit("User"), uid.cast("string")), "wiki": F.lit("enwiki"), "server_name": F.lit("en.wikipedia.org"),
+        "comment": edit, "timestamp": F.date_format(ts, base + "'Z'"), "length_old": F.floor("value").cast("long"),
+        "length_new": (F.floor("value") + 10).cast("long"), "type": F.lit("edit"), "namespace": F.lit(0),
+        "_raw_text": X.raw_text(F.col("title"), edit)}
+
+
 def feed_shapes(feed: DataFrame) -> dict[str, DataFrame]:
-    """Split the derived feed into the four differently shaped source feeds."""
-    uid = F.col("user_id")
-    ts = F.col("event_time")
-    common = [F.col("event_id"), F.col("title")]
-    news = feed.where(F.col("source_type") == "news").select(
-        *common, "description", F.lit("news").alias("source_type"), _group("category ", uid, 5).alias("category"),
-        F.col("place").alias("location"), "lat", "lng",
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp"),
-        X.raw_text(F.col("title"), F.col("description")).alias("_raw_text"))
-    gdacs = feed.where(F.col("source_type") == "gdacs").select(
-        *common, "description", F.lit("gdacs").alias("source_type"),
-        _group("type ", uid, 3).alias("disaster_type"), _group("level ", uid, 4).alias("severity"),
-        F.col("place").alias("location"), "lat", "lng",
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-        X.raw_text(F.col("title"), F.col("description")).alias("_raw_text"))
-    fin = feed.where(F.col("source_type") == "financial").select(
-        *common, _group("S", uid, 5).alias("symbol"), (F.col("value") - F.lit(50.0)).alias("price_change"),
-        F.lit("financial").alias("source_type"), F.col("place").alias("location"), "lat", "lng",
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
-        X.raw_text(F.col("title"), F.lit("")).alias("_raw_text"))
-    wiki = feed.where(F.col("source_type") == "wikipedia").select(
-        *common, F.concat(F.lit("User"), uid.cast("string")).alias("user"), F.lit("enwiki").alias("wiki"),
-        F.lit("en.wikipedia.org").alias("server_name"),
-        F.concat(F.lit("Edit "), F.col("event_id").cast("string")).alias("comment"),
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
-        F.floor("value").cast("long").alias("length_old"), (F.floor("value") + 10).cast("long").alias("length_new"),
-        F.lit("edit").alias("type"), F.lit(0).alias("namespace"), F.lit("wikipedia").alias("source_type"),
-        X.raw_text(F.col("title"), F.concat(F.lit("Edit "), F.col("event_id").cast("string"))).alias("_raw_text"))
-    return {"news": news, "gdacs": gdacs, "financial": fin, "wikipedia": wiki}
+    """The four differently shaped source feeds as frames of their own (as four topics would give them)."""
+    return {s: feed.where(F.col("source_type") == s).select(*[c.alias(n) for n, c in shape_columns(s).items()])
+            for s in dims.FEED_SOURCES}
 
 
 def union_feeds(shapes: dict[str, DataFrame]) -> DataFrame:
@@ -58,7 +66,28 @@ def union_feeds(shapes: dict[str, DataFrame]) -> DataFrame:
     for name in dims.FEED_SOURCES:
         df = shapes[name]
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    return out.select(*UNION_TYPES)
+
+
+def union_shapes(feed: DataFrame) -> DataFrame:
+    """I1 where the four shapes come from one table: the same rows as ``union_feeds(feed_shapes(feed))`` from one scan;
+    each column is its source's expression."""
+    columns = {s: shape_columns(s) for s in dims.FEED_SOURCES}
+    out = []
+    for name, kind in UNION_TYPES.items():
+        value = None
+        for source, shape in columns.items():
+            if name in shape:
+                here = F.col("source_type") == source
+                value = F.when(here, shape[name]) if value is None else value.when(here, shape[name])
+        out.append(value.cast(kind).alias(name))
+    return feed.where(F.col("source_type").isin(*dims.FEED_SOURCES)).select(*out)
+
+
+def ingested_at(ts: Column) -> Column:
+    """When a stored event was ingested. Derived data has no wall clock: a batch is flushed at most ``FLUSH_SECONDS``
+    after an event, and that is the time stored."""
+    return ts + F.expr(f"INTERVAL {dims.FLUSH_SECONDS} SECONDS")
 
 
 def processed_view(feed: DataFrame) -> DataFrame:
@@ -66,7 +95,8 @@ def processed_view(feed: DataFrame) -> DataFrame:
     out = X.with_cluster(feed, X.enrich_text(F.col("title"), F.col("description")))
     return out.select(
         (F.col("event_id") * 2).alias("seq"), "event_id", "event_time", "source_type", "title", "description",
-        "sentiment", "event_cluster", "entities", "lat", "lng", F.lit(None).cast("boolean").alias("is_anomaly"))
+        "sentiment", "event_cluster", "entities", "lat", "lng", F.lit(None).cast("boolean").alias("is_anomaly"),
+        ingested_at(F.col("event_time")).alias("ingested_at"))
 
 
 def alerts_view(alerts: DataFrame, batch_size: int = 10) -> DataFrame:
@@ -75,7 +105,8 @@ def alerts_view(alerts: DataFrame, batch_size: int = 10) -> DataFrame:
         ((F.col("batch") * batch_size + (batch_size - 1)) * 2 + 1).alias("seq"),
         F.lit(None).cast("long").alias("event_id"), F.col("detected_at").alias("event_time"),
         "source_type", "title", "description", "sentiment", "event_cluster",
-        F.lit(None).cast("string").alias("entities"), "lat", "lng", "is_anomaly")
+        F.lit(None).cast("string").alias("entities"), "lat", "lng", "is_anomaly",
+        ingested_at(F.col("detected_at")).alias("ingested_at"))
 
 
 def live_feed(feed: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as X
-from .dashboard import is_alert
-
+from .dashboard import is_alert, newest_time
 
 
 def newest_order():
@@ -77,7 +76,9 @@ def map_points(df: DataFrame) -> DataFrame:
 
 
 def by_source_recent(df: DataFrame, source: str) -> DataFrame:
-    """B13 (source_type, timestamp desc)."""
+    """B13 (source_type, timestamp desc). A table in folders by source is pruned to that folder."""
+    if "source" in df.columns:
+        df = df.where(F.col("source") == source)
     return df.where(F.col("source_type") == source).orderBy(F.desc("event_time"), F.desc("event_id"))
 
 
@@ -91,9 +92,19 @@ def by_sentiment_recent(df: DataFrame, sentiment: str) -> DataFrame:
     return df.where(F.col("sentiment") == sentiment).orderBy(F.desc("event_time"), F.desc("event_id"))
 
 
-def time_range(df: DataFrame, lo: str, hi: str, col: str = "event_time") -> DataFrame:
-    """B13 range on time: lo <= t < hi (literal bounds reach the Parquet scan)."""
-    return df.where((F.col(col) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(col) < F.lit(hi).cast("timestamp_ntz")))
+def time_range(df: DataFrame, lo: str, hi: str, col: str = "event_time", date_col: str = "event_date") -> DataFrame:
+    """B13 range on time: lo <= t < hi (literal bounds reach the Parquet scan). A table in folders by date is
+    pruned to the dates between."""
+    out = df.where((F.col(col) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(col) < F.lit(hi).cast("timestamp_ntz")))
+    if date_col in df.columns:
+        out = out.where((F.col(date_col) >= F.lit(lo).cast("timestamp_ntz").cast("date"))
+                        & (F.col(date_col) <= F.lit(hi).cast("timestamp_ntz").cast("date")))
+    return out
+
+
+def by_ids(df: DataFrame, ids: list[int], id_col: str = "event_id") -> DataFrame:
+    """B13 equality on the id."""
+    return df.where(F.col(id_col).isin(*ids))
 
 
 def token_search(df: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
@@ -102,10 +113,17 @@ def token_search(df: DataFrame, text_col: str, terms: list[str]) -> DataFrame:
     return df.where(F.arrays_overlap(X.tokens(F.col(text_col)), dims.lit_str_array(terms)))
 
 
-def retention(df: DataFrame, keep: str, col: str = "event_time") -> DataFrame:
-    """Keep rows newer than max(t) - interval (max as a scalar subquery)."""
-    hi = df.agg(F.max(col)).scalar()
-    return df.where(F.col(col) >= hi - F.expr(f"INTERVAL {keep}"))
+def _newer_than(df: DataFrame, col: str, interval: str) -> Column:
+    """Within ``interval`` of the newest row, which is read first: the bound reaches the files as a literal."""
+    hi = newest_time(df, col)
+    return F.lit(hi).cast("timestamp_ntz") - F.expr(f"INTERVAL {interval}")
+
+
+def retention(df: DataFrame, keep: str, col: str = "event_time", date_col: str = "event_date") -> DataFrame:
+    """Keep rows newer than max(t) - interval. A table in folders by date is pruned to the dates kept."""
+    bound = _newer_than(df, col, keep)
+    out = df.where(F.col(col) >= bound)
+    return out.where(F.col(date_col) >= bound.cast("date")) if date_col in df.columns else out
 
 
 def newest(df: DataFrame, n: int, order=None) -> DataFrame:
@@ -115,9 +133,8 @@ def newest(df: DataFrame, n: int, order=None) -> DataFrame:
 
 def active_markers(df: DataFrame, seconds: int = 120, col: str = "event_time") -> DataFrame:
     """map points seen within ``seconds`` of the newest row."""
-    hi = df.agg(F.max(col)).scalar()
-    return (df.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-            .where(F.col(col) > hi - F.expr(f"INTERVAL {int(seconds)} SECONDS")))
+    return df.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()
+                    & (F.col(col) > _newer_than(df, col, f"{int(seconds)} SECONDS")))
 
 
 def embedding_xy(emb: DataFrame, n: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -130,12 +130,13 @@ cl_scores as (select event_id, cluster, count(*) as n, min(pos) as first_pos fro
 cl as (select event_id, arg_max(cluster, n * 1000 - first_pos) as event_cluster from cl_scores group by event_id),
 processed as (select f.event_id * 2 as seq, f.event_id, f.event_time, f.source_type, f.title, f.description,
   f.sentiment, coalesce(cl.event_cluster, 'general') as event_cluster, f.entities, f.lat, f.lng,
-  cast(null as boolean) as is_anomaly
+  cast(null as boolean) as is_anomaly, f.event_time + interval 5 second as ingested_at
   from feed f left join cl on cl.event_id = f.event_id)
 """
     live = """
 alerts_v as (select (batch * 10 + 9) * 2 + 1 as seq, cast(null as bigint) as event_id, detected_at as event_time,
-  source_type, title, description, sentiment, event_cluster, cast(null as varchar) as entities, lat, lng, is_anomaly
+  source_type, title, description, sentiment, event_cluster, cast(null as varchar) as entities, lat, lng, is_anomaly,
+  detected_at + interval 5 second as ingested_at
   from meta),
 live as (select * from processed union all by name select * from alerts_v)
 """
@@ -172,6 +173,26 @@ from ev_ent where entity is not null group by w, entity having count(distinct so
     q["sink_fanout_alerts"] = q["meta_events"]
     q["tail_inserts"] = q["src_json_events"]
     q["backfill_live"] = q["src_json_events"]
+    q["alerts_stream"] = q["meta_events"]
+    q["cross_stream_live"] = q["cross_stream_window"]
+    rows = "(select greatest(10, (max(event_id) + 4) // 4) // 10 * 10 + 3 as r from events)"
+    q["bounded_epochs"] = with_feed() + f"""
+select event_id // r * r as from_id, min(event_id) as first_id, max(event_id) as last_id, count(*) as n_rows, count(*) as n_sink,
+  true as within, true as has_offsets
+from feed, {rows} group by event_id // r, r"""
+    q["late_rows"] = with_feed(f"""
+placed as (select feed.*, event_id // r + case when event_id % 97 = 0 then 2 else 0 end as file from feed, {rows}),
+newest as (select file, max(event_time) as t from placed group by file),
+marks as (select file, max(t) over (order by file rows between unbounded preceding and 2 preceding) as mark from newest)""") + """
+select event_id, event_time, source_type from placed join marks using (file)
+where make_timestamp((epoch_us(event_time) // 600000000 + 1) * 600000000) <= mark - interval 10 minute"""
+    q["velocity_stream"] = with_feed(f"""
+sl as (select cast(floor(epoch_us(event_time) / {int(PARAMS['slot_seconds']) * 1_000_000}.0) as bigint) as slot from feed),
+cnt as (select slot, count(*) as n from sl group by slot),
+ends as (select min(slot) as lo, max(slot) as hi from sl),
+every as (select unnest(generate_series(lo, hi)) as slot from ends)""") + f"""
+select make_timestamp(slot * {int(PARAMS['slot_seconds']) * 1_000_000}) as slot_start, coalesce(n, 0) as n
+from every left join cnt using (slot)"""
     shapes = """
 shapes as (
   select event_id, title, description, 'news' as source_type,
@@ -206,7 +227,8 @@ shapes as (
     q["raw_text"] = with_feed(shapes) + "select event_id, _raw_text from shapes"
     q["enrich_text"] = with_feed(shapes) + \
         "select event_id, concat_ws(' ', nullif(title, ''), nullif(description, ''), nullif(comment, '')) as text from shapes"
-    q["confidence_const"] = with_feed() + "select event_id, cast(0.85 as double) as confidence_score from feed"
+    q["confidence_const"] = with_feed() + \
+        "select event_id, event_time + interval 5 second as ingested_at, cast(0.85 as double) as confidence_score from feed"
     q["poll_since"] = with_feed() + f"""
 select event_id, event_time, title from feed
 where event_id > (select max(event_id) from feed) - {int(PARAMS['poll_back'])}"""
@@ -258,12 +280,15 @@ from edits where {edit_keep}"""
 
     # ---- live-feed filters and views ----
     q["live_feed"] = L("select seq, event_id, event_time, source_type, title, is_anomaly from live")
-    q["event_defaults"] = L("""
+    def gap(name, n):
+        return f"case when seq % {n} = 0 then '' when seq % {n} = 2 then null else {name} end as {name}"
+    q["event_defaults"] = L(f"""
 select seq, coalesce(nullif(title, ''), 'Untitled Event') as title, coalesce(nullif(description, ''), '') as body,
   coalesce(nullif(source_type, ''), 'wikipedia') as chart_source, coalesce(source_type, 'unknown') as corr_source,
   coalesce(nullif(event_cluster, ''), 'general') as cluster,
-  lower(coalesce(nullif(sentiment, ''), 'neutral')) as sentiment, event_time as shown_time
-from live""")
+  lower(coalesce(nullif(sentiment, ''), 'neutral')) as sentiment, coalesce(ingested_at, event_time) as shown_time
+from (select seq, {gap('title', 22)}, {gap('description', 26)}, {gap('source_type', 14)}, {gap('event_cluster', 10)},
+  {gap('sentiment', 34)}, event_time, case when seq % 6 <> 0 then ingested_at end as ingested_at from live)""")
     fsrc = PARAMS["feed_source"]
     term = PARAMS["search_term"].lower()
     feed_f = f"(source_type = '{fsrc}' or source_type = 'system_alert')"
@@ -281,7 +306,7 @@ select seq, lat, lng, title, source_type,
   case when coalesce(is_anomaly, false) then '#ef4444' when source_type = 'news' then '#3b82f6' else '#8b5cf6' end as color,
   case when coalesce(is_anomaly, false) then 8 else 4 end as radius
 from live where lat is not null and lng is not null""")
-    q["recent_events"] = P("select seq, event_id, event_time, title from processed order by seq desc limit 50")
+    q["recent_events"] = P("select event_id, ingested_at, title from processed order by ingested_at desc, event_id desc limit 50")
     q["feed_page"] = L(f"select seq, title, source_type from live where {feed_f} and {search} "
                        "order by seq desc, title desc limit 50")
     q["history_buffer"] = L("select seq, title from live order by seq desc, title desc limit 1000")
@@ -304,6 +329,10 @@ where embedding is not null and len(embedding) >= 2 order by vec_id desc limit 5
                                      f"event_time >= timestamp '{PARAMS['range_lo']}' and event_time < timestamp '{PARAMS['range_hi']}'")
     q["retention"] = with_feed() + (f"select event_id, event_time from feed where event_time >= "
                                     f"(select max(event_time) from feed) - interval {PARAMS['retention'].lower()}")
+    q["event_lookup"] = P("select event_id, event_time, title, event_cluster from processed where event_id in ("
+                          + ", ".join(map(str, PARAMS["lookup_ids"])) + ")")
+    q["index_search_any"] = f"select doc_id from documents where list_has_any({toks('text')}, {_list(PARAMS['token_terms'])})"
+    q["index_search_all"] = f"select doc_id from documents where list_has_all({toks('text')}, {_list(PARAMS['common_terms'])})"
     q["token_search"] = f"select doc_id from documents where list_has_any({toks('text')}, {_list(PARAMS['token_terms'])})"
     q["geocode"] = with_feed() + f"""
 select f.event_id,
@@ -363,31 +392,86 @@ comp as (select src.{id_col}, src.{text} as text, coalesce(sums.s, 0) / sqrt(coa
 select c.doc_id, case when {blank.replace('text', 'src.full_text')} then 'NEUTRAL' else upper({label}) end as sentiment
 from comp c join src on src.doc_id = c.doc_id"""
     oc = d.OLD_BUCKET_CUTOFF
-    q["sentiment_bucket_old"] = with_feed(compound_cte(
-        f"select event_id, {feed_text} as t from feed", "event_id", "t")) + \
-        f"select event_id, case when compound > {oc} then 'positive' when compound < -{oc} then 'negative' else 'neutral' end as bucket from comp"
-    q["blank_guard"] = f"""
-select doc_id, {blank} as is_blank,
+    marks = f"""
+marked as (select e.event_id, true as is_anomaly, bool_or(a.score > {d.BURST_THRESHOLD}) as is_burst
+  from ev_ent e join alerts a on a.batch = e.batch and a.entity = e.entity group by e.event_id)"""
+    q["sentiment_bucket_old"] = with_feed(ENTITY_BATCH, burst, marks, compound_cte(
+        f"select event_id, {feed_text} || ' ' || {_list([w for w, _ in d.SENTIMENT_LEXICON])}[event_id % {len(d.SENTIMENT_LEXICON)} + 1] as t "
+        "from feed", "event_id", "t"), recursive=True) + \
+        f"""select event_id, case when is_burst then 'burst' when compound > {oc} then 'positive' when compound < -{oc} then 'negative'
+  else 'neutral' end as bucket from comp left join marked using (event_id)"""
+    q["blank_guard"] = "with " + sse.strip() + f""",
+every as (select 'document' as kind, doc_id as id, text from documents
+  union all select 'edit', line_no, title from edits)
+select kind, id, {blank} as is_blank,
   cast(length(substr(text, 1, {d.MODEL_TEXT_CHARS})) as bigint) as n512,
   cast(length(substr(text, 1, {d.NER_TEXT_CHARS})) as bigint) as n1000
-from documents"""
+from every"""
+    q["embed_hash"] = f"""
+with tk as (select doc_id, unnest({toks('text')}) as t from documents),
+ids as (select doc_id, cast('0x' || substr(md5(t), 1, 4) as bigint) % 64 as i, count(*) as n from tk group by all),
+norms as (select doc_id, sqrt(sum(n * n)) as norm from ids group by doc_id),
+cells as (select doc_id, i, norm, unnest(generate_series(0, 63)) as j, n from ids join norms using (doc_id)),
+v as (select doc_id, list(x order by j) as embedding from
+  (select doc_id, j, cast(sum(case when i = j then n else 0 end) / any_value(norm) as float) as x from cells group by doc_id, j) group by doc_id)
+select d.doc_id, case when {blank.replace('text', 'd.text')} then cast([] as float[]) else coalesce(v.embedding, cast([] as float[])) end as embedding
+from documents d left join v on v.doc_id = d.doc_id"""
     q["keywords_distinct"] = f"""
 select doc_id, case when {blank} then cast([] as varchar[])
   else list_sort(list_distinct({toks('text')})) end as keywords
 from documents"""
 
-    mentions = f"""
+    def mentions_of(src: str) -> str:
+        """Dictionary mentions of (event_id, t) rows, and each label's list."""
+        return f"""
 {ent_dict},
-mx as (select event_id, regexp_extract_all(coalesce(t, ''), '{ent_pat}', 1) as found, t
-  from (select event_id, {feed_text} as t from feed)),
+mx as (select event_id, regexp_extract_all(coalesce(t, ''), '{ent_pat}', 1) as found, t from ({src})),
 mm as (select event_id, unnest(found) as surface, generate_subscripts(found, 1) as pos from mx
   where not (t is null or regexp_full_match(t, '[\\s\\x{{85}}\\p{{Z}}]*'))),
 ml as (select mm.event_id, mm.pos, mm.surface, e.label from mm join entdict e on e.surface = mm.surface),
 lab as (select event_id, label, min(pos) as first_pos, list(surface order by pos) as mentions from ml group by event_id, label)
 """
-    q["entities_dict"] = with_feed(mentions) + """
+    mentions = mentions_of(f"select event_id, {feed_text} as t from feed")
+    names, n_names = _list([s_ for s_, _ in d.ENTITY_DICTIONARY]), len(d.ENTITY_DICTIONARY)
+    q["entities_dict"] = with_feed(mentions_of(
+        f"select event_id, concat_ws(' ', nullif(title, ''), nullif(description, ''), {names}[event_id % {n_names} + 1], "
+        f"{names}[event_id * 7 % {n_names} + 1]) as t from feed")) + """
 select event_id, label, cast(row_number() over (partition by event_id order by first_pos) - 1 as bigint) as label_order,
   mentions from lab"""
+    q["entities_encode"] = with_feed() + """
+select event_id, replace(replace(entities, '": [', '":['), '], "', '],"') as entities_json from feed"""
+    timed = "timezone('UTC', try_cast(\"timestamp\" as timestamptz))"
+    enriched = f"""
+first_place as (select event_id, arg_min(surface, (label <> 'GPE')::int * 100000 + pos) as place
+  from ml where label in ('GPE', 'LOC') and list_contains({gaz_list}, surface) group by event_id),
+{compound_cte('select event_id, _raw_text as t from shapes', 'event_id', 't').strip().replace('src as', 'srcx as').replace('from src', 'from srcx').replace('src.', 'srcx.')},
+hv as (select event_id, cast('0x' || substr(md5(w), 1, 4) as bigint) % 64 as i, count(*) as n from
+  (select event_id, unnest({toks('_raw_text')}) as w from shapes) group by all),
+hn as (select event_id, sqrt(sum(n * n)) as norm from hv group by event_id),
+hc as (select event_id, i, norm, unnest(generate_series(0, 63)) as j, n from hv join hn using (event_id)),
+hx as (select event_id, list(x order by j) as embedding from
+  (select event_id, j, cast(sum(case when i = j then n else 0 end) / any_value(norm) as float) as x from hc group by event_id, j) group by event_id),
+enriched as (select s.event_id, s.source_type, upper({label.replace('text', 'c.text').replace('compound', 'c.compound')}) as sentiment,
+  coalesce(hx.embedding, cast([] as float[])) as embedding,
+  '[' || array_to_string(list_transform(list_sort(list_distinct({toks('s._raw_text')})), lambda x: '"' || x || '"'), ',') || ']' as keywords,
+  case when (s.lat is null or s.lng is null) and g.place is not null then g.glat else s.lat end as lat,
+  case when (s.lat is null or s.lng is null) and g.place is not null then g.glng else s.lng end as lng,
+  {timed.replace('"timestamp"', 's."timestamp"')} as event_time
+  from shapes s left join comp c on c.event_id = s.event_id left join hx on hx.event_id = s.event_id
+  left join first_place f on f.event_id = s.event_id left join gaz g on g.place = f.place)
+"""
+    raw_mentions = mentions_of("select event_id, _raw_text as t from shapes")
+    q["consumer_processed"] = with_feed(shapes, raw_mentions, enriched) + """
+select event_id, source_type, sentiment, embedding as embeddings, keywords, lat, lng, event_time from enriched"""
+    q["enrich_batch"] = with_feed(shapes, raw_mentions, enriched) + """
+select event_id, source_type, sentiment, embedding as embeddings, keywords, lat, lng, event_time + interval 5 second as ingested_at,
+  false as has_raw_text from enriched"""
+    q["consumer_alerts"] = with_feed(shapes, raw_mentions, f"""
+ev_ent as (select distinct s.event_id // 10 as batch, s.event_id, {timed.replace('"timestamp"', 's."timestamp"')} as event_time,
+    coalesce(s.source_type, 'unknown') as source, ml.surface as entity from shapes s join ml on ml.event_id = s.event_id),
+agg as (select batch, entity, count(*) as n_events, list_sort(list_distinct(list(source))) as sources,
+    max(event_time) as last_time, cast(count(distinct source) as bigint) as n_sources
+  from ev_ent group by batch, entity)""", burst, meta, recursive=True) + "select * from meta"
     q["entities_struct"] = with_feed() + """
 select event_id, loc as locations, list_sort(list_distinct(list_transform(coalesce(json_extract_string(entities, '$.PERSON[*]'), []), lambda x: trim(x)))) as people,
   list_sort(list_distinct(list_transform(coalesce(json_extract_string(entities, '$.ORG[*]'), []), lambda x: trim(x)))) as orgs,
@@ -466,6 +550,17 @@ select place, n, anomalies,
 from (select entity as place, count(*) as n, count(*) filter (where coalesce(is_anomaly, false)) as anomalies,
         min(seq * 100000 + pos) as first from men group by entity)
 order by n desc, first limit 5"""
+    flagged = """
+live as (select p.* exclude (is_anomaly), k.is_anomaly from processed p left join marked k on k.event_id = p.event_id)
+"""
+    recent = flagged.replace("p.event_id)", "p.event_id where p.event_time >= "
+                             f"(select max(event_time) from processed) - interval {PARAMS['hotspot_span'].lower()})")
+    q["hotspots_marked"] = with_feed(ENTITY_BATCH, burst, marks, cluster, recent, ment(["GPE", "LOC"]), recursive=True) + f"""
+select place, n, anomalies,
+  case when anomalies > 5 then 'EXTREME' when anomalies > 1 then 'ELEVATED' else 'NORMAL' end as threat
+from (select entity as place, count(*) as n, count(*) filter (where coalesce(is_anomaly, false)) as anomalies,
+        min(seq * 100000 + pos) as first from men group by entity)
+order by n desc, first limit {int(PARAMS['hotspot_places'])}"""
     lim = d.MOOD_CLAMP
     q["mood_index"] = with_feed(ENTITY_BATCH, burst, meta, cluster, live, f"""
 ev as (select cast(floor(epoch_us(event_time) / {ss * 1_000_000}.0) as bigint) as slot, seq,
@@ -509,6 +604,12 @@ select src as node_id, '' as label, case when coalesce(is_anomaly, false) then 1
   case when coalesce(is_anomaly, false) then '#ef4444' else '#10b981' end as color, 'event' as kind
 from edges where pos = 0
 union all
+select distinct dst, entity, 15, cast(null as varchar), 'entity' from edges"""
+    q["entity_nodes_marked"] = with_feed(ENTITY_BATCH, burst, marks, cluster, flagged, edges, recursive=True) + """
+select src as node_id, '' as label, case when coalesce(is_anomaly, false) then 10 else 5 end as size,
+  case when coalesce(is_anomaly, false) then '#ef4444' else '#10b981' end as color, 'event' as kind
+from edges where pos = 0
+union all
 select distinct dst, entity, 15, cast(null as varchar), 'entity' from edges"""
     return q
 

@@ -13,6 +13,11 @@ PARAMS = {
     "retention": "7 DAYS",
     "cleared_at": "2024-01-15 00:00:00",
     "poll_back": 100,
-    "marker_seconds": 120,
+    # the screen's 120 s, stretched like the slots: the test data has an event every few minutes
+    "marker_seconds": 43200,
+    "lookup_ids": [3, 17, 256, 777, 999, 5000, 99998, 10000000],
+    "common_terms": ["tion", "ing"],
+    "hotspot_places": 60,
+    "hotspot_span": "3 DAYS",
     "token_terms": ["thtion", "eriner", "bertz"],
 }

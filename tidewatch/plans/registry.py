@@ -33,7 +33,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 from .params import PARAMS
-from .store import stored
+from . import textindex as TI
+from .store import stored, stored_path, write_by_date
 
 
 def register(key: str):
@@ -83,7 +84,7 @@ def q_src_json_events(spark, sf_dir):
 @register("sink_json_roundtrip")
 def q_sink_json_roundtrip(spark, sf_dir):
     """A2: the union of the feeds into the JSON sink's files, and back."""
-    return _through_files(spark, U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir))), "sink-json")
+    return _through_files(spark, U.union_shapes(load_feed(spark, sf_dir)), "sink-json")
 
 
 def _through_files(spark, df, name):
@@ -138,24 +139,30 @@ def q_union_feeds(spark, sf_dir):
 
 @register("raw_text")
 def q_raw_text(spark, sf_dir):
-    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
-    return u.select("event_id", "_raw_text")
+    return U.union_shapes(load_feed(spark, sf_dir)).select("event_id", "_raw_text")
 
 
 @register("enrich_text")
 def q_enrich_text(spark, sf_dir):
-    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
+    u = U.union_shapes(load_feed(spark, sf_dir))
     return u.select("event_id", X.enrich_text_of(u).alias("text"))
 
 
 @register("confidence_const")
 def q_confidence_const(spark, sf_dir):
-    return load_feed(spark, sf_dir).select("event_id", F.lit(dims.CONFIDENCE_SCORE).alias("confidence_score"))
+    return _by_date(spark, sf_dir).select("event_id", "ingested_at", "confidence_score")
 
 
 @register("event_defaults")
 def q_event_defaults(spark, sf_dir):
-    return V.event_defaults(_live(spark, sf_dir))
+    """B7 over the live feed with fields left out or empty by rule, so that every default is reached."""
+    seq = F.col("seq")
+
+    def gap(name, n):
+        return F.when(seq % n == 0, F.lit("")).when(seq % n == 2, F.lit(None).cast("string")).otherwise(F.col(name)).alias(name)
+    return V.event_defaults(_live(spark, sf_dir).select(
+        "seq", gap("title", 22), gap("description", 26), gap("source_type", 14), gap("event_cluster", 10), gap("sentiment", 34),
+        "event_time", F.when(seq % 6 != 0, F.col("ingested_at")).alias("ingested_at")))
 
 
 @register("feed_filter")
@@ -183,32 +190,41 @@ def q_map_points(spark, sf_dir):
     return V.map_points(_live(spark, sf_dir))
 
 
-def _processed(spark, sf_dir):
-    return _stored_processed(spark, sf_dir).withColumn("confidence_score", F.lit(dims.CONFIDENCE_SCORE))
+def _by_date(spark, sf_dir):
+    """processed_events in folders by date and source."""
+    path = stored_path(spark, sf_dir, "processed_by_date", "events", lambda at: write_by_date(
+        _stored_processed(spark, sf_dir).withColumn("confidence_score", F.lit(dims.CONFIDENCE_SCORE)), at, ("event_id", "title")))
+    return spark.read.parquet(path)
 
 
 @register("by_source_recent")
 def q_by_source_recent(spark, sf_dir):
-    return V.by_source_recent(_processed(spark, sf_dir), PARAMS["source"]).select("event_id", "event_time", "title")
+    return V.by_source_recent(_by_date(spark, sf_dir), PARAMS["source"]).select("event_id", "event_time", "title")
 
 
 @register("by_cluster_confidence")
 def q_by_cluster_confidence(spark, sf_dir):
-    return V.by_cluster_confidence(_processed(spark, sf_dir), PARAMS["cluster"]).select(
+    return V.by_cluster_confidence(_by_date(spark, sf_dir), PARAMS["cluster"]).select(
         "event_id", "event_cluster", "confidence_score")
 
 
 @register("by_sentiment_recent")
 def q_by_sentiment_recent(spark, sf_dir):
-    return V.by_sentiment_recent(_processed(spark, sf_dir), PARAMS["sentiment"]).select("event_id", "event_time")
+    return V.by_sentiment_recent(_by_date(spark, sf_dir), PARAMS["sentiment"]).select("event_id", "event_time")
 
 
 @register("time_range")
 def q_time_range(spark, sf_dir):
-    return V.time_range(load_feed(spark, sf_dir), PARAMS["range_lo"], PARAMS["range_hi"]).select(
+    return V.time_range(_by_date(spark, sf_dir), PARAMS["range_lo"], PARAMS["range_hi"]).select(
         "event_id", "event_time", "source_type")
 
 
+@register("event_lookup")
+def q_event_lookup(spark, sf_dir):
+    """B13, equality on the id: the Bloom filters skip the files that don't hold it."""
+    return V.by_ids(_by_date(spark, sf_dir), PARAMS["lookup_ids"]).select("event_id", "event_time", "title", "event_cluster")
+
+
 @register("token_search")
 def q_token_search(spark, sf_dir):
     return V.token_search(_docs(spark, sf_dir), "text", PARAMS["token_terms"]).select("doc_id")
@@ -216,7 +232,24 @@ def q_token_search(spark, sf_dir):
 
 @register("retention")
 def q_retention(spark, sf_dir):
-    return V.retention(load_feed(spark, sf_dir), PARAMS["retention"]).select("event_id", "event_time")
+    return V.retention(_by_date(spark, sf_dir), PARAMS["retention"]).select("event_id", "event_time")
+
+
+def _text_index(spark, sf_dir):
+    path = stored_path(spark, sf_dir, "text_index", "documents", lambda at: TI.write_index(_docs(spark, sf_dir), at, "doc_id", "text"))
+    return TI.read_index(spark, path)
+
+
+@register("index_search_any")
+def q_index_search_any(spark, sf_dir):
+    """Any of the terms, through the text index."""
+    return TI.search_any(_text_index(spark, sf_dir), PARAMS["token_terms"]).select(F.col("id").alias("doc_id"))
+
+
+@register("index_search_all")
+def q_index_search_all(spark, sf_dir):
+    """All of the terms."""
+    return TI.search_all(_text_index(spark, sf_dir), PARAMS["common_terms"]).select(F.col("id").alias("doc_id"))
 
 
 # ---- joins / geocoding ----------------------------------------------------------------------
@@ -265,16 +298,21 @@ def q_classify_docs(spark, sf_dir):
 
 @register("sentiment_lexicon")
 def q_sentiment_lexicon(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.round(S.compound(F.col("text")), 6).alias("compound"),
-                    S.sentiment_label(F.col("text")).alias("sentiment"))
+    d = _docs(spark, sf_dir).select("doc_id", "text", S.lexicon_sum(F.col("text")).alias("s"))
+    return d.select("doc_id", F.round(S.normalised(F.col("s")), 6).alias("compound"),
+                    S.label_of_sum(F.col("text"), F.col("s")).alias("sentiment"))
 
 
 @register("sentiment_bucket_old")
 def q_sentiment_bucket_old(spark, sf_dir):
+    """An event whose entity burst in its batch is a burst, before any score. The text is the title and description with
+    a word of the lexicon, picked by the id, so that every bucket occurs."""
     f = load_feed(spark, sf_dir)
-    t = X.enrich_text(F.col("title"), F.col("description"))
-    return f.select("event_id", S.old_bucket(S.compound(t), F.lit(False)).alias("bucket"))
+    words = dims.lit_str_array([w for w, _ in dims.SENTIMENT_LEXICON])
+    word = F.element_at(words, (F.col("event_id") % len(dims.SENTIMENT_LEXICON) + 1).cast("int"))
+    marks = C.mark_events(f, C.burst_alerts(C.entity_sources(f))).select("event_id", "is_burst")
+    scored = f.select("event_id", S.compound(X.enrich_text(F.col("title"), F.col("description"), word)).alias("score"))
+    return scored.join(marks, "event_id", "left").select("event_id", S.old_bucket(F.col("score"), F.col("is_burst")).alias("bucket"))
 
 
 @register("sentiment_model")
@@ -289,8 +327,12 @@ def q_embed_hash(spark, sf_dir):
 
 @register("entities_dict")
 def q_entities_dict(spark, sf_dir):
+    """D9 over titles followed by two names of the dictionary, picked by the id, so that every label occurs."""
     f = load_feed(spark, sf_dir)
-    m = N.entities_map(X.enrich_text(F.col("title"), F.col("description")))
+    names = dims.lit_str_array([s for s, _ in dims.ENTITY_DICTIONARY])
+    n = len(dims.ENTITY_DICTIONARY)
+    m = N.entities_map(X.enrich_text(F.col("title"), F.col("description"), F.element_at(names, (F.col("event_id") % n + 1).cast("int")),
+                                     F.element_at(names, (F.col("event_id") * 7 % n + 1).cast("int"))))
     return (f.select("event_id", F.posexplode_outer(m).alias("label_order", "label", "mentions"))
             .where(F.col("label_order").isNotNull())
             .select("event_id", "label", F.col("label_order").cast("long").alias("label_order"), "mentions"))
@@ -309,10 +351,14 @@ def q_keywords_distinct(spark, sf_dir):
 
 @register("blank_guard")
 def q_blank_guard(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    return d.select("doc_id", X.is_blank(F.col("text")).alias("is_blank"),
-                    F.length(X.truncate(F.col("text"), dims.MODEL_TEXT_CHARS)).cast("long").alias("n512"),
-                    F.length(X.truncate(F.col("text"), dims.NER_TEXT_CHARS)).cast("long").alias("n1000"))
+    """D12 over the documents and the titles of the edit stream, some of which are blank."""
+    d = _docs(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    e = ED.decode_sse(ED.sse_lines(table(spark, sf_dir, "events"))).select(
+        F.lit("edit").alias("kind"), F.col("line_no").alias("id"), F.col("title").alias("text"))
+    return d.unionByName(e).select(
+        "kind", "id", X.is_blank(F.col("text")).alias("is_blank"),
+        F.length(X.truncate(F.col("text"), dims.MODEL_TEXT_CHARS)).cast("long").alias("n512"),
+        F.length(X.truncate(F.col("text"), dims.NER_TEXT_CHARS)).cast("long").alias("n1000"))
 
 
 def _feed_bad_json(spark, sf_dir):
@@ -350,8 +396,11 @@ def q_enrich_event(spark, sf_dir):
 
 @register("enrich_batch")
 def q_enrich_batch(spark, sf_dir):
-    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
-    return EN.enrich_batch(u)
+    """The whole consumer enrichment; the ingestion time is derived from the event's, not the wall clock."""
+    u = U.union_shapes(load_feed(spark, sf_dir)).withColumn("event_time", F.col("timestamp").try_cast("timestamp"))
+    done = EN.enrich_batch(u, ingest_time=U.ingested_at(F.col("event_time").cast("timestamp_ntz")))
+    return done.select("event_id", "source_type", "sentiment", "embeddings", "keywords", "lat", "lng", "ingested_at",
+                       F.lit("_raw_text" in done.columns).alias("has_raw_text"))
 
 
 # ---- correlation and aggregates -----------------------------------------------------------
@@ -436,6 +485,19 @@ def q_hotspots(spark, sf_dir):
     return D.hotspots(_live(spark, sf_dir))
 
 
+def _marked(spark, sf_dir):
+    """The processed events, flagged where an alert of their batch names one of their entities."""
+    f = load_feed(spark, sf_dir)
+    marks = C.mark_events(f, C.burst_alerts(C.entity_sources(f))).select("event_id", "is_anomaly")
+    return _stored_processed(spark, sf_dir).drop("is_anomaly").join(marks, "event_id", "left")
+
+
+@register("hotspots_marked")
+def q_hotspots_marked(spark, sf_dir):
+    """E14 over the last days' marked events and more places, so that all threat levels occur."""
+    return D.hotspots(V.retention(_marked(spark, sf_dir), PARAMS["hotspot_span"]), PARAMS["hotspot_places"])
+
+
 @register("mood_index")
 def q_mood_index(spark, sf_dir):
     return D.mood_index(_live(spark, sf_dir), PARAMS["slot_seconds"])
@@ -461,7 +523,8 @@ def q_unread_alerts(spark, sf_dir):
 
 @register("recent_events")
 def q_recent_events(spark, sf_dir):
-    return V.newest(_stored_processed(spark, sf_dir), 50).select("seq", "event_id", "event_time", "title")
+    return V.newest(_stored_processed(spark, sf_dir), 50, [F.desc("ingested_at"), F.desc("event_id")]).select(
+        "event_id", "ingested_at", "title")
 
 
 @register("feed_page")
@@ -507,6 +570,12 @@ def q_entity_nodes(spark, sf_dir):
     return GR.entity_nodes(GR.entity_edges(_live(spark, sf_dir)))
 
 
+@register("entity_nodes_marked")
+def q_entity_nodes_marked(spark, sf_dir):
+    """G2 over the marked events: anomaly nodes occur."""
+    return GR.entity_nodes(GR.entity_edges(_marked(spark, sf_dir)))
+
+
 @register("live_feed")
 def q_live_feed(spark, sf_dir):
     return _live(spark, sf_dir).select("seq", "event_id", "event_time", "source_type", "title", "is_anomaly")
@@ -524,29 +593,33 @@ FEED_COLS = ["event_id", "event_time", "source_type", "value", "place", "title",
              "lat", "lng", "sentiment", "entities", "user_id"]
 
 
-def _feed_files(spark, sf_dir, root):
+def _feed_files(spark, sf_dir, root, rows_per_file=None, chunk=None):
     import os
     from ..streaming import pipeline as P
     src = os.path.join(root, "src")
-    P.write_feed_files(load_feed(spark, sf_dir).select(*FEED_COLS), src)
+    P.write_feed_files(load_feed(spark, sf_dir).select(*FEED_COLS), src, rows_per_file, chunk=chunk)
     return src
 
 
+def _epoch_rows(spark, sf_dir):
+    """Ids a file in the stream queries: four files, or ten rows a file at least, and no multiple of a batch."""
+    return max(10, -(-(_max_batch(spark, sf_dir, 1) + 1) // 4)) // 10 * 10 + 3
+
+
+AVAILABLE = {"availableNow": True}
+
+
 def _fanout(spark, sf_dir):
-    """Folder of processed_events and meta_events, written by one stream in four epochs, in the order of the events."""
+    """Folder of processed_events and meta_events, written by one stream of one file an epoch; run once for the two
+    queries that read it."""
     import os
     from ..streaming import pipeline as P
-    root = _stream_dir(spark, "fanout")
-    feed = load_feed(spark, sf_dir).select(*FEED_COLS)
-    per_epoch = 1000 * max(1, -(-(_max_batch(spark, sf_dir, 1000) + 1) // 4))
-    for part in range(4):
-        rows = feed.where(F.coalesce(F.expr(f"event_id div {per_epoch}"), F.lit(0)) == part)
-        if rows.isEmpty():
-            continue
-        P.write_feed_files(rows, os.path.join(root, "src", f"part={part}"))
-        P.run_available_now(P.start_fanout(P.file_events(spark, os.path.join(root, "src")), root, os.path.join(root, "ckpt"),
-                                           trigger={"availableNow": True}))
-    return root
+
+    def run(root):
+        src = _feed_files(spark, sf_dir, root, _epoch_rows(spark, sf_dir))
+        P.run_available_now(P.start_fanout(P.file_events(spark, src, max_files_per_trigger=1), root, os.path.join(root, "ckpt"), AVAILABLE))
+        P.finish_fanout(spark, root, spark.read.parquet(os.path.join(root, "burst_progress")).agg(F.max("epoch")).first()[0])
+    return stored_path(spark, sf_dir, "fanout", "events", run)
 
 
 @register("sink_fanout")
@@ -570,8 +643,7 @@ def q_tail_inserts(spark, sf_dir):
     from ..streaming import pipeline as P
     root = _stream_dir(spark, "tail")
     src = _feed_files(spark, sf_dir, root)
-    P.run_available_now(P.start_processed(P.file_events(spark, src), root, os.path.join(root, "ckpt1"),
-                                          trigger={"availableNow": True}))
+    P.run_available_now(P.start_processed(P.file_events(spark, src), root, os.path.join(root, "ckpt1"), AVAILABLE))
     table_path = os.path.join(root, "processed_events")
     schema = spark.read.parquet(table_path).drop("epoch").schema
     out = os.path.join(root, "tail")
@@ -579,18 +651,131 @@ def q_tail_inserts(spark, sf_dir):
     return spark.read.parquet(out).select(*FEED_COLS)
 
 
+@register("alerts_stream")
+def q_alerts_stream(spark, sf_dir):
+    """The keyed counter with state and timers. The first third of the events is a history whose batch fold
+    gives the initial counters; the rest is streamed a file an epoch."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "alerts")
+    feed = load_feed(spark, sf_dir).select(*FEED_COLS)
+    last = _max_batch(spark, sf_dir)
+    cut = last // 3 * 10
+    past, new = feed.where(F.col("event_id") < cut), feed.where(F.col("event_id") >= cut)
+    C.burst_counter_state(C.entity_sources(past)).select("entity", F.col("run").cast("long").alias("run")) \
+        .write.parquet(os.path.join(root, "counters"))
+    src = os.path.join(root, "src")
+    P.write_feed_files(new, src, _epoch_rows(spark, sf_dir))
+    P.write_heartbeat(spark, src, (last + 10) * 10)
+    P.run_available_now(P.start_alerts(P.file_events(spark, src, max_files_per_trigger=1), root, os.path.join(root, "ckpt"), AVAILABLE,
+                                       delay=1, history=os.path.join(root, "counters")))
+    return C.meta_events(past).unionByName(spark.read.parquet(os.path.join(root, "meta_events")).drop("epoch", "ingested_at"))
+
+
+def _consumer(spark, sf_dir):
+    """The consumer's whole chain as one stream: JSON messages of four shapes, decoded, enriched (sentiment, vectors,
+    entities found in the text, keywords, coordinates), correlated on the entities found, two tables."""
+    import os
+    from ..streaming import pipeline as P
+
+    def run(root):
+        src = os.path.join(root, "src")
+        union = U.union_shapes(load_feed(spark, sf_dir))
+        P.write_feed_files(union, src, _epoch_rows(spark, sf_dir))
+        P.run_available_now(P.start_fanout(P.file_events(spark, src, union.schema, max_files_per_trigger=1), root,
+                                           os.path.join(root, "ckpt"), AVAILABLE, transform=EN.consume))
+        P.finish_fanout(spark, root, spark.read.parquet(os.path.join(root, "burst_progress")).agg(F.max("epoch")).first()[0])
+    return stored_path(spark, sf_dir, "consumer", "events", run)
+
+
+@register("consumer_processed")
+def q_consumer_processed(spark, sf_dir):
+    """D17 in the stream: the enriched events as stored."""
+    import os
+    return spark.read.parquet(os.path.join(_consumer(spark, sf_dir), "processed_events")).select(
+        "event_id", "source_type", "sentiment", "embeddings", "keywords", "lat", "lng", "event_time")
+
+
+@register("consumer_alerts")
+def q_consumer_alerts(spark, sf_dir):
+    """E1-E5 in the stream, on the entities that the enrichment found."""
+    import os
+    return spark.read.parquet(os.path.join(_consumer(spark, sf_dir), "meta_events")).drop("epoch")
+
+
+@register("cross_stream_live")
+def q_cross_stream_live(spark, sf_dir):
+    """H4: event-time windows that the watermark closes, as a stream."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "windows")
+    src = _feed_files(spark, sf_dir, root, _epoch_rows(spark, sf_dir))
+    P.write_heartbeat(spark, src, 0)
+    out = os.path.join(root, "out")
+    found = P.windowed_cross_stream(P.file_events(spark, src, max_files_per_trigger=1))
+    P.run_available_now(P.parquet_sink(found, out, os.path.join(root, "ckpt")))
+    return spark.read.parquet(out)
+
+
+@register("late_rows")
+def q_late_rows(spark, sf_dir):
+    """H4 side output: every 97th event arrives two files late; those whose window is closed by then are listed."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "late")
+    per = _epoch_rows(spark, sf_dir)
+    src = _feed_files(spark, sf_dir, root, chunk=F.expr(f"event_id div {per} + CASE WHEN event_id % 97 = 0 THEN 2 ELSE 0 END"))
+    P.run_available_now(P.start_late_rows(P.file_events(spark, src, max_files_per_trigger=1), root, os.path.join(root, "ckpt"), AVAILABLE))
+    return spark.read.parquet(os.path.join(root, "late_rows")).select("event_id", "event_time", "source_type")
+
+
+@register("velocity_stream")
+def q_velocity_stream(spark, sf_dir):
+    """E8 as a stream: every slot's count, empty slots too, emitted when the watermark passes the slot."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "velocity")
+    src = _feed_files(spark, sf_dir, root, _epoch_rows(spark, sf_dir))
+    seconds = PARAMS["slot_seconds"]
+    hi = load_feed(spark, sf_dir).agg(D.slot_start(D.slot_of(F.max("event_time"), seconds) + 1, seconds)).first()[0]
+    P.write_heartbeat(spark, src, 0, str(hi))
+    out = os.path.join(root, "out")
+    slots = P.slot_counts(P.file_events(spark, src, max_files_per_trigger=1), seconds, 0)
+    P.run_available_now(P.parquet_sink(slots, out, os.path.join(root, "ckpt")))
+    return spark.read.parquet(out)
+
+
+@register("bounded_epochs")
+def q_bounded_epochs(spark, sf_dir):
+    """Epochs of a bounded number of rows, and the progress table's rows an epoch beside the sink's."""
+    import os
+    from ..streaming import pipeline as P
+    root = _stream_dir(spark, "epochs")
+    bound = _epoch_rows(spark, sf_dir)
+    src = _feed_files(spark, sf_dir, root, bound)
+    progress = P.recorded(spark, os.path.join(root, "progress"), lambda: P.start_processed(
+        P.file_events(spark, src, max_files_per_trigger=1), root, os.path.join(root, "ckpt"), AVAILABLE))
+    sink = spark.read.parquet(os.path.join(root, "processed_events")).groupBy(F.col("epoch").cast("long").alias("epoch")).agg(
+        F.count(F.lit(1)).alias("n_sink"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return (progress.where("n_rows > 0").join(sink, "epoch", "full")
+            .select((F.col("first_id") - F.col("first_id") % bound).alias("from_id"), "first_id", "last_id", "n_rows", "n_sink",
+                    (F.col("n_rows") <= bound).alias("within"), F.expr("sources[0].end_offset is not null").alias("has_offsets")))
+
+
 @register("backfill_live")
 def q_backfill_live(spark, sf_dir):
-    """History files then live files overlapping them; each event is emitted once."""
+    """History, then the live stream from the recorded position on; the live files overlap the history and
+    deliver every 13th event twice."""
     import os
     from ..streaming import pipeline as P
     root = _stream_dir(spark, "backfill")
     feed = load_feed(spark, sf_dir).select(*FEED_COLS)
     n = _max_batch(spark, sf_dir, 1) + 1
-    hist, live = os.path.join(root, "hist"), os.path.join(root, "live")
-    P.write_feed_files(feed.where(F.col("event_id") < int(n * 0.6)), hist)
-    P.write_feed_files(feed.where(F.col("event_id") >= int(n * 0.4)), live)
-    out = P.backfill_live(P.file_events(spark, hist), P.file_events(spark, live), delay="3650 days")
-    dest = os.path.join(root, "out")
-    P.run_available_now(P.parquet_sink(out.select(*FEED_COLS), dest, os.path.join(root, "ckpt")))
-    return spark.read.parquet(dest).select(*FEED_COLS)
+    position = P.hand_over(feed.where(F.col("event_id") < int(n * 0.6)), root)
+    live = feed.where(F.col("event_id") >= int(n * 0.4))
+    src = os.path.join(root, "src")
+    P.write_feed_files(live.unionByName(live.where("event_id % 13 = 0")), src, _epoch_rows(spark, sf_dir))
+    out = P.live_after(P.file_events(spark, src, max_files_per_trigger=1), position)
+    P.run_available_now(P.parquet_sink(out.select(*FEED_COLS), os.path.join(root, "live"), os.path.join(root, "ckpt")))
+    return P.read_epoch(spark, root, "history", 0).select(*FEED_COLS).unionByName(
+        spark.read.parquet(os.path.join(root, "live")).select(*FEED_COLS))

@@ -2,9 +2,13 @@
 
 The monitored system writes two collections and every dashboard / feed view reads them. Here
 they are built by Spark from the provided tables and written once per session and input
-folder under the shared checkpoint folder (``spark.checkpoint.dir``); readers get a plain
+under the shared checkpoint folder (``spark.checkpoint.dir``); readers get a plain
 Parquet scan (filters and column pruning reach the files, and lineage is cut, so a lost
-executor only re-reads files).
+executor only re-reads files). An input is known by its files' names, sizes and times, so a
+table that changes within a session is stored anew.
+
+``write_by_date`` lays a collection out for the access paths that indexes served (B13): folders by
+date and source, files sorted by time, Bloom filters on the columns that are looked up by value.
 """
 
 from __future__ import annotations
@@ -14,23 +18,37 @@ import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_path
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple, str] = {}
+
+
+def listing(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of the files under ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
+def stored_path(spark: SparkSession, sf_dir: str, name: str, source: str, write: Callable[[str], object]) -> str:
+    """The folder that ``write`` filled from the table ``source`` of ``sf_dir``; filled once a session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, listing(spark, f"{sf_dir.rstrip('/')}/{source}.parquet"))
+    if key not in _WRITTEN:
+        tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
+        path = shared_path(spark, "store", key[0], tag, name)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    app = spark.sparkContext.applicationId
-    key = (app, sf_dir, name)
-    df = _WRITTEN.get(key)
-    if df is None:
-        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-        path = shared_path(spark, "store", app, tag, name)
-        build().write.mode("overwrite").parquet(path)
-        df = spark.read.parquet(path)
-        _WRITTEN[key] = df
-    return df
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], source: str = "events") -> DataFrame:
+    return spark.read.parquet(stored_path(spark, sf_dir, name, source, lambda path: build().write.mode("overwrite").parquet(path)))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,3 +57,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, "work", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Folder name of rows without a source.
+NO_SOURCE = "none"
+
+
+def write_by_date(df: DataFrame, path: str, blooms: tuple[str, ...] = ("event_id",)) -> None:
+    """Folders event_date / source, rows by time within a file. A range exchange on (date, source, time) cuts a
+    large folder into several files and gives a small one a single file."""
+    out = df.withColumn("event_date", F.col("event_time").cast("date")) \
+            .withColumn("source", F.coalesce(F.nullif(F.col("source_type"), F.lit("")), F.lit(NO_SOURCE)))
+    writer = out.repartitionByRange("event_date", "source", "event_time") \
+                .sortWithinPartitions("event_date", "source", "event_time").write.mode("overwrite")
+    for c in blooms:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.partitionBy("event_date", "source").parquet(path)

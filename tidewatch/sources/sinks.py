@@ -40,6 +40,11 @@ def write_epoch(df: DataFrame, root: str, table: str, epoch_id: int) -> str:
     return out
 
 
+def read_epoch(spark: SparkSession, root: str, table: str, epoch_id: int) -> DataFrame:
+    """One epoch's rows; an error if that epoch has not been written."""
+    return spark.read.parquet(os.path.join(root, table, f"epoch={int(epoch_id)}"))
+
+
 def fanout_writer(root: str, alerts_fn=None):
     """A4: ``foreachBatch`` function writing every event to processed_events and alerts,
     if any, to meta_events, both keyed by epoch."""
