@@ -8,8 +8,8 @@ row the bytes before it in its node's order by one range exchange and prefix sum
 
 Copies of a text count as one group with the metadata of the copy with the smallest doc_id, and
 are neighbours along every dimension. A cut that would fall inside a group moves to its nearer
-end if the group is under ``snap`` of a leaf's bytes; a larger group is cut, since no shard could
-hold it whole and stay near equal.
+end if that takes it at most ``snap`` of a leaf's bytes away; a group where it takes more is cut, or
+the sizes would not stay near equal.
 
 Null texts count as empty (size 1). Null metadata sorts first; null ids are allowed. Repeated rows
 are told apart by a row number. An empty table gives an empty result.
@@ -83,9 +83,10 @@ def kd_shards(items: DataFrame, leaves: int = 8, dims: tuple[str, ...] = DIMENSI
                                    & (F.col("text_key") == r["e"]["text_key"]))
             for r in at.filter(inside).groupBy("_node").agg(
                     F.min("_before").alias("a"), F.max(F.col("_before") + F.col("size")).alias("b")).collect():
-                if r["b"] - r["a"] <= tolerance[r["_node"]]:
-                    x = target[r["_node"]]
-                    cut[r["_node"]] = r["a"] if x - r["a"] <= r["b"] - x else r["b"]
+                x = target[r["_node"]]
+                nearer = r["a"] if x - r["a"] <= r["b"] - x else r["b"]
+                if abs(nearer - x) <= tolerance[r["_node"]]:
+                    cut[r["_node"]] = nearer
         side = F.col("_lower")
         for node, x in cut.items():
             side = F.when(F.col("_node") == node, F.col("_before") < x).otherwise(side)
