@@ -34,6 +34,8 @@ SIZE = 1024
 GAP = 0.0005
 ROUNDS = 300
 _PIECES = "doc_id long, text_key long, start long, length long, ids_crc32 long, doc_tokens long"
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
@@ -64,13 +66,14 @@ def _cut_some(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_coder(path)
         for b in batches:
-            rows = []
-            for i, (doc, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
-                coded = [ids.astype("<u4").tobytes() for _, ids, _ in coder.batches(b.column(1).slice(i, 1))]
-                ids = memoryview(b"".join(coded) + b"\0\0\0\0")
-                for c in cuts:
-                    part = ids[4 * c["start"]:4 * (c["start"] + c["length"])]
-                    rows.append((doc, c["start"], c["length"], zlib.crc32(part), len(ids) // 4, c["sequence_id"], c["offset"]))
+            rows, docs, every = [], b.column(0).to_pylist(), b.column(2).to_pylist()
+            for lo, ids, bounds in coder.batches(b.column(1)):
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), bounds.tolist()
+                for doc, cuts, begin, end in zip(docs[lo:], every[lo:], ends, ends[1:]):
+                    whole = bytes(raw[4 * begin:4 * end]) + b"\0\0\0\0"
+                    for c in cuts:
+                        part = whole[4 * c["start"]:4 * (c["start"] + c["length"])]
+                        rows.append((doc, c["start"], c["length"], zlib.crc32(part), len(whole) // 4, c["sequence_id"], c["offset"]))
             if rows:
                 yield _batch(rows, names)
 
