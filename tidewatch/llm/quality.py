@@ -1,9 +1,10 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes good (+1), bad (-1) or abstains (0) on a document. The hidden quality and the
+Each rule votes good (+1), bad (-1) or abstains (0) on a document. A rule whose fault is rare says
+nothing by its absence: it votes bad or abstains. The hidden quality and the
 rules' accuracies are estimated together by expectation-maximisation on a naive Bayes model of
-the votes: every rule has, for good and for bad documents, its own probabilities of the three
-votes. The votes of all documents are counted by pattern in Spark; the model is fitted on that
+the votes, to convergence: every rule has, for good and for bad documents, its own probabilities of
+the three votes. The votes of all documents are counted by pattern in Spark; the model is fitted on that
 table, whose size is bounded by 3 ** rules. Weak Beta-like pseudo-counts keep "good" the side the
 rules call good. A document's posterior probability is a sum of per-rule log ratios, written as a
 column expression; kept documents have at least ``threshold``.
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-ROUNDS = 60
+#: EM ends when no probability changes by more; an error after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-6, 10_000
 PSEUDO = 20.0
+#: A word that holds a symbol, up to its first one; tried at word starts only.
+_NOISY = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>]"
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -55,6 +59,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             .withColumn("_q_upper", F.length(F.regexp_replace("_q_t", "[^\\p{Lu}]+", "")))
             .withColumn("_q_shout", F.length("_q_t") - F.length(F.translate("_q_t", "!", "")))
             .withColumn("_q_nlines", F.size("_q_lines"))
+            .withColumn("_q_noisy", F.when(F.col("n_symbols") > 0, F.regexp_count("_q_t", F.lit(_NOISY))).otherwise(F.lit(0)))
             .drop("_q_w", "_q_h", "_q_s", "_q_p", "_q_lines", "_q_t", "_q_n"))
 
 
@@ -73,17 +78,18 @@ def rules() -> dict[str, Column]:
     per_word = lambda c: F.col(c) / n
     letters = F.greatest(F.col("_q_letters"), F.lit(1)).cast("double")
     mean = per_word("word_chars")
-    some = F.col("n_words") > 0
+    some, never = F.col("n_words") > 0, F.lit(False)
     return {k: F.when(some, v).otherwise(F.lit(0)) for k, v in {
-        "symbols": _vote(per_word("n_symbols") <= 0.02, per_word("n_symbols") > 0.3),
-        "shouting": _vote(per_word("_q_shout") <= 0.05, per_word("_q_shout") > 0.4),
-        "capitals": _vote(F.col("_q_upper") / letters <= 0.2, F.col("_q_upper") / letters > 0.6),
-        "letters": _vote(F.col("_q_letters") / F.greatest(F.col("word_chars"), F.lit(1)) >= 0.85,
-                         F.col("_q_letters") / F.greatest(F.col("word_chars"), F.lit(1)) < 0.7),
-        "word_length": _vote((mean >= 2.5) & (mean <= 10), (mean < 1.8) | (mean > 15)),
-        "lines": _vote(F.col("n_dup_lines") * 20 <= F.col("_q_nlines"), F.col("n_dup_lines") * 2 > F.col("_q_nlines")),
-        "repeats": _vote(per_word("n_repeat_words") <= 0.05, per_word("n_repeat_words") > 0.4),
+        "symbols": _vote(per_word("n_symbols") <= 0.02, per_word("n_symbols") > 0.1),
+        "noisy_words": _vote(per_word("_q_noisy") <= 0.02, per_word("_q_noisy") > 0.1),
+        "letters": _vote(F.col("_q_letters") / F.greatest(F.col("word_chars"), F.lit(1)) >= 0.94,
+                         F.col("_q_letters") / F.greatest(F.col("word_chars"), F.lit(1)) < 0.9),
         "size": _vote(F.col("n_words") >= 100, F.col("n_words") < 20),
+        "shouting": _vote(never, per_word("_q_shout") > 0.2),
+        "capitals": _vote(never, F.col("_q_upper") / letters > 0.5),
+        "word_length": _vote(never, (mean < 2.5) | (mean > 7.5)),
+        "lines": _vote(never, F.col("n_dup_lines") * 10 > F.col("_q_nlines") * 3),
+        "repeats": _vote(never, per_word("n_repeat_words") > 0.2),
     }.items()}
 
 
@@ -105,14 +111,19 @@ class RuleModel:
         return 1 / (1 + F.exp(-logit))
 
 
-def fit_rules(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...], rounds: int = ROUNDS) -> RuleModel:
-    """EM over ``(votes, documents)`` patterns. No pattern: the starting model."""
+def fit_rules(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...], tolerance: float = TOLERANCE,
+              most_rounds: int = MOST_ROUNDS) -> RuleModel:
+    """EM over ``(votes, documents)`` patterns, until nothing changes by more than ``tolerance``. No pattern: the starting
+    model."""
     # start: rules are right three times out of four when they vote, most documents are good
     good = [{1: 0.6, 0: 0.2, -1: 0.2} for _ in names]
     bad = [{1: 0.2, 0: 0.2, -1: 0.6} for _ in names]
     first_good, first_bad, prior = [dict(x) for x in good], [dict(x) for x in bad], 0.8
     total = sum(n for _, n in patterns)
-    for _ in range(rounds if total else 0):
+    change = math.inf if total else 0.0
+    for _ in range(most_rounds):
+        if change <= tolerance:
+            break
         on_good = [{v: PSEUDO * x for v, x in g.items()} for g in first_good]
         on_bad = [{v: PSEUDO * x for v, x in b.items()} for b in first_bad]
         mass = 0.0
@@ -124,9 +135,13 @@ def fit_rules(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...
             for i, v in enumerate(votes):
                 on_good[i][v] += n * p
                 on_bad[i][v] += n * (1 - p)
+        was = [*good, *bad, {0: prior}]
         good = [{v: x / sum(g.values()) for v, x in g.items()} for g in on_good]
         bad = [{v: x / sum(b.values()) for v, x in b.items()} for b in on_bad]
         prior = (mass + 0.8 * PSEUDO) / (total + PSEUDO)
+        change = max(abs(x[v] - old[v]) for x, old in zip([*good, *bad, {0: prior}], was) for v in x)
+    else:
+        raise RuntimeError(f"no convergence to {tolerance} in {most_rounds} rounds")
     return RuleModel(names, prior, tuple(good), tuple(bad))
 
 
