@@ -18,9 +18,13 @@ from tidewatch.llm.queries import tokenizer_path, toxicity_model
 
 #: Not expressible in SQL: fitted models, sampling and a linear program.
 ORACLE_SQL = None
+#: Rows of an Arrow batch while texts go to a Python worker: whole rows wait beside it, and their number bounds
+#: what an executor holds. Set for the session, since a stage runs only when its result is written.
+ARROW_ROWS = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     model = toxicity_model(spark, docs, sf_dir)
     return docs.filter(F.coalesce(toxicity.score_column(model, F.col("text")), F.lit(0.0)) < 0.5)
 
