@@ -28,6 +28,13 @@ def test_union_feeds_shapes(spark):
     assert u.where(F.col("timestamp").try_cast("timestamp").isNull()).count() == 0
 
 
+def test_union_from_one_scan_equals_the_union_of_feeds(spark):
+    feed = load_feed(spark, SF_SMALL)
+    four, one = U.union_feeds(U.feed_shapes(feed)), U.union_shapes(feed)
+    assert four.columns == one.columns and [d for _, d in four.dtypes] == [d for _, d in one.dtypes]
+    assert four.exceptAll(one).count() == 0 and one.exceptAll(four).count() == 0
+
+
 def test_poll_since(spark):
     feed = load_feed(spark, SF_SMALL)
     assert SK.poll_since(feed, None).count() == 0

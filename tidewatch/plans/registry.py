@@ -581,6 +581,10 @@ def q_live_feed(spark, sf_dir):
     return _live(spark, sf_dir).select("seq", "event_id", "event_time", "source_type", "title", "is_anomaly")
 
 
+#: Stored tables that queries share, for timing them apart.
+STORES = {"processed_events": _stored_processed, "meta_events": _stored_alerts, "processed_by_date": _by_date, "text_index": _text_index}
+
+
 # ---- streaming jobs checked against the batch result (S=B) ------------------------------
 
 def _stream_dir(spark, name):
