@@ -22,7 +22,7 @@ CORE = ["meta_events", "burst_counter", "burst_state", "entity_sources", "geocod
         "entities_encode", "recent_events", "retention", "time_range", "sentiment_model", "active_markers"]
 #: Streams over the whole feed, equal to the batch result.
 STREAMS = ["sink_fanout", "sink_fanout_alerts", "alerts_stream", "consumer_processed", "consumer_alerts", "cross_stream_live",
-           "late_rows", "velocity_stream", "bounded_epochs", "backfill_live"]
+           "late_rows", "velocity_stream", "mood_stream", "bounded_epochs", "backfill_live"]
 KEYS = sorted(QUERIES) if os.environ.get("TIDEWATCH_ALL_ORACLE") else CORE
 
 

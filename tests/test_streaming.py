@@ -283,3 +283,40 @@ def test_slot_counts_fill_gaps(spark, scratch):
     for i in [*range(0, 20), *range(100, 130), 300]:
         want[i // 10] += 1
     assert [n for _, n in got] == want
+
+
+def test_clamp_triples_compose():
+    import random
+    rnd = random.Random(3)
+    for _ in range(300):
+        cells = "".join(rnd.choice("+++---0x.") for _ in range(rnd.randrange(60)))
+        for x in (-10, -3, 0, 7, 10):
+            want = x
+            for c in cells:
+                if c in "+-0":
+                    want = min(10, max(-10, want + {"+": 1, "-": -1, "0": 0}[c]))
+            f = ST.clamp_triple(cells)
+            assert (x if f is None else min(f[2], max(f[1], x + f[0]))) == want
+
+
+def test_mood_line_with_late_events(spark, scratch):
+    """Events come up to a file late and twice; the line is that of all events in order."""
+    labels = ["POSITIVE", "NEGATIVE", "POSITIVE", "", None, "odd", "NEUTRAL", "POSITIVE"]
+    rows = [(i, i * 3, labels[(i * i + i // 7) % 8]) for i in range(300) if not 100 <= i < 130]
+    feed = spark.createDataFrame(rows, "event_id long, t long, sentiment string").select(
+        "event_id", F.timestamp_seconds("t").cast("timestamp_ntz").alias("event_time"), "sentiment")
+    src, out = os.path.join(scratch, "src"), os.path.join(scratch, "out")
+    P.write_feed_files(feed.unionByName(feed.where("event_id % 50 = 7")), src,
+                       chunk=F.expr("event_id div 40 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END"))
+    P.write_heartbeat(spark, src, 0, "1970-01-01 00:19:00")
+    P.run_available_now(P.parquet_sink(P.mood_line(P.file_events(spark, src, max_files_per_trigger=1), 10, 240), out, os.path.join(scratch, "c")))
+    got = [(int(r["slot_start"].timestamp()), r["mood"]) for r in spark.read.parquet(out).orderBy("slot_start").collect()]
+    want, mood, last = [], 0, 0
+    for slot in range(90):
+        for i, t, label in rows:
+            if t // 10 == slot:
+                step = {"positive": 1, "negative": -1, "neutral": 0}.get((label or "neutral").lower())
+                if step is not None:
+                    mood = min(10, max(-10, mood + step))
+        want.append(mood)
+    assert [m for _, m in got] == want

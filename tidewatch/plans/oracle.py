@@ -562,7 +562,7 @@ from (select entity as place, count(*) as n, count(*) filter (where coalesce(is_
         min(seq * 100000 + pos) as first from men group by entity)
 order by n desc, first limit {int(PARAMS['hotspot_places'])}"""
     lim = d.MOOD_CLAMP
-    q["mood_index"] = with_feed(ENTITY_BATCH, burst, meta, cluster, live, f"""
+    mood = f"""
 ev as (select cast(floor(epoch_us(event_time) / {ss * 1_000_000}.0) as bigint) as slot, seq,
   lower(coalesce(nullif(sentiment, ''), 'neutral')) as s from live),
 per as (select slot, list(s order by seq) as ss from ev group by slot),
@@ -580,8 +580,10 @@ r(idx, slot, mood) as (
       when x = 'positive' then least({lim}, greatest(-{lim}, acc + 1))
       when x = 'negative' then least({lim}, greatest(-{lim}, acc - 1))
       when x = 'neutral' then least({lim}, greatest(-{lim}, acc)) else acc end, r.mood), r.mood)
-  from r join items i on i.idx = r.idx + 1)""", recursive=True) + \
-        f"select make_timestamp(slot * {ss * 1_000_000}) as slot_start, cast(mood as bigint) as mood from r"
+  from r join items i on i.idx = r.idx + 1)"""
+    line = f"select make_timestamp(slot * {ss * 1_000_000}) as slot_start, cast(mood as bigint) as mood from r"
+    q["mood_index"] = with_feed(ENTITY_BATCH, burst, meta, cluster, live, mood, recursive=True) + line
+    q["mood_stream"] = with_feed("live as (select *, event_id as seq from feed)", mood, recursive=True) + line
     q["batch_stats"] = with_feed() + """
 select batch, n_events, first_time, last_time, span_sec,
   case when span_sec > 0 then n_events / span_sec end as events_per_sec

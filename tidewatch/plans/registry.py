@@ -133,7 +133,7 @@ def q_table_counts(spark, sf_dir):
 
 @register("union_feeds")
 def q_union_feeds(spark, sf_dir):
-    u = U.union_feeds(U.feed_shapes(load_feed(spark, sf_dir)))
+    u = U.union_shapes(load_feed(spark, sf_dir))
     return u.withColumn("event_time", F.col("timestamp").try_cast("timestamp"))
 
 
@@ -733,22 +733,37 @@ def q_late_rows(spark, sf_dir):
     return spark.read.parquet(os.path.join(root, "late_rows")).select("event_id", "event_time", "source_type")
 
 
-@register("velocity_stream")
-def q_velocity_stream(spark, sf_dir):
-    """E8 as a stream: every slot's count, empty slots too, emitted when the watermark passes the slot."""
+def _slot_stream(spark, sf_dir, name, slots, chunk=None):
+    """A stream of slots over the feed's files and a heartbeat at the end of the last slot and the delay."""
     import os
     from ..streaming import pipeline as P
-    root = _stream_dir(spark, "velocity")
-    src = _feed_files(spark, sf_dir, root, _epoch_rows(spark, sf_dir))
-    seconds = PARAMS["slot_seconds"]
-    hi = load_feed(spark, sf_dir).agg(D.slot_start(D.slot_of(F.max("event_time"), seconds) + 1, seconds)).first()[0]
+    root = _stream_dir(spark, name)
+    src = _feed_files(spark, sf_dir, root, _epoch_rows(spark, sf_dir), chunk)
+    seconds, delay = PARAMS["slot_seconds"], PARAMS["slot_delay"]
+    hi = load_feed(spark, sf_dir).agg(D.slot_start(D.slot_of(F.max("event_time"), seconds) + 1 + -(-delay // seconds), seconds)).first()[0]
     P.write_heartbeat(spark, src, 0, str(hi))
     out = os.path.join(root, "out")
-    slots = P.slot_counts(P.file_events(spark, src, max_files_per_trigger=1), seconds, 0)
-    P.run_available_now(P.parquet_sink(slots, out, os.path.join(root, "ckpt")))
+    P.run_available_now(P.parquet_sink(slots(P.file_events(spark, src, max_files_per_trigger=1), seconds, delay), out,
+                                       os.path.join(root, "ckpt")))
     return spark.read.parquet(out)
 
 
+@register("velocity_stream")
+def q_velocity_stream(spark, sf_dir):
+    """E8 as a stream: every slot's count, empty slots too, emitted when the watermark passes the slot."""
+    from ..streaming import pipeline as P
+    return _slot_stream(spark, sf_dir, "velocity", P.slot_counts)
+
+
+@register("mood_stream")
+def q_mood_stream(spark, sf_dir):
+    """E15 as a stream over the processed events; every 31st event comes a file late, within the delay."""
+    from ..streaming import pipeline as P
+    per = max(10, _epoch_rows(spark, sf_dir) // 8)
+    late = F.expr(f"event_id div {per} + CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END")
+    return _slot_stream(spark, sf_dir, "mood", P.mood_line, late)
+
+
 @register("bounded_epochs")
 def q_bounded_epochs(spark, sf_dir):
     """Epochs of a bounded number of rows, and the progress table's rows an epoch beside the sink's."""

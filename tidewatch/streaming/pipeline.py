@@ -175,6 +175,13 @@ def slot_counts(stream: DataFrame, slot_seconds: int, delay_seconds: int = 0) ->
     return slots(stream, slot_seconds, delay_seconds).select(slot_start(F.col("slot"), slot_seconds).alias("slot_start"), "n")
 
 
+def mood_line(stream: DataFrame, slot_seconds: int, delay_seconds: int = 0) -> DataFrame:
+    """E15 as a stream: slot_start and the mood at the end of every slot."""
+    from ..operators.dashboard import slot_start
+    from .state import mood_line as line
+    return line(stream, slot_seconds, delay_seconds).select(slot_start(F.col("slot"), slot_seconds).alias("slot_start"), "mood")
+
+
 def start_late_rows(stream: DataFrame, out_root: str, checkpoint: str, trigger: dict | None = None,
                     window: str = "10 minutes", delay: str = "10 minutes") -> StreamingQuery:
     """H4 side output: the rows that ``windowed_cross_stream`` drops when it reads the same files in the same epochs.

@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -194,3 +195,93 @@ def slot_counts(stream: DataFrame, slot_seconds: int, delay_seconds: int, time_c
         "ts", F.timestamp_seconds((F.col("slot") + 1) * slot_seconds)).withWatermark("ts", f"{slot_seconds + delay_seconds} seconds")
     return counted.groupBy("k").applyInPandasWithState(slot_fn(slot_seconds * 1000), SLOT_SCHEMA, SLOT_STATE, "append",
                                                        GroupStateTimeout.EventTimeTimeout)
+
+
+# ---- E15, the mood line -----------------------------------------------------------------
+
+MOOD_STATE = "next long, mood long, pending string"
+MOOD_SCHEMA = "slot long, mood long"
+#: Consecutive events of a slot that a task sends as one row: a step each, or, if it has them all, their composition.
+BLOCK = 64
+NO_EVENT, UNKNOWN, STEPS = ".", "x", {"positive": "+", "negative": "-", "neutral": "0"}
+_DELTA = {"+": 1, "-": -1, "0": 0}
+
+
+def clamp_triple(cells: str, limit: int = dims.MOOD_CLAMP) -> list[int] | None:
+    """Steps in order as x -> min(hi, max(lo, x + a)); None if no step does anything."""
+    out = None
+    for c in cells:
+        if c in _DELTA:
+            d = _DELTA[c]
+            out = [d, -limit, limit] if out is None else [out[0] + d, *(min(limit, max(-limit, x + d)) for x in out[1:])]
+    return out
+
+
+def _mood_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not len(b):
+            continue
+        slot, seq = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        step = np.frombuffer("".join(b.column(2).to_pylist()).encode(), np.uint8)
+        pairs, row = np.unique(np.stack([slot, seq // BLOCK]), axis=1, return_inverse=True)
+        cells = np.full((pairs.shape[1], BLOCK), ord(NO_EVENT), np.uint8)
+        cells[row.ravel(), seq % BLOCK] = step
+        yield pa.record_batch([pa.array(np.zeros(pairs.shape[1], np.int32)), pa.array(pairs[0]), pa.array(pairs[1]),
+                               pa.array([r.tobytes().decode() for r in cells])], ["k", "slot", "block", "cells"])
+
+
+def mood_fn(slot_ms: int, limit: int = dims.MOOD_CLAMP):
+    """The line's value at the end of each slot, in order, empty slots too, when the watermark passes the slot. Open slots
+    keep their blocks of steps; a block whose events have all come is kept as its composition, so events that come late
+    within the delay take their place in the order."""
+    def fn(key, pdfs: Iterator[pd.DataFrame], state):
+        following, mood, pending = None, 0, {}
+        if state.exists:
+            following, mood, text = state.get
+            pending = {int(s): {int(b): v for b, v in blocks.items()} for s, blocks in json.loads(text).items()}
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                for s, b, cells in zip(pdf["slot"], pdf["block"], pdf["cells"]):
+                    if following is not None and s < following:
+                        continue
+                    blocks = pending.setdefault(int(s), {})
+                    had = blocks.get(int(b))
+                    if isinstance(had, list):
+                        continue  # a repeat of events that are all there
+                    if had is not None:
+                        cells = "".join(x if x != NO_EVENT else y for x, y in zip(had, cells))
+                    blocks[int(b)] = cells if NO_EVENT in cells else clamp_triple(cells, limit) or []
+        mark = state.getCurrentWatermarkMs()
+        closed = [s for s in pending if (s + 1) * slot_ms <= mark]
+        out = []
+        if closed or following is not None:
+            end = max(mark // slot_ms, following or 0)
+            for s in range(following if following is not None else min(closed), end):
+                for _, v in sorted(pending.pop(s, {}).items()):
+                    f = clamp_triple(v, limit) if isinstance(v, str) else v
+                    if f:
+                        mood = min(f[2], max(f[1], mood + f[0]))
+                out.append((s, mood))
+            following = end
+        state.update((following, mood, json.dumps(pending)))
+        if pending:
+            state.setTimeoutTimestamp((min(pending) + 1) * slot_ms - 1)
+        if out:
+            yield pd.DataFrame(out, columns=["slot", "mood"])
+    return fn
+
+
+def mood_line(stream: DataFrame, slot_seconds: int, delay_seconds: int, order: str = "event_id", time_col: str = "event_time") -> DataFrame:
+    """E15 as a stream: (slot, mood) of every slot from the first on; within a slot events count in ``order``, whatever
+    the order of their arrival. Tasks send a row a slot and ``BLOCK`` events to the one key."""
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    label = F.lower(F.coalesce(F.nullif(F.col("sentiment"), F.lit("")), F.lit("neutral")))
+    step = F.lit(UNKNOWN)
+    for name, c in STEPS.items():
+        step = F.when(label == name, F.lit(c)).otherwise(step)
+    rows = stream.where(F.col(time_col).isNotNull() & F.col(order).isNotNull()).select(
+        F.floor(micros / (slot_seconds * 1_000_000)).cast("long").alias("slot"), F.col(order).cast("long").alias("seq"), step.alias("step"))
+    blocks = rows.mapInArrow(_mood_blocks, "k int, slot long, block long, cells string").withColumn(
+        "ts", F.timestamp_seconds((F.col("slot") + 1) * slot_seconds)).withWatermark("ts", f"{slot_seconds + delay_seconds} seconds")
+    return blocks.groupBy("k").applyInPandasWithState(mood_fn(slot_seconds * 1000), MOOD_SCHEMA, MOOD_STATE, "append",
+                                                      GroupStateTimeout.EventTimeTimeout)
