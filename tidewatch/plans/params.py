@@ -6,7 +6,7 @@ PARAMS = {
     "slot_seconds": 3600,
     "n_slots": 60,
     # seconds that a stream of slots waits for late events: files of the stream queries span up to some days
-    "slot_delay": 3 * 86400,
+    "slot_delay": 5 * 86400,
     "cluster": "war",
     "sentiment": "NEGATIVE",
     "source": "gdacs",

@@ -759,7 +759,7 @@ def q_velocity_stream(spark, sf_dir):
 def q_mood_stream(spark, sf_dir):
     """E15 as a stream over the processed events; every 31st event comes a file late, within the delay."""
     from ..streaming import pipeline as P
-    per = max(10, _epoch_rows(spark, sf_dir) // 8)
+    per = max(10, _epoch_rows(spark, sf_dir) // 2)
     late = F.expr(f"event_id div {per} + CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END")
     return _slot_stream(spark, sf_dir, "mood", P.mood_line, late)
 
