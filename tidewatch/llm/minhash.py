@@ -395,27 +395,27 @@ def tiled_pairs(large: DataFrame, sums: DataFrame, similarity: float, tile: int
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(k, root) of every linked key: alternating large-star and small-star steps (Kiveris et al. 2014),
-    each stored, until nothing changes. A star's leaves are rows, never a collected list."""
-    def state(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
+    each stored, until every key points to a root. A star's leaves are rows, never a collected list. Steps halve the
+    depth, so ``most_rounds`` is beyond any graph; reaching it is an error."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "cc")
-    seen = state(edges)
     for _ in range(most_rounds):
+        # stars: a key points to one other, and what it points to points nowhere
+        pointing = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        ends = edges.select("b").distinct()
+        if pointing.filter("n > 1").select("a").unionByName(pointing.join(ends, F.col("a") == F.col("b"), "left_semi").select("a")).isEmpty():
+            break
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = near.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # an edge gives at most one: repeats are dropped once, at the end
+        large = near.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("b", "m", "a")
         edges = stored(small.select(F.col("a"), F.col("m").alias("b")).unionByName(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "cc")
-        now = state(edges)
-        if now == seen:
-            break
-        seen = now
-    roots = edges.groupBy("a").agg(F.min("b").alias("root"))
-    return roots.select(F.col("a").alias("k"), "root").unionByName(
-        edges.select(F.col("b").alias("k"), F.col("b").alias("root")).distinct().join(roots.select(F.col("a").alias("k")), "k", "left_anti"))
+    else:
+        raise RuntimeError(f"classes unfinished after {most_rounds} rounds")
+    return edges.select(F.col("a").alias("k"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("k"), F.col("b").alias("root")).distinct())
 
 
 def text_key(text: Column) -> Column:
@@ -438,7 +438,8 @@ class _Verifier:
     def similar(self, pairs: DataFrame, name: str) -> DataFrame:
         ta = self.texts.select(F.col("k").alias("a"), F.col("text").alias("x"), F.col("df").alias("dx"))
         tb = self.texts.select(F.col("k").alias("b"), F.col("text").alias("y"), F.col("df").alias("dy"))
-        tested = pairs.join(ta, "a").join(tb, "b").select(
+        # b first: pairs that come from ``links`` lie by b already
+        tested = pairs.join(tb, "b").join(ta, "a").select(
             "a", "b", similarity_column(self.freq, *map(F.col, ("x", "y", "dx", "dy"))).alias("similarity"))
         return stored(tested.filter(F.col("similarity") >= self.similarity), name)
 
