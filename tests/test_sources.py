@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import setops as U
 from tidewatch.sources import sinks as SK
 from tidewatch.sources.feed import load_feed
+from tidewatch.sources.tables import spread_by_id
 
 from .conftest import SF_SMALL
 
@@ -56,3 +57,18 @@ def test_epoch_writes_are_idempotent_and_clear(spark, scratch):
     assert counts == {"p": 60}
     assert SK.clear_table(spark, os.path.join(path, "epoch=0")) == 30
     assert spark.read.parquet(os.path.join(path, "epoch=0")).count() == 0
+
+
+def test_a_file_of_one_row_group_is_dealt_over_tasks(spark, scratch):
+    """Costly projections do not wait for the one task that reads a row group."""
+    rows = [(i if i % 10 else None, i) for i in range(400)]
+    spark.createDataFrame(rows, "id long, v long").coalesce(1).write.parquet(f"{scratch}/t")
+    t = spark.read.parquet(f"{scratch}/t")
+    out = spread_by_id(t, "id", "v", 10, rows=50)
+    sizes = [n for n in out.rdd.glom().map(len).collect()]
+    assert len(sizes) == 8 and max(sizes) < 200
+    key = str
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(rows, key=key)
+    assert all(len({p for p, i in found if i // 10 == run}) == 1 for found in [
+        [(r["p"], r["id"]) for r in out.where("id is not null").withColumn("p", F.spark_partition_id()).collect()]] for run in range(40))
+    assert spread_by_id(t, "id", "v", 10, rows=400) is t
