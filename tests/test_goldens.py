@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewatch import dims
 from tidewatch.functions import entities as N
 from tidewatch.functions import sentiment as S
 from tidewatch.functions import text as X
@@ -152,3 +153,18 @@ def test_entities_dictionary(spark):
         N.entities_struct(N.entities_map(F.col("t"))).alias("s")).first()["s"]
     assert s["locations"] == ["London", "Paris"] and s["orgs"] == ["Apple"] and s["countries"] == s["locations"]
     assert one(spark, lambda c: F.to_json(N.entities_map(c)), "   ") == "{}"
+
+
+def test_classify_finds_overlapping_keywords_in_one_pass(spark):
+    """Keywords that overlap or begin with one another all count, as by plain containment."""
+    import random
+    kws, rnd = dims.cluster_keywords(), random.Random(3)
+    words = [k for _, k, _ in kws]
+    texts = [rnd.choice(["", " ", "x"]).join(rnd.choice(words)[:rnd.choice([2, 9, 30])] for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+
+    def plain(t):
+        found = [(p, c) for p, k, c in kws if k in t]
+        return max(found, key=lambda f: (sum(c == f[1] for _, c in found), -f[0]))[1] if found else "general"
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.classify("t").alias("c"))
+    assert {r["i"]: r["c"] for r in out.collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
