@@ -94,3 +94,13 @@ def test_mood_scan_matches_fold(spark):
         got = [r["mood"] for r in D.mood_index(live, slot_seconds=1, fanout=fanout).orderBy("slot_start").collect()]
         assert got == want
         assert all(-10 <= v <= 10 for v in got)
+
+
+def test_items_are_dealt_to_their_groups_once(spark):
+    """The levels and the descent read the stored first level, not the items again."""
+    items = spark.createDataFrame([("a", i, 1, 1, ["news"], None) for i in range(30)] + [(None, 3, 1, 2, ["gdacs", "news"], None)],
+                                  "entity string, batch long, n_events int, n_sources long, sources array<string>, last_time timestamp_ntz")
+    out = C.burst_alerts(items, 5, fanout=3)
+    assert out.inputFiles() and all("scan-level" in f for f in out.inputFiles())
+    got = [(r["entity"], r["batch"], r["score"]) for r in out.collect()]
+    assert sorted(x for x in got if x[0]) == [("a", 6 * i + 5, 6) for i in range(5)]
