@@ -72,3 +72,19 @@ def test_a_file_of_one_row_group_is_dealt_over_tasks(spark, scratch):
     assert all(len({p for p, i in found if i // 10 == run}) == 1 for found in [
         [(r["p"], r["id"]) for r in out.where("id is not null").withColumn("p", F.spark_partition_id()).collect()]] for run in range(40))
     assert spread_by_id(t, "id", "v", 10, rows=400) is t
+
+
+def test_large_epochs_have_several_files(spark, scratch, monkeypatch):
+    """A file is written by one task, so it has a bounded number of ids; the epochs' results do not change."""
+    from tidewatch.plans import registry as R
+    spark.sql("""SELECT id AS event_id, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id * 7) AS ts, id % 37 AS user_id,
+                        element_at(array('click', 'error', 'purchase', 'view', 'signup'), cast(id % 5 + 1 AS int)) AS event_type,
+                        id * 0.5D AS value, concat('{"k":', id * 7 % 60, '}') AS props FROM range(400)""") \
+        .coalesce(1).write.parquet(f"{scratch}/events.parquet")
+    monkeypatch.setattr(R, "FILE_IDS", 40)
+    feed = sorted(map(str, load_feed(spark, scratch).select(*R.FEED_COLS).collect()))
+    assert sorted(map(str, R.QUERIES["sink_fanout"](spark, scratch).collect())) == feed
+    assert len(spark.read.text(f"{R._fanout(spark, scratch)}/src").inputFiles()) >= 10
+    alerts = R.QUERIES["meta_events"](spark, scratch)
+    found = R.QUERIES["sink_fanout_alerts"](spark, scratch).select(*alerts.columns)
+    assert found.count() and sorted(map(str, found.collect())) == sorted(map(str, alerts.collect()))

@@ -102,11 +102,14 @@ def _fold_epoch(rows: DataFrame, out_root: str, epoch: int, threshold: int, batc
     late = number < F.lit(closed) if closed is not None else F.lit(False)
     write_epoch(rows.where(late), out_root, "late_events", epoch)
     agg = C.entity_sources(rows.where(~F.coalesce(late, F.lit(False))), batch=number).drop("n_sources")
-    if epoch > 0:
-        agg = agg.unionByName(read_epoch(spark, out_root, "burst_pending", epoch - 1))
-    agg = written(agg.groupBy("batch", "entity").agg(
-        F.sum("n_events").alias("n_events"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
-        F.max("last_time").alias("last_time")), "fanout-batches")
+    if closed is not None:
+        # only the batch kept back meets rows of both epochs; the others are summed already
+        goes_on = F.col("batch") == F.lit(closed)
+        both = agg.where(goes_on).unionByName(read_epoch(spark, out_root, "burst_pending", epoch - 1)).groupBy("batch", "entity").agg(
+            F.sum("n_events").alias("n_events"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
+            F.max("last_time").alias("last_time"))
+        agg = agg.where(~goes_on).unionByName(both)
+    agg = written(agg, "fanout-batches")
     open_ = F.col("batch") == F.lit(newest)
     write_epoch(agg.where(open_), out_root, "burst_pending", epoch)
     write_epoch(spark.createDataFrame([(newest, seen["n"], seen["first_id"], seen["last_id"])],
@@ -312,10 +315,10 @@ LAST_CHUNK = 2_000_000_000
 
 
 def write_feed_files(feed: DataFrame, path: str, rows_per_file: int | None = None, file_bytes: int = 32_000_000,
-                     chunk: Column | None = None) -> None:
-    """Lay a batch feed out as JSON-lines files, the shape a file-stream source consumes, in the order of the events. A
+                     chunk: Column | None = None, dealt: bool = False) -> None:
+    """Lay a batch feed out as JSON-lines files (gzip), the shape a file-stream source consumes, in the order of the events. A
     file holds the events of ``rows_per_file`` consecutive ids, or as many as make about ``file_bytes`` (from the rows'
-    mean length); ``chunk`` gives each row's file number instead."""
+    mean length); ``chunk`` gives each row's file number instead. ``dealt``: a file's rows lie in one task already."""
     spark = feed.sparkSession
     lines = feed.select("event_id", F.to_json(F.struct(*feed.columns), JSON_OPTIONS).alias("value"),
                         *([] if chunk is None else [chunk.alias("chunk")]))
@@ -324,7 +327,8 @@ def write_feed_files(feed: DataFrame, path: str, rows_per_file: int | None = Non
             mean = lines.agg(F.avg(F.length("value") + 1)).first()[0]
             rows_per_file = max(1, int(file_bytes / (mean or file_bytes)))
         lines = lines.withColumn("chunk", F.expr(f"event_id div {int(rows_per_file)}"))
-    lines.select("chunk", "value").repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
+    lines = lines.select("chunk", "value")
+    (lines if dealt else lines.repartition("chunk")).write.mode("overwrite").partitionBy("chunk").text(path, compression="gzip")
     stamp_files(spark, path, lambda name: int(re.search(r"chunk=(-?\d+)", name).group(1)) if re.search(r"chunk=-?\d", name) else -1)
 
 
