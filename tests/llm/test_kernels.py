@@ -136,6 +136,56 @@ def test_graph_recall_and_ties():
     assert len(few(v[0], 10, 50)[0]) == 3
 
 
+def _inserted(v: np.ndarray, links: int, most: int, ef: int) -> list[list[int]]:
+    """Lists of a layer after insertion one by one, by the nearest of the nodes before."""
+    def square(a, b):
+        return float(((v[a].astype(float) - v[b].astype(float)) ** 2).sum())
+
+    def diverse(i, cand, n):
+        taken = []
+        for c in cand:
+            if len(taken) < n and all(square(c, t) > square(i, c) for t in taken):
+                taken.append(c)
+        rest = [c for c in cand if c not in taken][:n - len(taken)]
+        return [c for c in cand if c in taken or c in rest]
+
+    lists = []
+    for i in range(len(v)):
+        lists.append(diverse(i, sorted(range(i), key=lambda j: square(i, j))[:ef], links))
+        for j in lists[i]:
+            if len(lists[j]) == 2 * most:
+                lists[j] = diverse(j, sorted(lists[j], key=lambda c: square(j, c)), most)
+            lists[j] = lists[j] + [i]
+    return lists
+
+
+def test_graph_is_that_of_insertion_one_by_one():
+    v = np.random.default_rng(3).normal(size=(400, 6))
+    v[:40] *= 0.1  # hubs, whose lists are thinned several times
+    g = hnsw.build(v, 5, links=4, ef=20)
+    levels = np.zeros(len(v), int)
+    for k, own in enumerate(g.nodes):
+        levels[own] = k
+        want = _inserted(v[own], 4, 8 if k == 0 else 4, 20)
+        assert [[j for j in row if j >= 0] for row in g.table[k].tolist()] == [own[x].tolist() for x in want]
+    assert len(g.nodes) > 2 and g.entry == levels.argmax()
+
+
+def test_queries_side_by_side_are_as_one_by_one():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 12))
+    find, queries = hnsw.Searcher(hnsw.build(v, 1)), rng.normal(size=(150, 12))
+    nodes, dist = find.many(queries, 10, 60)
+    for q, a, d in zip(queries, nodes, dist):
+        one = find(q, 10, 60)
+        assert one[0].tolist() == a.tolist() and one[1].tolist() == d.tolist()
+        assert np.array_equal(d, np.sqrt(((v[a] - q) ** 2).sum(1))) and len(set(a.tolist())) == 10
+    apart = hnsw.build(v, 1)
+    apart.table[0][:] = -1  # every node cut off
+    got = hnsw.Searcher(apart).many(queries[:3], 10, 60)[0]
+    assert all(set(a.tolist()) == set(np.argsort(((v - q) ** 2).sum(1))[:10].tolist()) for a, q in zip(got, queries))
+
+
 def test_rules_find_the_odd_documents():
     good, bad = (1,) * 8, (-1, -1, -1, 0, 0, 0, 0, 1)
     m = quality.fit_rules([(good, 900), (bad, 100)], tuple("abcdefgh"))

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,6 +268,45 @@ def test_neighbours(spark):
     assert hnsw.search(hnsw.build_index(use.limit(0)), use.limit(0)).count() == 0
 
 
+def test_neighbours_over_many_shards_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(2400, 16)).astype(np.float32)
+    v[100:130], v[500] = v[0], v[400]  # copies, among the queries too
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(3000 + i, x[:5].tolist()) for i, x in enumerate(v[:300])],
+                               "vec_id long, embedding array<float>")
+    use = hnsw.usable(df)
+    index, asked = hnsw.build_index(use, shard_rows=120), use.filter("id % 20 = 0")
+    plan = hnsw.search(index, asked)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()  # graphs stay where they lie
+    rows = sorted(map(tuple, plan.collect()))
+    assert rows == sorted(map(tuple, hnsw.search(index, asked, block=13).collect()))
+    monkeypatch.setattr(hnsw, "SLICE_QUERIES", 4)
+    few = hnsw.build_index(use, shard_rows=3000)
+    sliced = {(r[0], r[2]): r[3] for r in hnsw.search(few, asked).collect()}
+    hit = n = 0
+    for lo, hi, dim in ((0, 2400, 16), (3000, 3300, 5)):
+        w = v[:hi - lo, :dim].astype(float)
+        for q in range(lo, hi, 20):
+            d = np.sqrt(((w - w[q - lo]) ** 2).sum(1))
+            want = [lo + int(i) for i in np.lexsort((np.arange(len(w)), d)) if lo + i != q][:10]
+            mine = [(i, s) for a, _, i, s in rows if a == q]
+            assert len(mine) == 10 and all(s == d[i - lo] for i, s in mine)
+            hit, n = hit + len({i for i, _ in mine} & set(want)) + sum((q, i) in sliced for i in want), n + 20
+    assert index.select("shard").distinct().count() > 20 and hit >= 0.98 * n
+
+
+def test_index_is_read_a_few_graphs_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "INDEX_GROUP", 256 << 10)
+    v = np.random.default_rng(8).normal(size=(6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").coalesce(1)
+    graphs = hnsw.build_index(hnsw.usable(df), shard_rows=100)
+    path = graphs.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    for f in sorted(os.listdir(path)):
+        if f.endswith(".parquet"):
+            m = pq.ParquetFile(f"{path}/{f}").metadata
+            assert all(m.row_group(g).total_byte_size < 2 * hnsw.INDEX_GROUP for g in range(m.num_row_groups)), f
+
+
 def test_packing(docs, none):
     path = tokenizer_path("byte_bpe_50k.json")
     library = wordcode._library(path, True)

@@ -25,12 +25,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut there, and
-    a lost executor costs a re-read of files only."""
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write ``df`` as Parquet (``options``: of the writer) in the shared folder and read it back: lineage is cut
+    there, and a lost executor costs a re-read of files only."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
